@@ -177,3 +177,41 @@ def windows(words: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray, n
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+class HashTable:
+    """Numbers to float32, by open addressing; lookups are made for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(max(1, len(keys)) * 3 - 1).bit_length())
+        self.keys = np.full(1 << self.bits, U64(2**64 - 1), U64)
+        self.values = np.zeros(1 << self.bits, np.float32)
+        left, slot = np.arange(len(keys)), self._slots(keys)
+        wrap = np.int64((1 << self.bits) - 1)
+        while len(left):
+            free = self.keys[slot] == U64(2**64 - 1)
+            self.keys[slot[free]] = keys[left[free]]
+            won = free & (self.keys[slot] == keys[left])
+            self.values[slot[won]] = values[left[won]]
+            left, slot = left[~won], (slot[~won] + 1) & wrap
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and which keys aren't there."""
+        slot = self._slots(keys)
+        found = self.keys[slot]
+        out, missing = self.values[slot], found != keys
+        left = np.flatnonzero(missing & (found != U64(2**64 - 1)))
+        slot = slot[left]
+        wrap = np.int64((1 << self.bits) - 1)
+        while len(left):
+            slot = (slot + 1) & wrap
+            found = self.keys[slot]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[slot[hit]]
+            missing[left[hit]] = False
+            go = ~hit & (found != U64(2**64 - 1))
+            left, slot = left[go], slot[go]
+        return out, missing
