@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,12 @@ _FACTOR = U64(0xD6E8FEB86659FD93)
 BLOCK = 6 << 20
 
 
+@lru_cache(maxsize=4)
+def vocabulary_of(path: str, temper: float) -> Vocabulary:
+    """The vocabulary of a file, made once in each worker process."""
+    return Vocabulary(path, temper)
+
+
 def _step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
     h = (h + code.astype(U64) + U64(0x9E3779B97F4A7C15)) * _FACTOR
     return h ^ (h >> U64(31))
@@ -64,17 +71,26 @@ class Vocabulary:
             raise ValueError("a piece runs across the start of a word")
         self.size = n
         self.longest = max(len(p) for _, p in names)
+        if self.longest >= 32:
+            raise ValueError("a piece of 32 characters or more")
         rank = np.arange(n, dtype=np.float64)
         self.weight = -temper * np.log(rank - min(i for i, _ in names) + 10, where=rank >= min(i for i, _ in names), out=np.zeros(n))
-        found: dict[int, int] = {}
-        for i, piece in names:
-            h = np.zeros(1, U64)
-            for at, c in enumerate(np.frombuffer(piece.encode("utf-32-le"), np.uint32)):
-                h = _step(h, np.array([c]))
-                found.setdefault(int(h[0]), 0)
-                if at == len(piece) - 1:
-                    found[int(h[0])] = i + 1
-        self.table = HashTable(np.array(list(found), U64), np.array(list(found.values()), np.float32))
+        # all prefixes of the pieces, with the id (from 1) where the prefix is a piece, else 0
+        size = np.array([len(p) for _, p in names])
+        number = np.array([i + 1 for i, _ in names])
+        code = np.zeros((len(names), self.longest), np.uint32)
+        code[np.arange(self.longest) < size[:, None]] = np.frombuffer("".join(p for _, p in names).encode("utf-32-le"), np.uint32)
+        h, keys, values = np.zeros(len(names), U64), [], []
+        for k in range(self.longest):
+            live = size > k
+            h[live] = _step(h[live], code[live, k])
+            keys.append(h[live])
+            values.append(np.where(size[live] == k + 1, number[live], 0))
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        found, back = np.unique(keys, return_inverse=True)
+        ids = np.zeros(len(found))
+        np.maximum.at(ids, back, values)
+        self.table = HashTable(found, ids.astype(np.float32))
         sizes = np.array([len(b) for b in self.bytes], np.int64)
         self.byte_first = np.concatenate([[0], np.cumsum(sizes)])
         self.byte_pool = np.frombuffer(b"".join(self.bytes), np.uint8)
@@ -133,7 +149,7 @@ class Lattice:
         weight = np.append(vocabulary.weight, np.full(len(codes), -20.0))[piece]
         end = start + size - 1
         depth = end - word_first[end]
-        order = np.lexsort((start, end, depth))
+        order = np.argsort((depth * (n + 1) + end) << 5 | size)  # longest pieces have under 32 characters
         start, end, piece, weight, depth = start[order], end[order], piece[order], weight[order], depth[order]
         forward = np.zeros(n + 1)  # entry e + 1: log weight of all segmentations up to character e
         begins = start == word_first[start]
@@ -149,7 +165,7 @@ class Lattice:
             forward[e[group] + 1] = total
             score[a:b] = s - np.repeat(total, count)
         self.total = forward[self.stop + 1]  # log weight of all segmentations of each word
-        by = np.argsort(end, kind="stable")
+        by = np.argsort(end << 5 | (end - start))
         self.piece, end = piece[by], end[by]
         self.before = np.where(begins[by], -1, start[by] - 1)  # where the walk goes on; -1: the word's start
         self.first = np.searchsorted(end, np.arange(n + 1))
@@ -240,7 +256,7 @@ def encode(docs: DataFrame, model: str, *, seed: int = 0, temper: float = 0.5, k
     schema = kept.drop("text").schema.add("ids", "array<int>").add("n_ids", "long").add("ids_crc32", "long").add("lossless", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model, temper)
+        vocabulary = vocabulary_of(model, temper)
         for whole in batches:
             for batch in blocks(whole, limit=BLOCK):
                 data, offs = text_buffer(batch.column(1))
@@ -275,7 +291,7 @@ def decode(rows: DataFrame, model: str, *, ids: str = "ids", into: str = "text")
         raise ValueError(f"there is a column {into!r} already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model)
+        vocabulary = vocabulary_of(model, 0.5)
         for batch in batches:
             texts = [None if v is None else vocabulary.decode(v) for v in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
