@@ -7,11 +7,11 @@ window's multiplicity. The earliest point of a register agrees between two docum
 probability of their weighted Jaccard similarity. Blocks share points between documents, and a
 document stops once no further point can be the earliest.
 
-Signatures are cut into bands; documents that share a band are candidates. Within a band's bucket
-documents are compared with the bucket's first members (hubs), in waves, so that a large group
-of copies is joined without pairing all with all; only what is then still apart is compared
-directly. Links are those whose exact multiset overlap reaches the threshold, and classes are
-the connected components.
+Signatures are cut into bands; documents that share a band are candidates. Each bucket of a band
+has a hub, the document that meets most others; all are compared with it, so that a large group
+of copies is joined without pairing all with all. What is then still apart within a hub's star is
+compared inside a task, registers first. Links are those whose exact multiset overlap reaches the
+threshold, and classes are the connected components.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-HUBS = 8
 _GOLD = U64(0x9E3779B97F4A7C15)
 
 
@@ -123,15 +122,38 @@ def signature(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return count, bands, packed
 
 
-def overlap(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity of two sorted arrays of window hashes."""
-    x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
+def bag_arrays(column: pa.Array) -> tuple[list[bytes], list[bytes]]:
+    """Of each row the sorted window hashes and the registers, 16 bits of each.
+
+    The k-th repetition of a window gets a hash of its own, so that the overlap of multisets is
+    that of sets.
+    """
+    n = len(column)
+    doc, key = shingles(column)
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+    first = np.flatnonzero(new)
+    again = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
+    each = np.where(again > 0, mix(key + again.astype(U64) * _GOLD), key)
+    order = np.lexsort((each, doc))
+    each = each[order]
+    edges = np.searchsorted(doc, np.arange(n + 1)).tolist()
+    times = bag_minhash(doc[first], key[first], np.diff(np.append(first, len(doc))), n)
+    registers = (mix(times.view(U64)) >> U64(48)).astype("<u2")
+    return [each[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)], [r.tobytes() for r in registers]
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two sorted arrays of ``bag_arrays``."""
     if not len(x) or not len(y):
         return 0.0
-    u, m = np.unique(x, return_counts=True)
-    v, k = np.unique(y, return_counts=True)
-    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-    both = int(np.minimum(m[i], k[j]).sum())
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
     return both / (len(x) + len(y) - both)
 
 
@@ -156,64 +178,8 @@ def _signatures(rows: DataFrame) -> DataFrame:
     return rows.select("node", "text").mapInArrow(run, "node binary, n int, bands array<long>, bits long")
 
 
-def _hub_pairs(entries: DataFrame, hubs: int) -> DataFrame:
-    """(a, b) of each entry with the first ``hubs`` nodes of its bucket, from another class.
-
-    ``entries`` (band, node, n, bits, label) are dealt by band and sorted; a task holds a bucket's
-    first nodes only, however large the bucket is.
-    """
-    lanes = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = entries.repartition(lanes, "band").sortWithinPartitions("band", "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        current = None
-        for batch in batches:
-            band = batch.column(0).to_numpy()
-            edges = np.flatnonzero(np.diff(band)) + 1
-            starts = np.concatenate([[0], edges])
-            size = np.diff(np.append(starts, len(band)))
-            # single entries need no look, but for the first (which may go on) and the last
-            look = np.flatnonzero((size > 1) | (starts == 0) | (starts + size == len(band)))
-            out_a, out_b = [], []
-            for g in look.tolist():
-                a, b = int(starts[g]), int(starts[g] + size[g])
-                if band[a] != current:
-                    current, held = band[a], []
-                part = batch.slice(a, b - a)
-                nodes, ns, bits, labels = (part.column(k).to_pylist() for k in range(1, 5))
-                for node, n, bit, label in zip(nodes, ns, bits, labels, strict=True):
-                    for other, m, bit2, label2 in held:
-                        if label != label2 and 5 * min(n, m) >= 4 * max(n, m) and 64 - ((bit ^ bit2) & (2**64 - 1)).bit_count() >= LEAST_BITS:
-                            out_a.append(other)
-                            out_b.append(node)
-                    if len(held) < hubs and not any(node == h[0] for h in held):
-                        held.append((node, n, bit, label))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
-
-    return dealt.select("band", "node", "n", "bits", "label").mapInArrow(run, "a binary, b binary")
-
-
-def _rest_pairs(entries: DataFrame) -> DataFrame:
-    """(a, b) of nodes that share a band and are still in different classes, after the hubs.
-
-    Only buckets with two classes or more are looked at.
-    """
-    mixed = entries.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    left = entries.join(mixed, "band", "left_semi")
-    ranked = left.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy("node")))
-    a, b = ranked.alias("a"), ranked.alias("b")
-    near = (F.col("a.r") > HUBS) & (F.col("a.r") < F.col("b.r")) & (F.col("a.label") != F.col("b.label"))
-    near &= 5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n")
-    near &= 64 - F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) >= LEAST_BITS
-    return a.join(b, (F.col("a.band") == F.col("b.band")) & near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose multiset overlap is ``threshold`` or more."""
-    pairs = materialise(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _bagged(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, bag, registers of the nodes that are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -221,26 +187,113 @@ def _verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
             for part in blocks(whole, limit=4 << 20):
                 nodes = part.column(0).to_pylist()
                 fresh = [k for k, x in enumerate(nodes) if not (x in seen or seen.add(x))]
-                if not fresh:
-                    continue
-                batch = part.take(pa.array(fresh))
-                doc, key = shingles(batch.column(1))
-                order = np.lexsort((key, doc))
-                edges = np.searchsorted(doc[order], np.arange(batch.num_rows + 1)).tolist()
-                data = key[order]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["node", "bag"])
+                if fresh:
+                    batch = part.take(pa.array(fresh))
+                    arrays, registers = bag_arrays(batch.column(1))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arrays, pa.binary()), pa.array(registers, pa.binary())], names=["node", "bag", "registers"])
+
+    found = rows.select("node", "text").join(wanted, "node", "left_semi").mapInArrow(run, "node binary, bag binary, registers binary")
+    return materialise(found.groupBy("node").agg(F.first("bag").alias("bag"), F.first("registers").alias("registers")), "bags")
+
 
-    bagged = materialise(rows.select("node", "text").join(wanted, "node", "left_semi").mapInArrow(run, "node binary, bag binary"), "bags")
-    one = bagged.groupBy("node").agg(F.first("bag").alias("bag"))
-    one = materialise(one, "bags")
-    joined = pairs.join(one.withColumnsRenamed({"node": "a", "bag": "x"}), "a").join(one.withColumnsRenamed({"node": "b", "bag": "y"}), "b")
+def _stars(entries: DataFrame) -> DataFrame:
+    """hub, node, near: each node with the hub of each bucket that it is in.
+
+    A bucket's hub is its node that shares most band entries with others: what a group of copies
+    was made from meets all of them. ``near``: sizes and bits don't rule a link out.
+    """
+    degree = entries.groupBy("node").agg(F.sum("k").alias("degree"))
+    ranked = entries.join(degree, "node")
+    hub = ranked.groupBy("band").agg(F.max(F.struct("degree", "node", "n", "bits")).alias("h"))
+    pairs = entries.join(hub, "band").select(F.col("h.node").alias("hub"), "node", "n", "bits", F.col("h.n").alias("m"), F.col("h.bits").alias("bits2"))
+    near = 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")
+    near &= 64 - F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) >= LEAST_BITS
+    return materialise(pairs.groupBy("hub", "node").agg(F.max(near).alias("near")), "stars")
+
+
+def _hub_links(stars: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """a, b: the nodes whose overlap with their hub reaches the threshold."""
+    pairs = stars.where("near and hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    joined = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [overlap(x.as_buffer(), y.as_buffer()) >= threshold for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            good = [overlap(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)) >= threshold for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return joined.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+    return materialise(joined.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"), "links")
+
+
+def link_apart(nodes: list[bytes], labels: list[bytes], bags: list[np.ndarray], registers: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links between nodes of different labels, until no two labels with a link are left apart.
+
+    ``side``: 1 or 2 for nodes that are compared across only, 0 for all with all. The registers'
+    agreement rules pairs out at six standard deviations below the threshold.
+    """
+    parent = {x: x for x in labels}
+
+    def root(x: bytes) -> bytes:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    size = np.array([len(b) for b in bags])
+    count: dict[bytes, int] = {}
+    for x in labels:
+        count[x] = count.get(x, 0) + 1
+    number = {x: k for k, x in enumerate(count)}
+    group = np.array([number[x] for x in labels])
+    least = threshold - 6 * np.sqrt(threshold * (1 - threshold) / registers.shape[1])
+    out = []
+    # small labels first, against everything that isn't joined to them yet
+    order = sorted(range(len(nodes)), key=lambda k: (count[labels[k]], nodes[k]))
+    rank = np.empty(len(nodes), np.int64)
+    rank[order] = np.arange(len(nodes))
+    for k in order:
+        fits = (group != group[k]) & (rank > rank[k]) & (size >= threshold * size[k]) & (size <= size[k] / threshold) & ((side == 0) | (side != side[k]))
+        at = np.flatnonzero(fits)
+        if not len(at):
+            continue
+        agree = (registers[at] == registers[k]).mean(1)
+        close = agree >= least
+        for j in at[close][np.argsort(-agree[close], kind="stable")].tolist():
+            a, b = root(labels[k]), root(labels[j])
+            if a != b and overlap(bags[k], bags[j]) >= threshold:
+                parent[max(a, b)] = min(a, b)
+                out.append((nodes[k], nodes[j]))
+    return out
+
+
+#: A star with more bytes than this is compared in blocks of about this size.
+STAR_BYTES = 32 << 20
+
+
+def _rest_links(stars: DataFrame, labels: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links between nodes of a star that their hub left in different classes.
+
+    Nodes that share a band share that bucket's hub, so every candidate pair is in a star. Only
+    stars with several labels are looked at; pairs are compared inside a task and never made rows.
+    """
+    named = stars.select("hub", "node").join(labels, "node", "left").select("hub", "node", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("hub").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("hub")
+    kept = named.join(mixed, "hub", "left_semi").join(bags, "node")
+    kept = materialise(kept, "mixed")
+    bytes_ = kept.groupBy("hub").agg(F.ceil(F.sum(F.octet_length("bag") + 256) / STAR_BYTES).cast("int").alias("c"))
+    dealt = kept.join(bytes_, "hub").withColumn("at", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
+    dealt = dealt.withColumn("o", other).withColumn("i", F.least("at", "o")).withColumn("j", F.greatest("at", "o"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        nodes, labels_ = table.column("node").to_pylist(), table.column("label").to_pylist()
+        arrays = [np.frombuffer(b, U64) for b in table.column("bag").to_pylist()]
+        registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(len(nodes), -1)
+        i, j = key[1].as_py(), key[2].as_py()
+        side = np.zeros(len(nodes), np.int64) if i == j else np.where(table.column("at").to_numpy() == i, 1, 2)
+        found = link_apart(nodes, labels_, arrays, registers, side, threshold)
+        return pa.table([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+
+    return materialise(dealt.select("hub", "i", "j", "at", "node", "label", "bag", "registers").groupBy("hub", "i", "j").applyInArrow(run, "a binary, b binary"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -268,17 +321,13 @@ def link(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node, label for the nodes of ``rows`` (node, text) that have a near duplicate."""
     signed = materialise(_signatures(rows), "signatures")
     once = signed.select(F.explode("bands").alias("band"), "node", "n", "bits").groupBy("band", "node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    shared = once.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("k > 1").drop("k")
-    entries = materialise(shared, "entries")
-    edges, labelled = None, entries.withColumn("label", F.col("node"))
-    labels = None
-    for wave in (1, HUBS, 0):
-        pairs = _hub_pairs(labelled, wave) if wave else _rest_pairs(labelled)
-        good = materialise(_verified(pairs, rows, threshold), "links")
-        edges = good if edges is None else edges.union(good)
-        labels = materialise(components(edges), "labels")
-        labelled = materialise(entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", F.col("node"))), "entries") if wave else labelled
-    return labels
+    entries = materialise(once.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("k > 1"), "entries")
+    stars = _stars(entries)
+    bags = _bagged(rows, entries.select("node").distinct())
+    links = _hub_links(stars, bags, threshold)
+    labels = components(links)
+    rest = _rest_links(stars, labels, bags, threshold)
+    return components(links.union(rest)) if rest.limit(1).count() else labels
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -27,7 +27,7 @@ from .common import LOWER, U64, HashTable, blocks, in_class, materialise, scan_w
 
 ORDER = 5
 BEFORE, END = 0xFF, 0xFE  # bytes that UTF-8 never has
-BLOCK = 6 << 20
+BLOCK = 2 << 20
 
 
 def _mask(bytes_: int) -> np.uint64:
@@ -262,7 +262,7 @@ def score_corpus(docs: DataFrame, held: str = "held", *, order: int = ORDER, max
     def ppm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = model.value
         for whole in batches:
-            for batch in blocks(whole, limit=BLOCK // 2):
+            for batch in blocks(whole, limit=BLOCK):
                 data, offs = text_buffer(batch.column(2))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(trie.score(LOWER[data], offs))], names=["doc_id", "h", "score"])
 
