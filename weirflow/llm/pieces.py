@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import U64, HashTable, blocks, mix, text_buffer
 
@@ -253,7 +254,7 @@ def encode(docs: DataFrame, model: str, *, seed: int = 0, temper: float = 0.5, k
     text repeat their ids.
     """
     kept = docs.select(key, "text")
-    schema = kept.drop("text").schema.add("ids", "array<int>").add("n_ids", "long").add("ids_crc32", "long").add("lossless", "boolean")
+    schema = kept.drop("text").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_ids", "long").add("ids_crc32", "long").add("lossless", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(model, temper)
