@@ -76,10 +76,10 @@ class Drop(_Projection):
 
 @register_transform("sort")
 class Sort(Transform):
-    """Sorts; nulls come last in both directions, and ties keep their order."""
+    """Sorts; nulls come last in both directions. Ties keep their order where rows are numbered,
+    which is so if a step of the blueprint depends on it."""
 
     tier: ClassVar[str] = "set"
-    order_sensitive: ClassVar[bool] = True
     by: dict[str, Literal["asc", "desc"]] = Field(min_length=1)
 
     @classmethod
@@ -175,17 +175,20 @@ class WindowColumns(Transform):
     """Columns over partitions: row_number, cumcount, rank, dense_rank, cumsum, cummax, cummin.
 
     rank and dense_rank rank the column's values and ignore ``order_by``; running functions skip
-    nulls, which stay null. The result is sorted by ``order_by`` unless ``sort`` is false.
+    nulls, which stay null. Rows that a later step takes in order go by ``order_by`` from here on;
+    else the result is sorted only if ``sort`` is set, as that costs another shuffle.
     """
 
     tier: ClassVar[str] = "set"
     partition_by: list[str] = Field(default_factory=list)
     order_by: dict[str, Literal["asc", "desc"]] | None = None
     add: dict[str, dict[str, str]] = Field(min_length=1)
-    sort: bool = True
+    sort: bool = False
 
     _one = field_validator("partition_by", mode="before")(_names)
-    order_sensitive: ClassVar[bool] = True
+
+    def needs_order(self) -> bool:
+        return any(spec.get("fn") not in ("rank", "dense_rank") for spec in self.add.values())
 
     def apply(self, df: DataFrame, ctx: Any = None) -> DataFrame:
         require(df, [*self.partition_by, *(self.order_by or {})], "window", TransformError)
@@ -219,6 +222,8 @@ class WindowColumns(Transform):
                 total = {"cumsum": F.sum, "cummax": F.max, "cummin": F.min}[fn](c).over(running)
                 found[name] = F.when(c.isNotNull(), total)
         out = df.withColumns(found)
-        if self.order_by and self.sort:
+        if self.order_by and (self.sort or had):
             out = out.orderBy(*_order_columns(self.order_by), ORDER)
+        if self.order_by and had:
+            out = out.withColumn(ORDER, F.monotonically_increasing_id())
         return out if had else out.drop(ORDER)

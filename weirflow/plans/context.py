@@ -54,8 +54,8 @@ class ExecutionContext:
     checkpoint_store: Any = None
     notifier: Notifier | None = None
     run_id: str = "run"
-    #: a step of some task depends on row order, so extracts number their rows
-    ordered: bool = False
+    #: frames whose row order a later step depends on; extracts number their rows
+    ordered: set[str] = field(default_factory=set)
     load_results: list[Any] = field(default_factory=list)
     pending_watermarks: dict[tuple[str, str], Any] = field(default_factory=dict)
     persisted: list[DataFrame] = field(default_factory=list)

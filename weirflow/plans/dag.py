@@ -42,15 +42,27 @@ def consumers(config: PipelineConfig) -> dict[str, int]:
     return out
 
 
-def needs_order(config: PipelineConfig) -> bool:
-    """Whether a step depends on the order of rows."""
-    for task in config.tasks.values():
-        for step in task.steps if isinstance(task, TransformTask) else []:
-            try:
-                if build_transform(step.action, step.with_).needs_order():
-                    return True
-            except TransformError:
-                continue
-            if "|first}" in str(step.with_) or "|last}" in str(step.with_):
+def _order_matters(task: TransformTask) -> bool:
+    """Whether a step of the task depends on the order of rows."""
+    for step in task.steps:
+        try:
+            if build_transform(step.action, step.with_).needs_order():
                 return True
+        except TransformError:
+            continue  # the run says what is wrong with it
+        if "|first}" in str(step.with_) or "|last}" in str(step.with_):
+            return True
     return False
+
+
+def ordered_frames(config: PipelineConfig) -> set[str]:
+    """Frames whose row order reaches a step that depends on it; only these carry ordinals."""
+    made = config.producers()
+    wanted = [f for t in config.tasks.values() if isinstance(t, TransformTask) and _order_matters(t) for f in t.consumes()]
+    out: set[str] = set()
+    while wanted:
+        frame = wanted.pop()
+        if frame not in out:
+            out.add(frame)
+            wanted += config.tasks[made[frame]].consumes()
+    return out

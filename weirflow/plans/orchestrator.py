@@ -48,7 +48,7 @@ class Orchestrator:
             ctx.checkpoint_store = CheckpointStore(spark, o.checkpoint.store, o.checkpoint.reuse)
         ctx.notifier = Notifier(o.notifications.on_failure)
         ctx.partition_value = config.partition.bounds.start if config.partition else None
-        ctx.ordered = dag.needs_order(config)
+        ctx.ordered = dag.ordered_frames(config)
         return ctx
 
     def run(self, ctx: ExecutionContext | None = None) -> ExecutionContext:

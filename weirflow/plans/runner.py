@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config.models import ExtractTask, LoadTask, RetryPolicy, TransformTask, ValidationMode
 from ..durations import parse_duration
 from ..errors import TransformError, WeirflowError
-from ..functions.frames import col, hide, ordered
+from ..functions.frames import col, hide
 from ..operators import build_transform
 from ..quality.contracts import check_contract, check_expectations
 from ..sources.base import WriteRequest
@@ -66,9 +66,7 @@ def run_extract(task: ExtractTask, ctx: ExecutionContext) -> None:
     adapter, pipeline = ctx.adapters[task.resource], ctx.config.pipeline_id
     since = resolve_since(ctx.watermark_store, pipeline, task.name, task.incremental)
     for step in task.steps:
-        frame = adapter.read(step.collection, since)
-        if ctx.ordered:
-            frame = ordered(frame)
+        frame = adapter.read(step.collection, since, numbered=step.output in ctx.ordered)
         _validate(frame, step.contract, task.validation, ctx)
         cursor = task.incremental.cursor if task.incremental and task.incremental.strategy == "watermark" else None
         if cursor and cursor in frame.columns:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..config.models import LoadMode, ResourceConfig, ScdSpec
 from ..errors import AdapterError, PermissionDeniedError, RegistryError
-from ..functions.frames import col, hide, is_number, is_time
+from ..functions.frames import col, hide, is_number, is_time, ordered
 from ..quality.contracts import DataframeContract
 from ..registry import ADAPTERS
 
@@ -98,9 +98,14 @@ class Adapter:
         if what not in self.resource.allow:
             raise PermissionDeniedError(f"resource {self.resource.name!r} doesn't allow to {what}")
 
-    def read(self, collection: str | None = None, since: tuple[str, Any] | None = None) -> DataFrame:
+    def read(self, collection: str | None = None, since: tuple[str, Any] | None = None, numbered: bool = False) -> DataFrame:
+        """``numbered``: with the hidden ordinal of each row."""
         self._permit("read")
-        return self._read(collection, since)
+        frame = self._read(collection, since)
+        return self._numbered(frame) if numbered else frame
+
+    def _numbered(self, frame: DataFrame) -> DataFrame:
+        return ordered(frame)
 
     def write(self, frame: DataFrame, collection: str | None = None, **how: Any) -> LoadResult:
         return self.write_batch([WriteRequest(frame, collection, **how)])[0]

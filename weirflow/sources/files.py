@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..config.models import LoadMode
 from ..errors import AdapterError
-from ..functions.frames import col, nan_to_null
+from ..functions.frames import ORDER, col, nan_to_null, ordered
 from ..registry import register_adapter
 from . import excel
 from .base import Adapter, LoadResult, WriteRequest, newer_than
@@ -25,7 +25,11 @@ _OPTIONS = {"sep": "sep", "delimiter": "sep", "encoding": "encoding", "quotechar
 
 @register_adapter("file")
 class FileAdapter(Adapter):
-    """``params``: format, path, options. Modes: replace and append."""
+    """``params``: format, path, options. Modes: replace and append.
+
+    NaN is missing, as null is. That costs the pushing of filters on floating columns to the scan;
+    ``options: {nan_as_null: false}`` leaves columns as they are where a file holds no NaN.
+    """
 
     def __init__(self, resource, spark=None):
         super().__init__(resource, spark)
@@ -53,7 +57,7 @@ class FileAdapter(Adapter):
         out = {}
         for key, value in self.options.items():
             target = _OPTIONS.get(key, key)
-            if target and key not in ("dtype", "usecols", "schema", "skiprows", "nrows"):
+            if target and key not in ("dtype", "usecols", "schema", "skiprows", "nrows", "nan_as_null"):
                 out[target] = value[0] if isinstance(value, list) and value else value
         return out
 
@@ -69,7 +73,16 @@ class FileAdapter(Adapter):
             df = {"csv": self._text, "tsv": self._text, "json": self._json}.get(self.format, self._columnar)()
         if self.options.get("usecols"):
             df = df.select(*map(col, self.options["usecols"]))
-        return newer_than(nan_to_null(df), since)
+        return newer_than(nan_to_null(df) if self.options.get("nan_as_null", True) else df, since)
+
+    def _numbered(self, frame: DataFrame) -> DataFrame:
+        """Parquet rows by their place in the file, and files by their part number (else by a hash
+        of the name). Unlike a running number this doesn't keep filters from the scan."""
+        if self.format != "parquet":
+            return ordered(frame)
+        name = F.col("_metadata.file_name")
+        part = F.coalesce(F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("bigint"), F.xxhash64(name))
+        return frame.withColumn(ORDER, F.pmod(part, F.lit(1 << 18)) * F.lit(1 << 34) + F.col("_metadata.row_index"))
 
     def _columnar(self) -> DataFrame:
         return self.spark.read.options(**self._spark_options()).format(self.format).load(self.path)
