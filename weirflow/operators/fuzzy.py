@@ -90,7 +90,7 @@ class FuzzyJoin(Transform):
         near = near.where(2 * F.least(la, lb) >= t * (la + lb) - 1e-9)
         # common characters, counted once each, plus what can repeat, bound the subsequence
         shared = F.array_intersect(_grams(F.col("a")), _grams(F.col("b")))
-        kept = F.length(F.translate("a", F.array_join(shared, ""), ""))
+        kept = F.length(F.call_function("translate", F.col("a"), F.array_join(shared, ""), F.lit("")))
         near = near.where(2 * (la - kept) >= t * (la + lb) - 1e-9)
         scored = near.withColumn("score", F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(_score("a", "b"))).where(F.col("score") >= t - 1e-12)
         best = Window.partitionBy("a").orderBy(F.desc("score"), "o")
