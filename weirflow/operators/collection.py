@@ -126,7 +126,7 @@ class Join(Transform):
         return joined(left, right, self.how, left_on, right_on, self.suffixes, shared)
 
 
-def _aligned(frames: list[DataFrame], names: list[str]) -> list[DataFrame]:
+def aligned(frames: list[DataFrame], names: list[str]) -> list[DataFrame]:
     """The frames with columns of common types: numbers widen, other mixtures become text."""
     kinds: dict[str, T.DataType | None] = {}
     for name in names:
@@ -165,7 +165,7 @@ class Union(Transform):
             names = [c for c in visible(frames[0]) if all(c in visible(f) for f in frames)]
             if not names:
                 raise TransformError("union: there are no common columns")
-        stacked = _aligned(frames, names)
+        stacked = aligned(frames, names)
         if any(ORDER in f.columns for f in stacked):  # the frames in turn
             stacked = [f.withColumn(ORDER, (F.col(ORDER) if ORDER in f.columns else F.monotonically_increasing_id()) % F.lit(1 << 52) + F.lit(k << 52)) for k, f in enumerate(stacked)]
         out = reduce(lambda a, b: a.unionByName(b), stacked)

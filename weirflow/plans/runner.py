@@ -16,6 +16,7 @@ from ..durations import parse_duration
 from ..errors import TransformError, WeirflowError
 from ..functions.frames import col, hide
 from ..operators import build_transform
+from ..operators.collection import aligned
 from ..quality.contracts import check_contract, check_expectations
 from ..sources.base import WriteRequest
 from .checkpoint import digest
@@ -122,7 +123,9 @@ def _steps(task: TransformTask, ctx: ExecutionContext) -> tuple[DataFrame, DataF
             raise (type(e) if isinstance(e, WeirflowError) else TransformError)(f"{where}: {_message(e)}") from e
     if not rejected:
         return flowing, None
-    return flowing, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rejected)
+    # a later step's rows may hold a column in another type already: such columns become text
+    names = list(dict.fromkeys(c for f in rejected for c in f.columns))
+    return flowing, reduce(lambda a, b: a.unionByName(b), aligned(rejected, names))
 
 
 def run_transform(task: TransformTask, ctx: ExecutionContext, readers: int = 1) -> None:

@@ -126,7 +126,7 @@ class SqlAdapter(Adapter):
     text_type = "TEXT"
 
     def _moment(self, when: datetime) -> str:
-        return f"TIMESTAMP '{when.isoformat(sep=' ')}'"
+        return f"{{ts '{when.isoformat(sep=' ')}'}}"
 
     @contextmanager
     def _staged(self, session: Session, r: WriteRequest) -> Iterator[tuple[str, int]]:
