@@ -70,6 +70,21 @@ def test_window_without_order_takes_the_rows_as_they_come(frame, run):
             run("window", {"add": add}, df)
 
 
+def test_windows_over_everything_agree_with_one_partition(spark, run):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice([None, *range(9)]), float(rng.randint(0, 5)), rng.choice("abc")) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, v int, x double, s string").repartition(7)
+    add = {"n": {"fn": "row_number"}, "c": {"fn": "cumcount"}, "sum": {"fn": "cumsum", "column": "v"}, "hi": {"fn": "cummax", "column": "s"}, "lo": {"fn": "cummin", "column": "v"}, "r": {"fn": "rank", "column": "v"}, "d": {"fn": "dense_rank", "column": "v"}, "q": {"fn": "rank", "column": "s"}}
+    order = {"x": "desc", "id": "asc"}
+    whole = run("window", {"order_by": order, "add": add}, df, rows=False)
+    one = run("window", {"partition_by": "k", "order_by": order, "add": add}, df.selectExpr("*", "1 as k"), rows=False).drop("k")
+    assert whole.columns == one.columns and whole.dtypes == one.dtypes
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, one.collect()))
+    assert run("window", {"order_by": order, "add": add}, df.limit(0)) == []
+
+
 def test_filter_action(frame, run):
     df = frame("v long", (1,), (5,))
     assert run("filter", {"v": {"op": ">", "value": 2}}, df) == [(5,)]

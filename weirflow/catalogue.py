@@ -287,6 +287,12 @@ CASES: dict[str, Case] = {
           CASE WHEN o_orderpriority IS NOT NULL THEN CAST(rank() OVER w AS DOUBLE) END AS r, CASE WHEN o_orderpriority IS NOT NULL THEN CAST(dense_rank() OVER w AS DOUBLE) END AS d
         FROM sparse WINDOW w AS (PARTITION BY c_mktsegment ORDER BY o_orderpriority NULLS LAST)""",
     ),
+    "window_over_all": _single(
+        "orders",
+        [("window", {"order_by": {"o_orderdate": "asc", "o_orderkey": "asc"}, "add": {"n": {"fn": "row_number"}, "s": {"fn": "cumsum", "column": "o_custkey"}, "r": {"fn": "rank", "column": "o_orderpriority"}, "d": {"fn": "dense_rank", "column": "o_orderdate"}}}), ("select", ["o_orderkey", "n", "s", "r", "d"])],
+        """SELECT o_orderkey, row_number() OVER w AS n, CAST(sum(o_custkey) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s, CAST(rank() OVER (ORDER BY o_orderpriority) AS DOUBLE) AS r, CAST(dense_rank() OVER (ORDER BY o_orderdate) AS DOUBLE) AS d
+        FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey)""",
+    ),
     # ------------------------------------------------------------ joins and unions
     "join_inner": Case(["orders", "lineitem"], {"out": ("lineitem", [_join("orders", "inner", "l_orderkey", "o_orderkey"), ("select", ["l_orderkey", "o_orderkey", "l_partkey", "o_custkey"])])}, "SELECT l_orderkey, o_orderkey, l_partkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey"),
     "join_left": Case(["customer", "orders"], _SPARSE, _SPARSE_SQL + "SELECT * FROM sparse", output="sparse"),

@@ -14,6 +14,7 @@ from ..functions.frames import ORDER, col, ordered, require, visible
 from ..functions.predicate import compile_predicate
 from ..registry import register_transform
 from .base import Transform
+from .running import over_all, ranks_over_all
 
 
 def _names(value: Any) -> Any:
@@ -170,6 +171,10 @@ class Group(Transform):
         return df.groupBy(*map(col, self.by)).agg(*parts, *([F.min(ORDER).alias(ORDER)] if had else []))
 
 
+_RUNNING = frozenset({"row_number", "cumcount", "cumsum", "cummax", "cummin"})
+_RANKS = frozenset({"rank", "dense_rank"})
+
+
 @register_transform("window")
 class WindowColumns(Transform):
     """Columns over partitions: row_number, cumcount, rank, dense_rank, cumsum, cummax, cummin.
@@ -194,36 +199,46 @@ class WindowColumns(Transform):
         require(df, [*self.partition_by, *(self.order_by or {})], "window", TransformError)
         had = ORDER in df.columns
         df = ordered(df)
-        keys = [col(c) for c in self.partition_by] or [F.lit(1)]
-        base = Window.partitionBy(*keys)
-        w = base.orderBy(*_order_columns(self.order_by), ORDER)
-        running = w.rowsBetween(Window.unboundedPreceding, 0)
-        found = {}
         for name, spec in self.add.items():
-            fn, column = spec.get("fn"), spec.get("column")
             if set(spec) - {"fn", "column"}:
                 raise TransformError(f"window: {name} takes fn and column")
-            if fn == "row_number":
-                found[name] = F.row_number().over(w).cast("long")
-                continue
-            if fn == "cumcount":
-                found[name] = F.row_number().over(w).cast("long") - 1
-                continue
-            if fn not in ("rank", "dense_rank", "cumsum", "cummax", "cummin"):
+            fn, column = spec.get("fn"), spec.get("column")
+            if fn not in _RUNNING | _RANKS:
                 raise TransformError(f"window: unknown function {fn!r}")
-            if not column:
-                raise TransformError(f"window: {fn} needs a column")
-            require(df, [column], "window", TransformError)
-            c = col(column)
-            if fn in ("rank", "dense_rank"):
-                ranked = (F.rank() if fn == "rank" else F.dense_rank()).over(base.orderBy(c.asc_nulls_last()))
-                found[name] = F.when(c.isNotNull(), ranked).cast("double")
-            else:
-                total = {"cumsum": F.sum, "cummax": F.max, "cummin": F.min}[fn](c).over(running)
-                found[name] = F.when(c.isNotNull(), total)
-        out = df.withColumns(found)
+            if fn not in ("row_number", "cumcount"):
+                if not column:
+                    raise TransformError(f"window: {fn} needs a column")
+                require(df, [column], "window", TransformError)
+        out = self._within(df) if self.partition_by else self._over_all(df, ctx)
         if self.order_by and (self.sort or had):
             out = out.orderBy(*_order_columns(self.order_by), ORDER)
         if self.order_by and had:
             out = out.withColumn(ORDER, F.monotonically_increasing_id())
         return out if had else out.drop(ORDER)
+
+    def _within(self, df: DataFrame) -> DataFrame:
+        base = Window.partitionBy(*map(col, self.partition_by))
+        w = base.orderBy(*_order_columns(self.order_by), ORDER)
+        found = {}
+        for name, spec in self.add.items():
+            fn, c = spec["fn"], col(spec["column"]) if spec.get("column") else None
+            if fn in ("row_number", "cumcount"):
+                found[name] = F.row_number().over(w).cast("long") - int(fn == "cumcount")
+            elif fn in _RANKS:
+                ranked = (F.rank() if fn == "rank" else F.dense_rank()).over(base.orderBy(c.asc_nulls_last()))
+                found[name] = F.when(c.isNotNull(), ranked).cast("double")
+            else:
+                total = {"cumsum": F.sum, "cummax": F.max, "cummin": F.min}[fn](c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+                found[name] = F.when(c.isNotNull(), total)
+        return df.withColumns(found)
+
+    def _over_all(self, df: DataFrame, ctx: Any) -> DataFrame:
+        """Without partitions no task may hold all rows: ranges of them are taken by themselves."""
+        names = [*df.columns, *self.add]
+        running = {n: (s["fn"], s.get("column")) for n, s in self.add.items() if s["fn"] in _RUNNING}
+        out = df.drop(*(n for n in self.add if n in df.columns and all(n != s.get("column") for s in self.add.values())))
+        if running:
+            out = over_all(out, [*_order_columns(self.order_by), F.col(ORDER)], running, ctx)
+        for column in dict.fromkeys(s["column"] for s in self.add.values() if s["fn"] in _RANKS):
+            out = ranks_over_all(out, column, {n: s["fn"] for n, s in self.add.items() if s["fn"] in _RANKS and s["column"] == column}, ctx)
+        return out.select(*map(col, dict.fromkeys(names)))
