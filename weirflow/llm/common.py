@@ -37,14 +37,22 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again (cuts the lineage)."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    name = f"__{name}"
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def in_class(column: str, modulus: int, remainder: int):
     """crc32 of an id's decimal text, modulo: a null id counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "utf-8")) % modulus == remainder
@@ -81,8 +89,8 @@ def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES
         start = stop
 
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+WHITE = np.zeros(256, bool)
+WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
@@ -145,7 +153,7 @@ class Words:
 def scan_words(column: pa.Array | pa.ChunkedArray) -> Words:
     data, offs = text_buffer(column)
     n = len(offs) - 1
-    inside = ~_WHITE[data]
+    inside = ~WHITE[data]
     size = len(data)
     before = np.zeros(size, bool)
     before[1:] = inside[:-1]
@@ -180,12 +188,12 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 class HashTable:
-    """Numbers to float32, by open addressing; lookups are made for whole arrays."""
+    """Numbers to numbers, by open addressing; lookups are made for whole arrays."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+    def __init__(self, keys: np.ndarray, values: np.ndarray, dtype: np.dtype = np.dtype(np.float32)):
         self.bits = max(4, int(max(1, len(keys)) * 3 - 1).bit_length())
         self.keys = np.full(1 << self.bits, U64(2**64 - 1), U64)
-        self.values = np.zeros(1 << self.bits, np.float32)
+        self.values = np.zeros(1 << self.bits, dtype)
         left, slot = np.arange(len(keys)), self._slots(keys)
         wrap = np.int64((1 << self.bits) - 1)
         while len(left):

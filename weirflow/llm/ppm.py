@@ -1,15 +1,17 @@
 """Language-model scoring by prediction by partial matching.
 
-A byte-context trie holds, for each context of up to ``order`` bytes, the counts of the bytes that
+A byte-context trie holds, for each context of up to ``ORDER`` bytes, the counts of the bytes that
 followed it in the training texts. Code lengths are by method D: a byte seen c times in a context
 of n symbols and d distinct ones costs -log2((2c - 1) / 2n), an escape to the next shorter context
 -log2(d / 2n), and the symbols of the longer context are excluded from there on. A text is
 preceded by marks and ends in one, so its probability is that of the whole text.
 
-Training counts are made per task and summed by slices of the key space; the trie that is sent to
-the executors is bounded by ``max_nodes`` entries for each order, and beyond them the rarest go.
-The unigram statistics of the corpus have no such bound: words meet by hash slices, never as a
-whole, and only their counts come back to the block of documents that asked.
+The trie is whole: no context is dropped, and none of its tables is sent to all executors but that
+of single-byte contexts, which has 65,792 entries at most. What a byte costs depends only on it and
+the ``ORDER`` bytes before it, a gram. Documents are dealt into blocks; a block lists its distinct
+grams with their training counts, and grams meet in slices by the two bytes before the last, where
+all longer contexts are complete. Slices send the costs back to the blocks that listed them. The
+words of the unigram score take the same way: they meet by their hashes and counts come back.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,10 @@ from .common import LOWER, U64, HashTable, blocks, in_class, materialise, scan_w
 
 ORDER = 5
 BEFORE, END = 0xFF, 0xFE  # bytes that UTF-8 never has
-BLOCK = 2 << 20
+#: Bytes of text that are worked on at once, and those of a block.
+PART, BLOCK = 2 << 20, 64 << 20
+#: Packed bytes of the lists that a task gathers from one slice.
+GATHER = 4 << 20
 
 
 def _mask(bytes_: int) -> np.uint64:
@@ -93,21 +99,14 @@ class Trie:
                 shorter = _find(below.contexts, contexts & _mask(k - 1))
                 left_n, left_d = below.n[shorter] - excluded, below.d[shorter] - d
             self.levels.append(_Level(codes, counts, contexts, n, d.astype(float), left_n, left_d))
-        top = self.levels[-1]
-        at = np.searchsorted(top.contexts, top.codes >> U64(8))
-        self.table = HashTable(top.codes, np.log2((2 * top.counts - 1) / (2 * top.n[at])).astype(np.float32) if len(at) else np.zeros(0, np.float32))
 
     def log2(self, codes: np.ndarray) -> np.ndarray:
         """log2 of the probability of each code's last byte after the bytes before it."""
-        out, missing = self.table.get(codes)
-        out = out.astype(np.float64)
-        at = np.flatnonzero(missing)
-        if len(at):
-            same, back = np.unique(codes[at], return_inverse=True)
-            out[at] = self._escaped(same)[back]
-        return out
-
-    def _escaped(self, codes: np.ndarray) -> np.ndarray:
+        same, back = np.unique(codes, return_inverse=True)
+        return self.costs(same)[back]
+
+    def costs(self, codes: np.ndarray) -> np.ndarray:
+        """``log2`` for codes that are worth no sorting."""
         total = np.zeros(len(codes))
         live = np.arange(len(codes))
         above = np.full(len(codes), -1)  # context of the next longer order, or -1
@@ -144,109 +143,178 @@ def train_local(texts: list[bytes], order: int = ORDER) -> Trie:
     return Trie([np.unique(codes & _mask(k + 1), return_counts=True) for k in range(order + 1)])
 
 
-# ---------------------------------------------------------------- the corpus' statistics
-_PARTS = "kind int, block long, slice int, a binary, b binary, c binary, ids array<long>, hashes array<long>, held array<boolean>"
+# ---------------------------------------------------------------- lists of counted keys
+def pack(keys: np.ndarray, values: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted keys by their differences, and values beside them, compressed."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return squeeze(np.diff(keys, prepend=U64(0)).tobytes()), squeeze(np.ascontiguousarray(values).tobytes())
+
+
+def unpack(keys: bytes, values: bytes, kind: str = "<i8") -> tuple[np.ndarray, np.ndarray]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return np.cumsum(np.frombuffer(expand(keys), U64), dtype=U64), np.frombuffer(expand(values), kind)
+
+
+def add_lists(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One list with the sums of the counts; keys that were listed with 0 stay."""
+    keys, counts = (np.concatenate(x) for x in zip(*lists, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+class _Listed:
+    """Keys of a block, gathered part by part; parts are merged when they are as many as the rest."""
+
+    def __init__(self) -> None:
+        self.whole = (np.zeros(0, U64), np.zeros(0, np.int64))
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, trained: np.ndarray, held: np.ndarray) -> None:
+        self.parts.append(tuple(np.unique(trained, return_counts=True)))
+        other = np.unique(held)
+        self.parts.append((other, np.zeros(len(other), np.int64)))
+        self.waiting += len(self.parts[-1][0]) + len(self.parts[-2][0])
+        if self.waiting > len(self.whole[0]):
+            self.sum()
+
+    def sum(self) -> tuple[np.ndarray, np.ndarray]:
+        self.whole = add_lists([self.whole, *self.parts])
+        self.parts, self.waiting = [], 0
+        return self.whole
+
+
+def gram_slice(codes: np.ndarray, slices: int) -> np.ndarray:
+    """By the two bytes before the last: all contexts of two bytes or more are whole in a slice."""
+    pair = (codes >> U64(8)) & U64(0xFFFF)
+    return (((pair + U64(1)) * U64(0x9E3779B97F4A7C15) >> U64(32)) % U64(slices)).astype(np.int64)
+
+
+def word_slice(hashes: np.ndarray, slices: int) -> np.ndarray:
+    return ((hashes >> U64(20)) % U64(slices)).astype(np.int64)
+
+
+GRAM, WORD, TEXT = 0, 1, 2
+_VALUES = {GRAM: "<f4", WORD: "<f8"}
 
 
-def _statistics(docs: DataFrame, order: int, slices: int) -> DataFrame:
-    """Kind 0: counts of codes by slice. Kind 1: a block's distinct words by slice, with training
-    counts. Kind 2: a block's documents, with the words of each."""
+def _listed(docs: DataFrame, slices: int) -> DataFrame:
+    """The documents of each block, and its grams and words by slice with their training counts."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"kind int, block long, slice int, a binary, b binary, doc_id {id_type}, held boolean, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        block = (task.partitionId() if task else 0) << 32
-        names = [p.split(" ")[0] for p in _PARTS.split(", ")]
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+        block, size = (task.partitionId() if task else 0) << 32, 0
+        names = [c.split(" ")[0] for c in schema.split(", ")]
+        grams, words = _Listed(), _Listed()
+        kind_of_id = None
+
+        def lists() -> Iterator[pa.RecordBatch]:
+            for kind, listed, by in ((GRAM, grams, gram_slice), (WORD, words, word_slice)):
+                keys, counts = listed.sum()
+                lot = by(keys, slices)
+                where = np.argsort(lot, kind="stable")
+                edges = np.searchsorted(lot[where], np.arange(slices + 1)).tolist()
+                found = [(s, *pack(keys[at], counts[at])) for s, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x for at in (where[x:y],)]
+                if found:
+                    n = len(found)
+                    number, a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([block] * n, pa.int64()), pa.array(number, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.nulls(n, kind_of_id), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.string())], names=names)
 
-        def rows(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
-
-        codes, counts = np.zeros(0, U64), np.zeros(0, np.int64)
         for whole in batches:
-            for part in blocks(whole, limit=BLOCK):
-                for low in range(0, part.num_rows, 60000):
-                    batch = part.slice(low, 60000)
-                    text = batch.column(3)
-                    held = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
-                    words = scan_words(text)
-                    data = LOWER[words.data]
-                    grams, offs = gram_codes(data, words.doc_offsets, order)
-                    new, n = np.unique(grams[np.repeat(~held, np.diff(offs))], return_counts=True)
-                    del grams
-                    both, back = np.unique(np.concatenate([codes, new]), return_inverse=True)
-                    counts = np.bincount(back, np.concatenate([counts, n]), len(both)).astype(np.int64)
-                    codes = both
-                    distinct, word = np.unique(words.hashes(data), return_inverse=True)
-                    n_docs = batch.num_rows
-                    trained = np.bincount(word[~held[words.doc]], minlength=len(distinct))
-                    # words in the order of their slices
-                    lot = (distinct % U64(slices)).astype(np.int64)
-                    where = np.argsort(lot, kind="stable")
-                    edges = np.searchsorted(lot[where], np.arange(slices + 1))
-                    rank = np.empty(len(where), np.int64)
-                    rank[where] = np.arange(len(where))
-                    pair, times = np.unique(rank[word] * n_docs + words.doc, return_counts=True)
-                    found = []
-                    for s in range(slices):
-                        at = where[edges[s] : edges[s + 1]]
-                        if len(at):
-                            found.append((1, block, s, distinct[at].tobytes(), trained[at].astype("<u4").tobytes(), None, None, None, None))
-                    owner, by_word = (pair % n_docs).astype("<u2"), np.bincount(pair // n_docs, minlength=len(distinct)).astype("<u4")
-                    found.append((2, block, 0, owner.tobytes(), times.astype("<u4").tobytes(), by_word.tobytes(), batch.column(0).to_pylist(), batch.column(1).to_pylist(), held.tolist()))
-                    yield rows(found)
-                    block += 1
-        found = []
-        lot = (((codes * U64(0x9E3779B97F4A7C15)) >> U64(32)) % U64(slices)).astype(np.int64)
-        where = np.argsort(lot, kind="stable")
-        edges = np.searchsorted(lot[where], np.arange(slices + 1))
-        for s in range(slices):
-            at = where[edges[s] : edges[s + 1]]
-            if len(at):
-                found.append((0, block, s, codes[at].tobytes(), counts[at].tobytes(), None, None, None, None))
-        if found:
-            yield rows(found)
-
-    return docs.mapInArrow(run, _PARTS)
-
-
-def _sum_slices(pdf: pd.DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(x, U64) for x in pdf["a"]])
-    values = np.concatenate([np.frombuffer(x, kind) for x in pdf["b"]])
-    found, back = np.unique(keys, return_inverse=True)
-    return found, np.bincount(back, values, len(found)).astype(np.int64)
-
-
-def _trie(parts: DataFrame, order: int, max_nodes: int) -> Trie:
-    """The bounded trie. The least count that an order keeps is never over the next longer's."""
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        codes, counts = _sum_slices(pdf, "<i8")
-        return pd.DataFrame({"code": codes.view(np.int64), "n": counts})
-
-    whole = materialise(parts.where("kind = 0").groupBy("slice").applyInPandas(add, "code long, n long"), "grams")
-    tables, least = [], None
-    for k in range(order, -1, -1):
-        mask = int(_mask(k + 1))
-        level = whole.groupBy(F.col("code").bitwiseAND(F.lit(mask)).alias("code")).agg(F.sum("n").alias("n"))
-        size = level.groupBy(F.least(F.col("n"), F.lit(1 << 20)).alias("n")).count().collect()
-        below, total = 1, sum(r["count"] for r in size)
-        for r in sorted(size):
-            if total <= max_nodes:
-                break
-            total -= r["count"]
-            below = r["n"] + 1
-        least = below if least is None else min(least, below)
-        got = level.where(F.col("n") >= least).toArrow()
-        codes, counts = (got.column(c).to_numpy().astype(np.int64) for c in ("code", "n"))
-        by = np.argsort(codes)
-        tables.append((codes[by].view(U64), counts[by]))
-        whole = materialise(level, "grams") if k == order else whole
-    return Trie(tables[::-1])
-
-
-def score_corpus(docs: DataFrame, held: str = "held", *, order: int = ORDER, max_nodes: int = 1 << 22) -> DataFrame:
+            kind_of_id = whole.schema.field(0).type
+            for part in blocks(whole, limit=PART):
+                data, offs = text_buffer(part.column(2))
+                if size and size + len(data) > BLOCK:
+                    yield from lists()
+                    block, size, grams, words = block + 1, 0, _Listed(), _Listed()
+                size += len(data) + 1
+                held = part.column(1).fill_null(False)
+                out = held.to_numpy(zero_copy_only=False).astype(bool)
+                scanned = scan_words(part.column(2))
+                low = LOWER[data]
+                codes, at = gram_codes(low, offs, ORDER)
+                aside = np.repeat(out, np.diff(at))
+                grams.add(codes[~aside], codes[aside])
+                del codes
+                hashes = scanned.hashes(low)
+                aside = out[scanned.doc]
+                words.add(hashes[~aside], hashes[aside])
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([TEXT] * n, pa.int32()), pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), part.column(0), held, part.column(2).cast(pa.string())], names=names)
+        if size:
+            yield from lists()
+
+    return docs.select("doc_id", "held", "text").mapInArrow(run, schema)
+
+
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    keys, counts = add_lists([unpack(a, b) for a, b in zip(pdf["a"], pdf["b"], strict=True)])
+    a, b = pack(keys, counts)
+    return pd.DataFrame({"kind": pdf["kind"][:1].tolist(), "slice": pdf["slice"][:1].tolist(), "a": [a], "b": [b], "total": [int(counts.sum())], "seen": [int((counts > 0).sum())]})
+
+
+_TOTALS = "kind int, slice int, a binary, b binary, total long, seen long"
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the last two bytes of grams."""
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys, counts = unpack(a, b)
+            n = np.bincount((keys & U64(0xFFFF)).astype(np.int64), counts, 1 << 16)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at].astype(np.int64))], names=["pair", "n"])
+
+
+def slice_costs(keys: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log2 of the probabilities of a slice's grams; ``pairs`` is the corpus' table of order 1."""
+    ones = np.bincount((pairs[0] & U64(0xFF)).astype(np.int64), pairs[1], 256)
+    tables = [(np.flatnonzero(ones).astype(U64), ones[ones > 0].astype(np.int64)), pairs]
+    seen = counts > 0
+    level = (keys[seen], counts[seen])
+    longer = [level]
+    for k in range(ORDER - 1, 1, -1):
+        level = add_lists([(level[0] & _mask(k + 1), level[1])]) if len(level[0]) else level
+        longer.append(level)
+    return Trie([*tables, *longer[::-1]]).costs(keys)
+
+
+def _valued(totals: DataFrame, pairs: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Grams with their costs and words with their counts, slice by slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, number, a, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                keys, counts = unpack(a, b)
+                values = slice_costs(keys, counts, pairs) if kind == GRAM else counts
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([number], pa.int32()), pa.array([a], pa.binary()), pa.array([pack(keys, values.astype(_VALUES[kind]))[1]], pa.binary())], names=["kind", "slice", "a", "b"])
+
+    return totals.select("kind", "slice", "a", "b").mapInArrow(run, "kind int, slice int, a binary, b binary")
+
+
+def _answers(key: tuple, asked: pa.Table, model: pa.Table) -> pa.Table:
+    """What each block's list of a slice is worth."""
+    kind = _VALUES[key[0].as_py()]
+    keys, values = unpack(model.column("a")[0].as_py(), model.column("b")[0].as_py(), kind)
+    out = []
+    for a in asked.column("a").to_pylist():
+        listed = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(a), U64), dtype=U64)
+        out.append(zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values[np.searchsorted(keys, listed)]).tobytes()))
+    return pa.table([asked.column("block"), asked.column("kind"), asked.column("a"), pa.array(out, pa.binary())], names=["block", "kind", "a", "b"])
+
+
+def _table(answers: pa.Table, kind: int) -> HashTable | None:
+    own = [unpack(a, b, _VALUES[kind]) for k, a, b in zip(*(answers.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True) if k == kind]
+    return HashTable(*(np.concatenate(x) for x in zip(*own, strict=True)), dtype=np.dtype(_VALUES[kind])) if own else None
+
+
+def score_corpus(docs: DataFrame, held: str = "held") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
     ``docs`` has doc_id, text and the boolean ``held``; rows that aren't held train. Null texts
@@ -254,50 +322,49 @@ def score_corpus(docs: DataFrame, held: str = "held", *, order: int = ORDER, max
     Repeated rows repeat. An empty table gives no row.
     """
     spark = docs.sparkSession
-    slices = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col(held).alias("held"), "text")
-    parts = materialise(_statistics(rows, order, slices), "ppm")
-    model = spark.sparkContext.broadcast(_trie(parts, order, max_nodes))
-
-    def ppm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = model.value
-        for whole in batches:
-            for batch in blocks(whole, limit=BLOCK):
-                data, offs = text_buffer(batch.column(2))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(trie.score(LOWER[data], offs))], names=["doc_id", "h", "score"])
-
-    scores = rows.select("doc_id", "h", "text").mapInArrow(ppm, "doc_id long, h long, score double")
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _sum_slices(pdf, "<u4")
-        out = [(b, s, counts[np.searchsorted(keys, np.frombuffer(a, U64))].astype("<i8").tobytes(), 0, 0) for b, s, a in zip(pdf["block"], pdf["slice"], pdf["a"], strict=True)]
-        out.append((-1, 0, b"", int(counts.sum()), int((counts > 0).sum())))
-        return pd.DataFrame(out, columns=["block", "slice", "n", "tokens", "known"])
-
-    counted = materialise(parts.where("kind = 1").groupBy("slice").applyInPandas(total, "block long, slice int, n binary, tokens long, known long"), "counts")
-    sums = counted.where("block = -1").agg(F.sum("tokens"), F.sum("known")).first()
-    train_docs = parts.where("kind = 2").agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
+    slices = min(1024, max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = docs.select("doc_id", F.coalesce(F.col(held), F.lit(False)).alias("held"), "text")
+    parts = materialise(_listed(rows, slices), "ppm", compression="zstd")
+    texts = parts.where(f"kind = {TEXT}").select("block", "doc_id", "held", "text")
+    lists = parts.where(f"kind <> {TEXT}").select("kind", "slice", "block", "a", "b")
+    known = lists.agg(F.sum(F.octet_length("a") + F.octet_length("b"))).first()[0] or 0
+    salts = max(1, -(-known // (slices * GATHER)))
+    lists = lists.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)))
+    once = lists.groupBy("kind", "slice", "salt").applyInPandas(_summed, _TOTALS)
+    totals = materialise(once.groupBy("kind", "slice").applyInPandas(_summed, _TOTALS), "totals", compression="zstd")
+    found = totals.where(f"kind = {GRAM}").select("a", "b").mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    order = np.argsort(found.column("pair").to_numpy())
+    pairs = found.column("pair").to_numpy()[order].astype(U64), found.column("n").to_numpy()[order].astype(np.int64)
+    sums = totals.where(f"kind = {WORD}").agg(F.sum("total"), F.sum("seen")).first()
+    train_docs = texts.where("not held").count()
     n_train = (sums[0] or 0) + train_docs
     vocabulary = (sums[1] or 0) + (train_docs > 0)
-
-    def gather(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        by_slice = sorted(zip(right.column("slice").to_pylist(), right.column("n").to_pylist(), strict=True))
-        counts = np.frombuffer(b"".join(n for _, n in by_slice), "<i8")
-        r = left.to_pylist()[0]
-        owner, times, by_word = np.frombuffer(r["a"], "<u2"), np.frombuffer(r["b"], "<u4"), np.frombuffer(r["c"], "<u4")
-        each, n = np.repeat(counts, by_word), len(r["ids"])
-        tokens = np.bincount(owner, times, n) + 1
-        known = np.bincount(owner, times * (each > 0), n) + (train_docs > 0)
-        base = np.bincount(owner, times * np.log10(each + 1.0), n) + np.log10(train_docs + 1.0) - tokens * np.log10(n_train + vocabulary + 1.0)
-        columns = [pa.array(r["ids"], pa.int64()), pa.array(r["hashes"], pa.int64()), pa.array(r["held"], pa.bool_()), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base)]
-        return pa.table(columns, names=["doc_id", "h", "held_out", "n_tokens", "n_known", "base_score"])
-
-    asked = parts.where("kind = 2").select("block", "a", "b", "c", "ids", "hashes", "held").groupBy("block")
-    base = asked.cogroup(counted.where("block >= 0").select("block", "slice", "n").groupBy("block")).applyInArrow(gather, "doc_id long, h long, held_out boolean, n_tokens long, n_known long, base_score double")
-    # rows that repeat an id and a text score the same: one of them is enough to join
-    one = base.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(*(F.max(c).alias(c) for c in ("held_out", "n_tokens", "n_known", "base_score")))
-    out = scores.join(one, scores["doc_id"].eqNullSafe(one["__d"]) & (scores["h"] == one["__h"]))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")
+    model = _valued(totals, pairs).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    keys = ("kind", "slice", "salt")
+    answers = lists.select(*keys, "block", "a").groupBy(*keys).cogroup(model.select(*keys, "a", "b").groupBy(*keys)).applyInArrow(_answers, "block long, kind int, a binary, b binary")
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        grams, words = _table(right, GRAM), _table(right, WORD)
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+        out = []
+        for batch in left.select(["doc_id", "held", "text"]).combine_chunks().to_batches():
+            for part in blocks(batch, limit=PART):
+                n = part.num_rows
+                scanned = scan_words(part.column(2))
+                low = LOWER[scanned.data]
+                codes, at = gram_codes(low, scanned.doc_offsets, ORDER)
+                costs = np.add.reduceat(grams.get(codes)[0], at[:-1], dtype=np.float64)
+                hashes = scanned.hashes(low)
+                counts = words.get(hashes)[0] if len(hashes) else np.zeros(0)
+                tokens = np.bincount(scanned.doc, minlength=n) + 1
+                seen = np.bincount(scanned.doc, counts > 0, n).astype(np.int64) + (train_docs > 0)
+                base = np.bincount(scanned.doc, np.log10(counts + 1.0), n) + np.log10(train_docs + 1.0) - tokens * np.log10(n_train + vocabulary + 1.0)
+                out.append(pa.table([part.column(0), part.column(1), pa.array(tokens), pa.array(seen), pa.array(base), pa.array(costs * np.log10(2))], names=names))
+        return pa.concat_tables(out)
+
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_ppm_score(spark, sf_dir: str) -> DataFrame:
