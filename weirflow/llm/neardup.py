@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, blocks, materialise, mix, scan_words, windows
+from .common import LOWER, U64, blocks, materialise, mix, scan_words, unused, windows
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -359,14 +359,16 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     order = F.struct(F.col("__d").isNull().alias("x"), F.coalesce("__d", F.lit(0)).alias("d"), "node")
     first = counted.groupBy("label").agg(F.min_by(F.struct("__d", "node"), order).alias("w")).select(F.col("w.node").alias("__wn"), F.col("w.__d").alias("__wd"))
     match = (F.col("node") == F.col("__wn")) & F.col("__d").eqNullSafe(F.col("__wd"))
-    dropped = counted.join(first, match, "left_anti").select(F.col("node").alias("__n"), F.col("__d").alias("__i"))
-    again = counted.where("k > 1").join(first, match, "left_semi").select(F.col("node").alias("__n"), F.col("__d").alias("__i"))
-    dropped, again = materialise(dropped, "dropped"), materialise(again, "again")
-    full = docs.withColumn("__node", key)
-    on = (F.col("__node") == F.col("__n")) & F.col("doc_id").eqNullSafe(F.col("__i"))
+    by_node, by_id = unused(docs, "n"), unused(docs, "i")
+    named = F.col("node").alias(by_node), F.col("__d").alias(by_id)
+    dropped = materialise(counted.join(first, match, "left_anti").select(*named), "dropped")
+    again = materialise(counted.where("k > 1").join(first, match, "left_semi").select(*named), "again")
+    at = unused(docs, "node")
+    full = docs.withColumn(at, key)
+    on = (F.col(at) == F.col(by_node)) & F.col("doc_id").eqNullSafe(F.col(by_id))
     left = full.join(dropped.union(again), on, "left_anti")
-    once = full.join(again, on, "left_semi").dropDuplicates(["__node", "doc_id"])
-    return left.unionByName(once).drop("__node")
+    once = full.join(again, on, "left_semi").dropDuplicates([at, "doc_id"])
+    return left.unionByName(once).drop(at)
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
