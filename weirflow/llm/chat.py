@@ -88,19 +88,29 @@ def _common(a: str, b: str) -> int:
     return low
 
 
+def _text_span(turns: list[Turn], now: str, render: Render) -> tuple[int, int]:
+    """Where the last turn's text stands in ``now``, by two other texts in its place."""
+    *before, (role, _) = turns
+    a, b = render([*before, (role, "a")]), render([*before, (role, "bb")])
+    head = _common(a, b)
+    tail = _common(a[::-1], b[::-1]) if head < min(len(a), len(b)) else 0
+    return head, len(now) - min(tail, len(a) - head - 1)
+
+
 def format_turns(turns: list[Turn], render: Render = render_turns, learned: tuple[str, ...] = ("assistant",)) -> Formatted:
     """Renders all prefixes. A turn's span ends where the next output still agrees with its own.
 
-    If a turn changes output before the span of the turn before it, its index goes to
+    What follows a turn's text, such as a mark at the very end, may change with the next turn. If
+    a turn changes output up to the text of the turn before it, its index goes to
     ``rewritten_by``; such conversations get no loss spans, as they couldn't be trusted.
     """
     before = render([])
     out = Formatted(before)
-    start = len(before)
+    start, text_end = len(before), 0
     for k, (role, _) in enumerate(turns):
         now = render(turns[: k + 1])
         same = _common(out.text, now)
-        if same < start and k:
+        if same < text_end:
             out.rewritten_by.append(k)
         if k:
             begin = out.spans[-1][0]
@@ -109,12 +119,9 @@ def format_turns(turns: list[Turn], render: Render = render_turns, learned: tupl
         else:
             start = same
         out.spans.append((start, len(now)))
-        if role in learned and not out.rewritten_by:
-            a, b = render([*turns[:k], (role, "a")]), render([*turns[:k], (role, "bb")])
-            head = _common(a, b)
-            tail = _common(a[::-1], b[::-1]) if head < min(len(a), len(b)) else 0
-            tail = min(tail, len(a) - head - 1)
-            out.loss.append((head, len(now) - tail))
+        begin, text_end = _text_span(turns[: k + 1], now, render)
+        if role in learned:
+            out.loss.append((begin, text_end))
         out.text = now
     if out.rewritten_by:
         out.loss = []
