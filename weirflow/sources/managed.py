@@ -77,15 +77,13 @@ def upsert(target: DataFrame | None, r: WriteRequest) -> DataFrame:
         return r.frame.withColumn(FLAG, F.lit("inserted"))
     new = _into(r.frame, target.schema)
     s = new.select(*(col(c).alias(f"__s{k}") for k, c in enumerate(target.columns)), F.lit(True).alias("__hit"))
-    same = _all([col(k) == F.col(f"__s{target.columns.index(k)}") for k in r.key])
-    hit = F.col("__hit").isNotNull()
-    old = target.join(s, same, "left").select(
+    t = target.withColumn("__old", F.lit(True))
+    both = t.join(s, _all([col(k) == F.col(f"__s{target.columns.index(k)}") for k in r.key]), "full_outer")  # one shuffle of each side
+    hit, old = F.col("__hit").isNotNull(), F.col("__old").isNotNull()
+    return both.select(
         *((F.when(hit, F.col(f"__s{k}")).otherwise(col(c)).alias(c) if c in r.frame.columns else col(c)) for k, c in enumerate(target.columns)),
-        F.when(hit, "updated").otherwise("kept").alias(FLAG),
+        F.when(hit & old, "updated").when(hit, "inserted").otherwise("kept").alias(FLAG),
     )
-    keys = target.select(*(col(k).alias(f"__k{i}") for i, k in enumerate(r.key)))
-    fresh = new.join(keys, _all([col(k) == F.col(f"__k{i}") for i, k in enumerate(r.key)]), "left_anti")
-    return old.unionByName(fresh.withColumn(FLAG, F.lit("inserted")))
 
 
 @register_load_strategy("delete")
@@ -109,17 +107,20 @@ def scd2(target: DataFrame | None, r: WriteRequest) -> DataFrame:
     opened = r.frame.withColumns({start: now, end: F.lit(None).cast("timestamp_ntz"), flag: F.lit(True)})
     if target is None:
         return opened.withColumn(FLAG, F.lit("inserted"))
-    current = target.where(col(flag))
-    s = r.frame.select(*(col(k).alias(f"__k{i}") for i, k in enumerate(r.key)), *(col(c).alias(f"__t{i}") for i, c in enumerate(r.scd.track)), F.lit(True).alias("__hit"))
-    on = lambda t: _all([t[k] == s[f"__k{i}"] for i, k in enumerate(r.key)])
-    changed = F.col("__hit").isNotNull() & ~_all([col(c).eqNullSafe(F.col(f"__t{i}")) for i, c in enumerate(r.scd.track)])
-    marked = current.join(s, on(current), "left").withColumn("__c", changed)
-    kept = marked.select(*(F.when(F.col("__c"), now).otherwise(col(c)).alias(c) if c == end else F.when(F.col("__c"), False).otherwise(col(c)).alias(c) if c == flag else col(c) for c in target.columns), F.when(F.col("__c"), "closed").otherwise("kept").alias(FLAG))
-    same = current.select(*(col(k).alias(f"__k{i}") for i, k in enumerate(r.key)), *(col(c).alias(f"__t{i}") for i, c in enumerate(r.scd.track)))
-    unchanged = _all([col(k) == F.col(f"__k{i}") for i, k in enumerate(r.key)]) & _all([col(c).eqNullSafe(F.col(f"__t{i}")) for i, c in enumerate(r.scd.track)])
-    fresh = _into(opened.join(same, unchanged, "left_anti"), target.schema).withColumn(FLAG, F.lit("inserted"))
+    names = target.columns
+    new = _into(opened, target.schema)
+    s = new.select(*(col(c).alias(f"__s{k}") for k, c in enumerate(names)), F.lit(True).alias("__hit"))
+    at = lambda c: F.col(f"__s{names.index(c)}")
+    current = target.where(col(flag)).withColumn("__old", F.lit(True))
+    both = current.join(s, _all([col(k) == at(k) for k in r.key]), "full_outer")
+    hit, old = F.col("__hit").isNotNull(), F.col("__old").isNotNull()
+    changed = hit & old & ~_all([col(c).eqNullSafe(at(c)) for c in r.scd.track])
+    closed = {end: F.when(changed, now).otherwise(col(end)), flag: F.when(changed, False).otherwise(col(flag))}
+    last = F.struct(*(closed.get(c, col(c)).alias(c) for c in names), F.when(changed, "closed").otherwise("kept").alias(FLAG))
+    first = F.struct(*(at(c).alias(c) for c in names), F.lit("inserted").alias(FLAG))
+    versions = F.filter(F.array(F.when(old, last), F.when(hit & (~old | changed), first)), lambda v: v.isNotNull())
     history = target.where(~F.coalesce(col(flag), F.lit(False))).withColumn(FLAG, F.lit("kept"))
-    return history.unionByName(kept).unionByName(fresh)
+    return history.unionByName(both.select(F.explode(versions).alias("v")).select("v.*"))
 
 
 class ManagedAdapter(Adapter):
