@@ -182,8 +182,10 @@ def test_partition_values_date_history(spark, plan):
     assert str(row["valid_from"]) == "2024-07-01 00:00:00" and row["is_current"] is True
 
 
-def test_frames_read_twice_are_kept_once(spark, plan):
-    doc = plan(a={"stage": "transform", "input": "kept", "output": "a", "steps": [{"action": "drop", "with": ["v"]}]})
+def test_shuffled_frames_that_are_read_twice_are_kept(spark, plan):
+    again = {"stage": "transform", "input": "kept", "output": "a", "steps": [{"action": "drop", "with": ["v"]}]}
+    assert Orchestrator(load_config(plan(a=again)), spark).run().persisted == []
+    doc = plan([{"action": "dedupe", "with": {"on": "k"}}], a={"stage": "transform", "input": "kept", "output": "a", "steps": [{"action": "drop", "with": ["v"]}]})
     config = load_config(doc)
     runner = Orchestrator(config, spark)
     ctx = runner.run()

@@ -116,7 +116,7 @@ class Orchestrator:
     def _task(self, name: str, ctx: ExecutionContext) -> None:
         task, began = self.config.tasks[name], datetime.now()
         run: Any = {ExtractTask: run_extract, LoadTask: run_load}.get(type(task))
-        work = (lambda: run(task, ctx)) if run else (lambda: run_transform(task, ctx, self.readers.get(task.output, 0)))
+        work = (lambda: run(task, ctx)) if run else (lambda: run_transform(task, ctx, self.readers))
         with_retry(task.retry, f"task {name}", work)
         log.info("task %s done in %.3g s", name, (datetime.now() - began).total_seconds())
 

@@ -95,7 +95,7 @@ def _fingerprint(frame: DataFrame) -> list[str]:
 
 
 # ---------------------------------------------------------------- transform
-def _steps(task: TransformTask, ctx: ExecutionContext) -> tuple[DataFrame, DataFrame | None]:
+def _steps(task: TransformTask, ctx: ExecutionContext, rejects_read: bool) -> tuple[DataFrame, DataFrame | None]:
     flowing = ctx.state.get(task.input) if task.input else None
     rejected: list[DataFrame] = []
     if flowing is not None:
@@ -109,8 +109,9 @@ def _steps(task: TransformTask, ctx: ExecutionContext) -> tuple[DataFrame, DataF
             if step.on_error == "quarantine":
                 if not action.supports_quarantine:
                     raise TransformError("this action can't quarantine rows")
-                source = _keep(flowing, ctx)  # both outputs see one reading of it
-                flowing, bad = action.apply_safe(source, ctx)
+                if rejects_read:
+                    flowing = _keep(flowing, ctx)  # both outputs see one reading of it
+                flowing, bad = action.apply_safe(flowing, ctx)
                 rejected.append(hide(bad))
             else:
                 if step.on_error == "skip":
@@ -128,13 +129,18 @@ def _steps(task: TransformTask, ctx: ExecutionContext) -> tuple[DataFrame, DataF
     return flowing, reduce(lambda a, b: a.unionByName(b), aligned(rejected, names))
 
 
-def run_transform(task: TransformTask, ctx: ExecutionContext, readers: int = 1) -> None:
+#: Actions that shuffle. What comes of them is kept if it is read again; other frames are read
+#: anew from the scan, which then reads only the columns and rows that each reader needs.
+_WIDE = frozenset({"join", "merge", "fuzzy_join", "group", "window", "sort", "dedupe", "compare_diff"})
+
+
+def run_transform(task: TransformTask, ctx: ExecutionContext, readers: dict[str, int]) -> None:
     names = task.produces()
     store = ctx.checkpoint_store if task.checkpoint else None
     key = digest("transform", [s.model_dump() for s in task.steps], task.input, [ctx.origins.get(n, f"?{time.time()}") for n in task.consumes()])
     found = store.load(task.name, key, names) if store else None
     if found is None:
-        frame, bad = _steps(task, ctx)
+        frame, bad = _steps(task, ctx, bool(readers.get(names[-1])) and len(names) > 1)
         found = {task.output: frame}
         if len(names) > 1:
             found[names[1]] = bad
@@ -143,8 +149,10 @@ def run_transform(task: TransformTask, ctx: ExecutionContext, readers: int = 1)
                 found = store.save(task.name, key, found)
             except PySparkException as e:
                 raise TransformError(f"task {task.name}: {_message(e)}") from e
-        elif (task.output_contract and task.validation is not ValidationMode.OFF) or task.expectations or readers > 1:
-            found[task.output] = _keep(found[task.output], ctx)
+        elif any(s.action in _WIDE for s in task.steps):
+            checks = bool(task.output_contract and task.validation is not ValidationMode.OFF) + bool(task.expectations)
+            if readers.get(task.output, 0) + checks > 1:
+                found[task.output] = _keep(found[task.output], ctx)
     try:
         _validate(found[task.output], task.output_contract, task.validation, ctx)
         check_expectations(hide(found[task.output]), task.expectations)
