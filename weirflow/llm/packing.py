@@ -8,8 +8,11 @@ over the bins' free space finds in logarithmic time.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialise, mix1, text_buffer
+from .common import LOWER, WHITE, blocks, materialise, mix1, text_buffer
 
 SEQUENCE = 2048
+#: Bytes of text that are encoded at once.
+BLOCK = 4 << 20
 
 
 class TournamentTree:
@@ -69,53 +74,118 @@ def first_fit_decreasing(lengths: list[int], capacity: int = SEQUENCE) -> tuple[
     return bins, offsets
 
 
+_MARKS = np.zeros(256, bool)
+_MARKS[[ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+_SMALL = np.zeros(256, bool)
+_SMALL[97:123] = True
+#: Letters that the tokenizer's normalisation leaves as they are.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: What byte-level tokenizers show bytes as: printable ones as themselves, others from 256 on.
+_SHOWN = {b: b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+_SHOWN |= {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: Normalisation and splitting of the tokenizers whose texts can be cut into chunks (fixed values).
+_CHUNKED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+#: Words whose ids a worker keeps; beyond them it begins anew.
+KEPT_WORDS = 300_000
+
+
 class ChunkEncoder:
-    """Token ids of texts, from the ids of their white-space-separated chunks.
+    """Token ids of texts, from the ids of their chunks.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its
-    chunks in order; each distinct chunk of a block is encoded once.
+    The tokenizer drops white space, keeps case of no letter, and never merges across white space
+    or between an ASCII letter and an ASCII mark (but the apostrophe, which begins contractions).
+    So a text's ids are those of its chunks in order, and each distinct chunk is encoded once.
+    Texts that could hold a control token are encoded whole, and so is every text with a
+    tokenizer of another kind.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(self.tokenizer.to_str())
+        self.chunked = all(settings[k] == v for k, v in _CHUNKED.items()) and not settings["model"].get("dropout")
+        self._reset()
+
+    def _reset(self) -> None:
+        self.table: dict[bytes, int] = {}
+        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, column: pa.Array, end_id: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``end_id`` after each row's, and the n + 1 offsets of the rows; nulls are empty."""
         data, offs = text_buffer(column)
         n = len(offs) - 1
-        view = data.tobytes()
-        lists = [view[a:b].split() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-        table: dict[bytes, int] = {}
-        number = table.setdefault
-        counts = np.fromiter(map(len, lists), np.int64, n)
-        at = np.fromiter((number(c, len(table)) for chunks in lists for c in chunks), np.int64, int(counts.sum()))
-        del lists
-        flat, first = self._chunks(list(table))
-        size = np.diff(first)[at]
+        odd = np.arange(n) if not self.chunked else np.unique(np.searchsorted(offs, np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)), "right") - 1)
+        whole = [self.tokenizer.encode(data[offs[d] : offs[d + 1]].tobytes().decode(), add_special_tokens=False).ids for d in odd.tolist()]
+        low = LOWER[data]
+        for d in odd.tolist():
+            low[offs[d] : offs[d + 1]] = 32
+        cut = np.zeros(len(low) + 1, bool)
+        cut[1:-1] = (_SMALL[low[:-1]] & _MARKS[low[1:]]) | (_MARKS[low[:-1]] & _SMALL[low[1:]])
+        cut[offs] = True
+        at = np.flatnonzero(cut)
+        spaced = np.insert(low, at, 32)
+        inside = ~WHITE[spaced]
+        inside[1:] &= WHITE[spaced[:-1]]  # starts of chunks
+        edges = offs + np.searchsorted(at, offs)
+        counts = np.diff(np.concatenate([[0], np.cumsum(inside)])[edges])
+        words = self._numbers(spaced.tobytes().split())
+        size = np.diff(self.first)[words]
         per_doc = np.zeros(n, np.int64)
         full = np.flatnonzero(counts)
         if len(full):
             per_doc[full] = np.add.reduceat(size, (np.cumsum(counts) - counts)[full])
+        per_doc[odd] = [len(w) for w in whole]
         total = int(size.sum())
         base = np.cumsum(size) - size
-        ids = flat[np.repeat(first[:-1][at] - base, size) + np.arange(total)] if total else np.zeros(0, np.uint32)
+        ids = self.flat[np.repeat(self.first[:-1][words] - base, size) + np.arange(total)] if total else np.zeros(0, np.uint32)
         offsets = np.concatenate([[0], np.cumsum(per_doc + 1)])
         out = np.full(int(offsets[-1]), end_id, np.uint32)
         keep = np.ones(len(out), bool)
         keep[offsets[1:] - 1] = False
+        for d, found in zip(odd.tolist(), whole, strict=True):
+            out[offsets[d] : offsets[d + 1] - 1] = found
+            keep[offsets[d] : offsets[d + 1]] = False
         out[keep] = ids
         return out, offsets
 
-    def _chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        parts, sizes = [], []
-        for at in range(0, len(chunks), 20000):
-            got = self.tokenizer.encode_batch([c.decode() for c in chunks[at : at + 20000]], add_special_tokens=False)
-            ids = [e.ids for e in got]
-            sizes += map(len, ids)
-            parts.append(np.fromiter((i for x in ids for i in x), np.uint32))
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """Places of chunks in the table, which gets those that it lacks."""
+        if len(self.table) > KEPT_WORDS:
+            self._reset()
+        table = self.table
+        fresh = [w for w in dict.fromkeys(words) if w not in table]
+        if fresh:
+            texts = [w.decode() for w in fresh]
+            plain = self.tokenizer.model.tokenize
+            ids: list = [[t.id for t in plain(w.decode("latin-1").translate(_SHOWN))] if _PLAIN.fullmatch(x) else None for w, x in zip(fresh, texts, strict=True)]
+            rest = [k for k, i in enumerate(ids) if i is None]
+            for low in range(0, len(rest), 10_000):
+                part = rest[low : low + 10_000]
+                for k, e in zip(part, self.tokenizer.encode_batch_fast([texts[k] for k in part], add_special_tokens=False), strict=True):
+                    ids[k] = e.ids
+            start = len(table)
+            table.update(zip(fresh, range(start, start + len(fresh)), strict=True))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+        return np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> ChunkEncoder:
+    """The encoder of a file, made once in each worker process."""
+    return ChunkEncoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, length: int = SEQUENCE, end_id: int = 1) -> DataFrame:
@@ -134,9 +204,9 @@ def pieces(docs: DataFrame, tokenizer: str, *, length: int = SEQUENCE, end_id: i
 
         task = TaskContext.get()
         lot = mix1((task.partitionId() if task else 0) + 1)
-        encoder, row = ChunkEncoder(tokenizer), 0
+        encoder, row = encoder_of(tokenizer), 0
         for whole in batches:
-            for batch in blocks(whole):
+            for batch in blocks(whole, limit=BLOCK):
                 ids, offs = encoder.encode(batch.column(1), end_id)
                 source, start, size, crc, total, lots = [], [], [], [], [], []
                 view = memoryview(ids.astype("<u4")).cast("B")
