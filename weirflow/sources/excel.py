@@ -66,6 +66,8 @@ def _date_styles(book: zipfile.ZipFile) -> set[int]:
 
 def parse_sheet(content: bytes, sheet: str) -> list[list[Any]]:
     """All rows of a sheet; empty cells are None."""
+    if not zipfile.is_zipfile(io.BytesIO(content)):
+        raise AdapterError("not a workbook of zipped XML; older binary workbooks can't be read")
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = _sheets(book)
         if sheet not in names:
