@@ -237,6 +237,23 @@ def test_sqlite_keys_and_queries(adapter, frame, tmp_path):
     assert rows(q.read("p"), "twice") == [(100,)]
 
 
+@pytest.mark.parametrize(
+    ("params", "url", "user"),
+    [
+        ({"engine": "postgres", "uri": "postgresql://me:p%40w@db:5432/billing"}, "jdbc:postgresql://db:5432/billing", ("me", "p@w")),
+        ({"engine": "postgresql", "url": "jdbc:postgresql://db/x?ssl=true", "user": "u"}, "jdbc:postgresql://db/x?ssl=true", ("u", None)),
+        ({"engine": "mysql", "uri": "mysql+pymysql://me@db/x"}, "jdbc:mysql://db/x", ("me", None)),
+        ({"engine": "mssql", "uri": "mssql+pyodbc://me:pw@db:1433/x?driver=ODBC"}, "jdbc:sqlserver://db:1433;databaseName=x", ("me", "pw")),
+        ({"engine": "mssql", "host": "db", "database": "x", "user": "me", "password": "pw"}, "jdbc:sqlserver://db:1433;databaseName=x", ("me", "pw")),
+        ({"engine": "postgres", "host": "db", "port": 99, "database": "x"}, "jdbc:postgresql://db:99/x", (None, None)),
+        ({"engine": "access", "uri": "/data/c.accdb"}, "jdbc:ucanaccess:///data/c.accdb", (None, None)),
+    ],
+)
+def test_connection_settings(adapter, params, url, user):
+    a = adapter("db", **params)
+    assert a.url == url and (a.options.get("user"), a.options.get("password")) == user
+
+
 def test_managed_manifests(adapter, frame, spark, tmp_path):
     a = adapter("db", engine="managed", path=str(tmp_path / "m"))
     for k in range(3):

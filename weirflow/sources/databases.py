@@ -13,6 +13,7 @@ from contextlib import contextmanager
 from datetime import date, datetime
 from decimal import Decimal
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -367,6 +368,25 @@ _URLS = {
 }
 
 
+def jdbc_url(uri: str) -> tuple[str, dict[str, str]]:
+    """A JDBC URL, and the user and password that a URI names; ``postgresql://me:pw@host/db`` and
+    URIs with a client library's name (``mysql+x://``) will do, with or without ``jdbc:``."""
+    plain = uri.removeprefix("jdbc:")
+    scheme, found, rest = plain.partition("://")
+    if not found:
+        return "jdbc:" + plain, {}
+    scheme = scheme.split("+")[0].lower()
+    scheme = {"postgres": "postgresql", "mssql": "sqlserver"}.get(scheme, scheme)
+    place, slash, tail = rest.partition("/")
+    who, at, host = place.rpartition("@")
+    user, _, password = who.partition(":")
+    known = {k: unquote(v) for k, v in (("user", user), ("password", password)) if v} if at else {}
+    if scheme == "sqlserver" and tail:
+        name, _, more = tail.partition("?")
+        return f"jdbc:sqlserver://{host};databaseName={name}" + "".join(f";{x}" for x in more.split("&") if x and not x.startswith("driver=")), known
+    return f"jdbc:{scheme}://{host}{slash}{tail}", known
+
+
 class _JdbcSession(Session):
     def __init__(self, connection):
         self.connection = connection
@@ -401,8 +421,14 @@ class JdbcAdapter(SqlAdapter):
         super().__init__(resource, spark)
         p, engine = self.params, str(self.params.get("engine", "")).lower()
         url = p.get("uri") or p.get("url")
-        if url:
-            self.url = url if url.startswith("jdbc:") else "jdbc:" + url
+        known: dict[str, str] = {}
+        if engine == "access":
+            place = str(url or p.get("path") or "")
+            if not place:
+                raise AdapterError(f"resource {resource.name!r}: a uri or a path is needed")
+            self.url = place if place.startswith("jdbc:") else f"jdbc:ucanaccess://{place}"
+        elif url:
+            self.url, known = jdbc_url(url)
         elif engine in _URLS and p.get("database"):
             kind, port = _URLS[engine]
             if engine == "derby":
@@ -414,7 +440,7 @@ class JdbcAdapter(SqlAdapter):
         else:
             raise AdapterError(f"resource {resource.name!r}: a url, or a known engine with a database, is needed")
         self.engine = engine or self.url.split(":")[1]
-        self.options = {"url": self.url} | {k: str(p[k]) for k in ("user", "password", "driver") if p.get(k)} | {k: str(v) for k, v in (p.get("options") or {}).items()}
+        self.options = {"url": self.url} | known | {k: str(p[k]) for k in ("user", "password", "driver") if p.get(k)} | {k: str(v) for k, v in (p.get("options") or {}).items()}
         self.sql = Statements("`" if self.engine == "mysql" else "[]" if self.engine in ("mssql", "sqlserver") else '"', "1" if self.engine in ("mysql", "mssql", "sqlserver") else "true", "0" if self.engine in ("mysql", "mssql", "sqlserver") else "false")
         if self.engine == "derby":
             self.text_type = "VARCHAR(32672)"
@@ -490,6 +516,4 @@ def database(resource, spark=None) -> Adapter:
         return ManagedAdapter(resource, spark)
     if engine == "sqlite" or url.removeprefix("jdbc:").startswith("sqlite:"):
         return SqliteAdapter(resource, spark)
-    if engine == "access" and not url:
-        raise AdapterError("Access needs a JDBC url and a driver for it")
     return JdbcAdapter(resource, spark)
