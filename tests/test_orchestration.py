@@ -257,3 +257,19 @@ def test_streamed_files_are_loaded_once(spark, tmp_path):
     assert total() == [0, 1, 2, 4, 5, 6, 7, 8, 9]
     with pytest.raises(TransformError, match="single rows"):
         ingest_new_files(spark, str(inbox), "id long", target, "t", str(tmp_path / "s2"), steps=[("dedupe", {"on": "id"})])
+
+
+def test_command_line_runs_a_file(spark, plan, keys, tmp_path, capsys):
+    import yaml
+
+    from weirflow.cli import main
+
+    doc = plan([{"action": "filter", "with": {"v": {"op": ">=", "value": "${param:low}"}}}])
+    doc["parameters"] = {"low": {"type": "integer", "default": 30}}
+    (tmp_path / "p.yaml").write_text(yaml.safe_dump(doc))
+    assert main(["run", str(tmp_path / "p.yaml"), "--param", "low=20"]) == 0 and "inserted=2" in capsys.readouterr().out
+    assert keys(load_config(doc)) == [2, 3]
+    assert main(["run", str(tmp_path / "p.yaml")]) == 0 and keys(load_config(doc)) == [3]
+    doc["tasks"]["put"]["steps"][0] |= {"mode": "upsert", "key": "zzz"}
+    (tmp_path / "p.yaml").write_text(yaml.safe_dump(doc))
+    assert main(["-v", "run", str(tmp_path / "p.yaml")]) == 1 and "AdapterError" in capsys.readouterr().err
