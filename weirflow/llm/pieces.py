@@ -28,7 +28,7 @@ from .common import U64, HashTable, blocks, mix, text_buffer
 _WORD = re.compile(r" *[^ ]+| +")
 _MARK = 0x2581
 _FACTOR = U64(0xD6E8FEB86659FD93)
-BLOCK = 6 << 20
+BLOCK = 2 << 20
 
 
 @lru_cache(maxsize=4)
@@ -135,25 +135,28 @@ class Lattice:
                 alone[at[~missing & (value > 0)]] = False
             at, h, value = at[~missing], h[~missing], value[~missing].astype(np.int64)
             piece = value > 0
-            starts.append(at[piece])
-            sizes.append(np.full(int(piece.sum()), size))
-            ids.append(value[piece] - 1)
+            starts.append(at[piece].astype(np.int32))
+            sizes.append(np.full(int(piece.sum()), size, np.int32))
+            ids.append((value[piece] - 1).astype(np.int32))
         # characters without a piece of their own: pseudo pieces after the vocabulary
         odd = np.flatnonzero(alone) if n else np.zeros(0, np.int64)
         codes, back = np.unique(code[odd], return_inverse=True)
         codes[codes == 0xFFFFFFFF] = _MARK
         self.odd = [chr(c).encode("utf-8", "surrogatepass") for c in codes.tolist()]
-        starts.append(odd)
-        sizes.append(np.ones(len(odd), np.int64))
-        ids.append(vocabulary.size + back)
+        starts.append(odd.astype(np.int32))
+        sizes.append(np.ones(len(odd), np.int32))
+        ids.append((vocabulary.size + back).astype(np.int32))
         start, size, piece = (np.concatenate(x) for x in (starts, sizes, ids))
+        del starts, sizes, ids, at, h
         weight = np.append(vocabulary.weight, np.full(len(codes), -20.0))[piece]
         end = start + size - 1
-        depth = end - word_first[end]
-        order = np.argsort((depth * (n + 1) + end) << 5 | size)  # longest pieces have under 32 characters
+        depth = (end - word_first[end]).astype(np.int32)
+        order = np.argsort((depth.astype(np.int64) * (n + 1) + end) << 5 | size)  # longest pieces have under 32 characters
+        del size, word_first, word_end
         start, end, piece, weight, depth = start[order], end[order], piece[order], weight[order], depth[order]
+        begins = np.isin(start, first, kind="table")
+        del order
         forward = np.zeros(n + 1)  # entry e + 1: log weight of all segmentations up to character e
-        begins = start == word_first[start]
         edges = np.searchsorted(depth, np.arange(int(depth[-1]) + 2 if len(depth) else 1))
         score = np.empty(len(start))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -166,7 +169,7 @@ class Lattice:
             forward[e[group] + 1] = total
             score[a:b] = s - np.repeat(total, count)
         self.total = forward[self.stop + 1]  # log weight of all segmentations of each word
-        by = np.argsort(end << 5 | (end - start))
+        by = np.argsort(end.astype(np.int64) << 5 | (end - start))
         self.piece, end = piece[by], end[by]
         self.before = np.where(begins[by], -1, start[by] - 1)  # where the walk goes on; -1: the word's start
         self.first = np.searchsorted(end, np.arange(n + 1))
@@ -286,10 +289,10 @@ def encode(docs: DataFrame, model: str, *, seed: int = 0, temper: float = 0.5, k
 
 def decode(rows: DataFrame, model: str, *, ids: str = "ids", into: str = "text") -> DataFrame:
     """``rows`` with the texts of their ids; null ids give null."""
-    schema = rows.schema.add(into, "string") if into not in rows.columns else rows.schema
-    at = rows.columns.index(ids)
     if into in rows.columns:
         raise ValueError(f"there is a column {into!r} already")
+    schema = T.StructType([*rows.schema, T.StructField(into, T.StringType())])
+    at = rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(model, 0.5)
