@@ -147,7 +147,10 @@ def test_fuzzy_join_finds_the_brute_force_best(frame, run):
     rng = random.Random(5)
     names = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(60)]
     others = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(60)]
-    for t in (0.5, 0.7, 0.9):
+    for _ in range(60):  # longer ones, with a few characters changed
+        names.append("".join(rng.choice("abcdef é") for _ in range(rng.randint(8, 30))))
+        others.append("".join(c for c in names[-1] if rng.random() > 0.12) + rng.choice(["", "x", "ab"]))
+    for t in (0.5, 0.7, 0.85, 0.9, 1.0):
         got = {r[0]: r[1] for r in run("fuzzy_join", {"right": "r", "left_on": "a", "right_on": "b", "threshold": t}, frame("a string", *((n,) for n in names)), r=frame("b string", *((o,) for o in others)))}
         for n in names:
             scored = [(similarity(n, o), -k, o) for k, o in zip(itertools.count(), others, strict=False)]

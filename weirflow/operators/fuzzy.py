@@ -10,7 +10,7 @@ from pydantic import Field, field_validator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from ..errors import TransformError
 from ..functions.frames import ORDER, col, ordered, require, visible
@@ -43,19 +43,45 @@ def _score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.fromiter((similarity(x, y) for x, y in zip(a, b, strict=True)), float, len(a)))
 
 
-def _grams(c: Column) -> Column:
-    """The distinct characters of a text; texts alike enough share one."""
+@pandas_udf(ArrayType(StringType()))
+def _pairs(s: pd.Series) -> pd.Series:
+    """Pairs of neighbouring characters; the k-th occurrence of a pair is a name of its own."""
+
+    def named(text: str) -> list[str]:
+        seen: dict[str, int] = {}
+        out = []
+        for x in map(str.__add__, text, text[1:]):
+            seen[x] = seen.get(x, 0) + 1
+            out.append(f"{x}{seen[x]}")
+        return out
+
+    return s.map(named)
+
+
+def _characters(c: Column) -> Column:
     return F.array_distinct(F.split(c, ""))
 
 
+def least_shared(c: Column, t: float) -> Column:
+    """How many character pairs a text shares with any text that is alike by ``t``, at least.
+
+    With a common subsequence of s of a and b characters, each character that one text has alone
+    breaks two of its pairs or parts one of the other's, so 3s - a - b - 1 pairs are left; s is
+    t * (a + b) / 2 or more, and the other text is no shorter than t / (2 - t) of this one.
+    """
+    a = F.length(c)
+    b = F.ceil(a * (t / (2 - t)) - 1e-9)
+    return F.ceil((1.5 * t - 1) * (a + b) - 1 - 1e-9)
+
+
 @register_transform("fuzzy_join")
 class FuzzyJoin(Transform):
     """Joins each left key with the right key most like it, from ``threshold`` up.
 
     Distinct keys are matched, not rows; of equal scores the first right key wins. Unmatched left
-    rows match nothing. A score of t needs lengths within (2 - t) / t, and the text with the
-    scarcest length band decides the candidates: keys are joined on bands of lengths, within
-    which the bound on common characters prunes before any text is scored.
+    rows match nothing. Texts that are alike share character pairs, so keys meet by their rarest
+    ones; where a text is too short (or the threshold too low) for that, by bands of lengths.
+    Bounds on lengths and common characters then prune before any text is scored.
     """
 
     tier: ClassVar[str] = "collection"
@@ -81,21 +107,39 @@ class FuzzyJoin(Transform):
         t = self.threshold
         a = left.select(col(self.left_on).cast("string").alias("a")).where("a is not null").distinct()
         b = ordered(right).select(col(self.right_on).cast("string").alias("b"), ORDER).where("b is not null").groupBy("b").agg(F.min(ORDER).alias("o"))
-        # lengths in bands of growing width: la <= lb * (2 - t) / t reaches one band further at most
-        width = float(np.log(max((2 - t) / t, 1.0001)))
-        band = lambda c: F.floor(F.log(F.length(c) + F.lit(1.0)) / width)
-        probes = b.withColumn("band", F.explode(F.array(band("b") - 1, band("b"), band("b") + 1)))
-        near = a.withColumn("band", band("a")).join(probes, "band").drop("band")
         la, lb = F.length("a"), F.length("b")
-        near = near.where(2 * F.least(la, lb) >= t * (la + lb) - 1e-9)
+        alike = 2 * F.least(la, lb) >= t * (la + lb) - 1e-9
+        long_a, long_b = least_shared(F.col("a"), t) >= 1, least_shared(F.col("b"), t) >= 1
+        near = self._by_length(a.where(~long_a), b).unionByName(self._by_length(a.where(long_a), b.where(~long_b))).where(alike)
+        if t > 2 / 3:
+            near = near.unionByName(self._by_pairs(a.where(long_a), b.where(long_b)).where(alike).distinct())
         # common characters, counted once each, plus what can repeat, bound the subsequence
-        shared = F.array_intersect(_grams(F.col("a")), _grams(F.col("b")))
+        shared = F.array_intersect(_characters(F.col("a")), _characters(F.col("b")))
         kept = F.length(F.call_function("translate", F.col("a"), F.array_join(shared, ""), F.lit("")))
         near = near.where(2 * (la - kept) >= t * (la + lb) - 1e-9)
         scored = near.withColumn("score", F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(_score("a", "b"))).where(F.col("score") >= t - 1e-12)
         best = Window.partitionBy("a").orderBy(F.desc("score"), "o")
         return scored.withColumn("n", F.row_number().over(best)).where("n = 1").select("a", "b", "score")
 
+    def _by_length(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """All pairs of keys whose lengths are in the same or in neighbouring bands; the bands grow
+        so that keys that are alike are one apart at most."""
+        width = float(np.log(max((2 - self.threshold) / self.threshold, 1.0001)))
+        band = lambda c: F.floor(F.log(F.length(c) + F.lit(1.0)) / width)
+        probes = b.withColumn("band", F.explode(F.array(band("b") - 1, band("b"), band("b") + 1)))
+        return a.withColumn("band", band("a")).join(probes, "band").select("a", "b", "o")
+
+    def _by_pairs(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Pairs of keys that share one of their rarest character pairs. A key that must share n of
+        its p pairs shares one of the first p - n + 1 in any order; the rarest come first."""
+        each = a.select(F.lit(True).alias("left"), F.col("a").alias("key"), F.lit(None).cast("bigint").alias("o")).unionByName(b.select(F.lit(False).alias("left"), F.col("b").alias("key"), "o"))
+        named = each.withColumn("pair", F.explode(_pairs("key")))
+        often = named.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+        sorted_ = F.sort_array(F.collect_list(F.struct("n", "pair")))["pair"]
+        first = named.join(often, "pair").groupBy("left", "key", "o").agg(sorted_.alias("pairs"))
+        first = first.withColumn("pair", F.explode(F.slice("pairs", F.lit(1), (F.length("key") - least_shared(F.col("key"), self.threshold)).cast("int"))))
+        return first.where("left").select(F.col("key").alias("a"), "pair").join(first.where("not left").select(F.col("key").alias("b"), "o", "pair"), "pair").select("a", "b", "o")
+
     def apply(self, df: DataFrame | None, ctx: Any = None) -> DataFrame:
         left, right = frame_of(self.left, df, ctx), frame_of(self.right, df, ctx)
         require(left, [self.left_on], "fuzzy_join (left)", TransformError)
