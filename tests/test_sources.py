@@ -254,6 +254,23 @@ def test_connection_settings(adapter, params, url, user):
     assert a.url == url and (a.options.get("user"), a.options.get("password")) == user
 
 
+def test_only_files_with_matches_are_written_anew(adapter, spark, tmp_path):
+    a = adapter("db", engine="managed", path=str(tmp_path / "m"))
+    a.write(spark.range(0, 100).selectExpr("id as k", "id * 2 as v", "cast(id / 50 as int) as half").repartitionByRange(4, "k"), "t")
+    parts = lambda: a._manifest()[1]["t"]["parts"]
+    out = a.write(spark.range(98, 103).selectExpr("id as k", "-id as v"), "t", mode="upsert", key=["k"])
+    assert (out.inserted, out.updated) == (3, 2) and len(parts()) == 4 and a.read("t").count() == 103
+    before = parts()
+    out = a.write(spark.range(10, 12).selectExpr("id as k"), "t", mode="delete", key="k")
+    assert out.deleted == 2 and a.read("t").count() == 101 and len(set(before) & set(parts())) == 2
+    a.write(spark.range(5).selectExpr("id + 500 as k", "id as v", "1 as half"), "t", partition_by=["half"])
+    assert rows(a.read("t").where("half = 1"), "k") == [(k,) for k in range(500, 505)] and a.read("t").where("half = 0").count() == 48
+    a.vacuum()
+    assert a.read("t").count() == 48 + 5 + 3
+    out = a.write(spark.range(900, 901).selectExpr("id as k"), "t", mode="delete", key="k")
+    assert out.deleted == 0 and a.read("t").count() == 56
+
+
 def test_managed_manifests(adapter, frame, spark, tmp_path):
     a = adapter("db", engine="managed", path=str(tmp_path / "m"))
     for k in range(3):

@@ -1,9 +1,10 @@
 """Managed tables: Parquet folders under one root, published by numbered manifests.
 
-A manifest lists, for each table, its schema and the folders that make it up. A batch writes its
-folders first and then one new manifest, created exclusively: readers see all of a batch or none,
-a crash leaves the last manifest standing, and of two writers at once one fails. Appending adds a
-folder, so it costs what is appended; other modes write a table anew from its old folders.
+A manifest lists, for each table, its schema and the folders and files that make it up. A batch
+writes its folders first and then one new manifest, created exclusively: readers see all of a
+batch or none, a crash leaves the last manifest standing, and of two writers at once one fails.
+Appending adds a folder, so it costs what is appended. Modes that match rows first look, by the
+key columns alone, which files hold matches, and write only these anew; the others stay listed.
 """
 
 from __future__ import annotations
@@ -123,6 +124,17 @@ def scd2(target: DataFrame | None, r: WriteRequest) -> DataFrame:
     return history.unionByName(both.select(F.explode(versions).alias("v")).select("v.*"))
 
 
+def _matches(r: WriteRequest, target: DataFrame) -> tuple[list[str], Callable[[Column, Column], Column]] | None:
+    """Columns that tell which rows of the target a built-in mode can change, and how they compare;
+    None for modes that may change any row."""
+    mode = str(r.mode)
+    if LOAD_STRATEGIES.get(mode) is not {"upsert": upsert, "delete": delete, "scd2": scd2, "replace": replace}.get(mode):
+        return None
+    if mode == "replace":
+        return (r.partition_by, lambda a, b: a.eqNullSafe(b)) if r.partition_by and set(r.partition_by) <= set(target.columns) else None
+    return (r.key, lambda a, b: a == b) if set(r.key) <= set(target.columns) else None
+
+
 class ManagedAdapter(Adapter):
     """``params``: path (the root of the tables)."""
 
@@ -172,6 +184,34 @@ class ManagedAdapter(Adapter):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{p}" for p in entry["parts"]))
 
+    def _split(self, entry: dict[str, Any], target: DataFrame, r: WriteRequest) -> tuple[DataFrame, list[str]]:
+        """The part of a table that a request can change, and the files of the rest."""
+        found = _matches(r, target)
+        if found is None:
+            return target, []
+        columns, same = found
+        keys = r.frame.select(*(col(c).alias(f"__m{k}") for k, c in enumerate(columns))).distinct()
+        place = target.select(*map(col, columns), F.col("_metadata.file_path").alias("__file"))
+        hit = place.join(keys, _all([same(col(c), F.col(f"__m{k}")) for k, c in enumerate(columns)]), "left_semi").select("__file").distinct()
+        name = lambda path: tuple(path.split("/")[-2:])  # noqa: E731  folders have names of their own
+        touched = {name(x["__file"]) for x in hit.collect()}
+        every = self._files(entry["parts"])
+        rest = [f for f in every if name(f) not in touched]
+        if not rest:
+            return target, []
+        return self._table(entry | {"parts": [f for f in every if f not in set(rest)]}), rest
+
+    def _files(self, parts: Sequence[str]) -> list[str]:
+        """Parts with folders as the files that they hold, relative to the root."""
+        out = []
+        for part in parts:
+            fs, at = self._fs(f"{self.root}/{part}")
+            if fs.getFileStatus(at).isDirectory():
+                out += sorted(f"{part}/{s.getPath().getName()}" for s in fs.listStatus(at) if s.getPath().getName().startswith("part-"))
+            else:
+                out.append(part)
+        return out
+
     # -- adapter
     def _read(self, collection: str | None, since: tuple[str, Any] | None) -> DataFrame:
         if not collection:
@@ -204,6 +244,9 @@ class ManagedAdapter(Adapter):
             r.frame = declared_types(r.frame, r.contract)
         if r.mode is LoadMode.DELETE and target is None:
             return LoadResult(r.collection, r.mode, r.frame.count())
+        rest: list[str] = []
+        if target is not None and entry["parts"] and r.mode is not LoadMode.APPEND:
+            target, rest = self._split(entry, target, r)
         rows = LOAD_STRATEGIES.get(str(r.mode))(target, r)
         counts = Observation()
         rows = rows.observe(counts, *(F.count_if(F.col(FLAG) == h).alias(h) for h in ("kept", "inserted", "updated", "closed")))
@@ -215,7 +258,7 @@ class ManagedAdapter(Adapter):
             raise AdapterError(f"{r.collection} can't be written: {str(e).splitlines()[0]}") from e
         n = counts.get
         schema = entry["schema"] if entry else json.loads(rows.drop(FLAG).schema.json())
-        parts = [*entry["parts"], part] if entry and r.mode is LoadMode.APPEND else [part]
+        parts = [*entry["parts"], part] if entry and r.mode is LoadMode.APPEND else [*rest, part]
         before = target.count() if target is not None and r.mode in (LoadMode.REPLACE, LoadMode.DELETE) else 0
         gone = before - n["kept"] if r.mode in (LoadMode.REPLACE, LoadMode.DELETE) else 0
         tables[r.collection] = {"schema": schema, "parts": parts, "primary_key": entry.get("primary_key", []) if entry else r.contract.primary_key if r.contract else []}
@@ -223,16 +266,22 @@ class ManagedAdapter(Adapter):
         return LoadResult(r.collection, r.mode, came, n["inserted"], n["updated"] + n["closed"], gone, entry is None)
 
     def vacuum(self) -> int:
-        """Deletes folders that the last manifest doesn't name; only when nobody reads older ones."""
+        """Deletes folders that the last manifest doesn't name, and in those of which it names some
+        files the others; only when nobody reads older versions. Gives the number of folders."""
         _, tables = self._manifest()
         named = {p for t in tables.values() for p in t["parts"]}
+        partly = {p.rsplit("/", 1)[0] for p in named if p.count("/") > 1}
         fs, root = self._fs(self.root)
         dropped = 0
         for table in fs.listStatus(root):
             name = table.getPath().getName()
-            if table.isDirectory() and not name.startswith("_"):
-                for part in fs.listStatus(table.getPath()):
-                    if f"{name}/{part.getPath().getName()}" not in named:
-                        fs.delete(part.getPath(), True)
-                        dropped += 1
+            for part in fs.listStatus(table.getPath()) if table.isDirectory() and not name.startswith("_") else []:
+                place = f"{name}/{part.getPath().getName()}"
+                if place in partly:
+                    for file in fs.listStatus(part.getPath()):
+                        if f"{place}/{file.getPath().getName()}" not in named:
+                            fs.delete(file.getPath(), False)
+                elif place not in named:
+                    fs.delete(part.getPath(), True)
+                    dropped += 1
         return dropped
