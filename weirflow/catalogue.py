@@ -6,6 +6,7 @@ load and ingestion queries below them write managed tables and read them again.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,7 +19,7 @@ from .config import load_config
 from .config.models import ResourceConfig
 from .functions.frames import hide
 from .plans import Orchestrator
-from .quality.contracts import DataframeContract, contract_problems
+from .quality.contracts import DataframeContract, Expectation, check_expectations, contract_problems
 from .sources import create_adapter
 from .streaming import ingest_new_files
 
@@ -233,6 +234,10 @@ CASES: dict[str, Case] = {
     "dedupe_last": _single("events", [("dedupe", {"on": ["user_id", "event_type"], "keep": "last", "order_by": {"ts": "asc"}})], "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) = 1"),
     "dedupe_single": _single("lineitem", [("dedupe", {"on": ["l_orderkey", "l_linenumber"], "keep": False}), ("select", ["l_orderkey", "l_linenumber", "l_partkey"])], "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1"),
     "dedupe_rows": _single("orders", [("select", ["o_custkey", "o_orderstatus"]), ("dedupe", {})], "SELECT DISTINCT o_custkey, o_orderstatus FROM orders"),
+    "dedupe_row_order": _single("events", [("dedupe", {"on": "user_id"}), ("select", ["event_id", "user_id"])], "SELECT min(event_id) AS event_id, user_id FROM events GROUP BY user_id"),
+    "dedupe_row_order_last": _single("events", [("dedupe", {"on": ["user_id", "event_type"], "keep": "last"}), ("select", ["event_id", "user_id"])], "SELECT max(event_id) AS event_id, user_id FROM events GROUP BY user_id, event_type"),
+    "sort_then_dedupe": _single("events", [("sort", {"value": "desc", "event_id": "asc"}), ("dedupe", {"on": "event_type"})], "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) = 1"),
+    "select_ignore_missing": _single("nation", [("select", {"columns": ["n_name", "absent", "n_nationkey"], "ignore_missing": True})], "SELECT n_name, n_nationkey FROM nation"),
     # ------------------------------------------------------------ groups and windows
     "group_sum_count": _single(
         "lineitem",
@@ -287,6 +292,7 @@ CASES: dict[str, Case] = {
           CASE WHEN o_orderpriority IS NOT NULL THEN CAST(rank() OVER w AS DOUBLE) END AS r, CASE WHEN o_orderpriority IS NOT NULL THEN CAST(dense_rank() OVER w AS DOUBLE) END AS d
         FROM sparse WINDOW w AS (PARTITION BY c_mktsegment ORDER BY o_orderpriority NULLS LAST)""",
     ),
+    "window_row_order": _single("events", [("window", {"partition_by": "user_id", "add": {"n": {"fn": "row_number"}, "s": {"fn": "cumsum", "column": "event_id"}}}), ("select", ["event_id", "n", "s"])], "SELECT event_id, row_number() OVER w AS n, CAST(sum(event_id) OVER w AS BIGINT) AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)"),
     "window_over_all": _single(
         "orders",
         [("window", {"order_by": {"o_orderdate": "asc", "o_orderkey": "asc"}, "add": {"n": {"fn": "row_number"}, "s": {"fn": "cumsum", "column": "o_custkey"}, "r": {"fn": "rank", "column": "o_orderpriority"}, "d": {"fn": "dense_rank", "column": "o_orderdate"}}}), ("select", ["o_orderkey", "n", "s", "r", "d"])],
@@ -450,6 +456,51 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.read("orders")
 
 
+def expectation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expectations on orders that don't hold, a row each."""
+    wanted = [
+        {"name": "rows", "assert": {"row_count": {"<": 10}}},
+        {"name": "status", "assert": {"column": "o_orderstatus", "allowed": ["O", "F"]}},
+        {"name": "price", "assert": {"column": "o_totalprice", "min": 1000, "max": "450000"}},
+        {"name": "keys", "assert": {"column": "o_orderkey", "not_null": True, "unique": True}},
+        {"name": "customers", "assert": {"column": "o_custkey", "unique": True}},
+        {"name": "nulls", "assert": {"column": "o_custkey", "null_rate_below": 0.1}},
+    ]
+    found = check_expectations(spark.read.parquet(f"{sf_dir}/orders.parquet"), [Expectation.model_validate(w | {"on_failure": "warn"}) for w in wanted])
+    return spark.createDataFrame([(p,) for p in found], "problem string")
+
+
+def checkpoint_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second of two runs, which reads what the first one kept."""
+    at = scratch(spark)
+    for _ in range(2):
+        out = run_case(spark, sf_dir, Case(["customer"], {"out": ("customer", [("group", {"by": "c_nationkey", "agg": {"c_custkey": "count"}})])}, "", extra={"orchestration": {"checkpoint": {"enabled": True, "store": at}}}))
+    return out
+
+
+def sqlite_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers in a database file, some of them updated, and read from a balance on."""
+    at = scratch(spark).removeprefix("file:")
+    os.makedirs(at, exist_ok=True)
+    base = create_adapter(ResourceConfig(name="base", adapter="db", params={"engine": "sqlite", "path": f"{at}/t.db"}), spark)
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    base.write(rows.where("s_nationkey < 20"), "suppliers")
+    base.write(rows.where("s_nationkey >= 15").selectExpr("s_suppkey", "s_acctbal + 1 as s_acctbal"), "suppliers", mode="upsert", key="s_suppkey")
+    return base.read("suppliers", since=("s_acctbal", 100)).select("s_suppkey", "s_name", "s_acctbal")
+
+
+def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir, "tsv")
+
+
+def excel_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations in one sheet of a workbook, beside another."""
+    book = create_adapter(ResourceConfig(name="out", adapter="file", params={"format": "excel", "path": f"{scratch(spark)}/b.xlsx"}), spark)
+    book.write(spark.read.parquet(f"{sf_dir}/region.parquet"), "regions")
+    book.write(spark.read.parquet(f"{sf_dir}/nation.parquet"), "nations")
+    return book.read("nations")
+
+
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written as CSV, twice, and read again with inferred types."""
     return _files(spark, sf_dir, "csv")
@@ -495,6 +546,22 @@ LOADS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         UNION ALL SELECT 'foreign key o_custkey: ' || count(*) || ' rows without vip.c_custkey' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
         """,
     ),
+    "expectation_report": (
+        expectation_report,
+        """
+        SELECT 'expectation rows: ' || count(*) || ' rows, not < 10' AS problem FROM orders
+        UNION ALL SELECT 'expectation status: ' || count(*) || ' values that aren''t allowed' FROM orders WHERE o_orderstatus = 'P'
+        UNION ALL SELECT 'expectation price: ' || CASE WHEN count(*) FILTER (o_totalprice < 1000) > 0 THEN count(*) FILTER (o_totalprice < 1000) || ' values under 1000' ELSE count(*) FILTER (o_totalprice > 450000) || ' values over 450000' END FROM orders
+        UNION ALL SELECT 'expectation customers: ' || (count(*) - count(DISTINCT o_custkey)) || ' repeated values' FROM orders
+        """,
+    ),
+    "checkpoint_reuse": (checkpoint_reuse, "SELECT c_nationkey, count(*) AS c_custkey FROM customer GROUP BY 1"),
+    "sqlite_upsert": (
+        sqlite_upsert,
+        "SELECT s_suppkey, CASE WHEN s_nationkey < 20 THEN s_name END AS s_name, s_acctbal + CASE WHEN s_nationkey >= 15 THEN 1 ELSE 0 END AS s_acctbal FROM supplier WHERE s_acctbal + CASE WHEN s_nationkey >= 15 THEN 1 ELSE 0 END > 100",
+    ),
+    "tsv_round_trip": (tsv_round_trip, _TWICE),
+    "excel_round_trip": (excel_round_trip, "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"),
     "stream_ingest": (stream_ingest, "SELECT * FROM orders WHERE o_orderstatus = 'O'"),
     "csv_round_trip": (csv_round_trip, _TWICE),
     "json_round_trip": (json_round_trip, _TWICE),
