@@ -15,6 +15,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -228,7 +229,7 @@ class ManagedAdapter(Adapter):
             for r in requests:
                 if not r.collection:
                     raise AdapterError("a collection (the table) is needed")
-                results.append(self._stage(r, tables, made))
+                results.append(self._staged(r, tables, made))
             self._commit(number + 1, tables)
         except BaseException:
             for part in made:
@@ -237,6 +238,17 @@ class ManagedAdapter(Adapter):
             raise
         return results
 
+    def _staged(self, r: WriteRequest, tables: dict[str, Any], made: list[str]) -> LoadResult:
+        """Modes that match rows read the frame several times, so it is kept meanwhile."""
+        if r.mode is LoadMode.APPEND or (r.mode is LoadMode.REPLACE and not r.partition_by):
+            return self._stage(r, tables, made)
+        r.frame = r.frame.persist(StorageLevel.MEMORY_AND_DISK)
+        kept = r.frame
+        try:
+            return self._stage(r, tables, made)
+        finally:
+            kept.unpersist()
+
     def _stage(self, r: WriteRequest, tables: dict[str, Any], made: list[str]) -> LoadResult:
         entry = tables.get(r.collection)
         target = self._table(entry) if entry else None
