@@ -16,9 +16,11 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_class
+from .common import blocks, in_class
 
 UNKNOWN = "und"
+#: Bytes of text that are encoded at once.
+PART = 2 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -104,11 +106,6 @@ class Classifier:
         return langs, score, accepted
 
 
-def _chunks(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, id_columns: tuple[str, ...] = ("doc_id",), min_margin: float = 0.005) -> DataFrame:
     """id columns, lang_pred, score, accepted for each row of ``docs``; whole texts are read."""
     kept = docs.select(*id_columns, "text")
@@ -117,7 +114,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, id_columns: tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(dictionaries)
         for whole in batches:
-            for batch in _chunks(whole):
+            for batch in blocks(whole, limit=PART):
                 langs, score, ok = model.predict(batch.column(batch.num_columns - 1).to_pylist(), min_margin=min_margin)
                 cols = [batch.column(k) for k in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(score), pa.array(ok)], names=[*id_columns, "lang_pred", "score", "accepted"])
@@ -132,7 +129,7 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], *, min_marg
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(dictionaries)
         for whole in batches:
-            for batch in _chunks(whole):
+            for batch in blocks(whole, limit=PART):
                 yield batch.filter(pa.array(model.predict(batch.column(at).to_pylist(), min_margin=min_margin)[2]))
 
     return docs.mapInArrow(run, docs.schema)
