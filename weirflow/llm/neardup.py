@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, U64, blocks, materialise, mix, scan_words, unused, windows
@@ -227,7 +227,8 @@ def _hub_links(stars: DataFrame, bags: DataFrame, threshold: float) -> DataFrame
 def link_apart(nodes: list[bytes], labels: list[bytes], bags: list[np.ndarray], registers: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[bytes, bytes]]:
     """Links between nodes of different labels, until no two labels with a link are left apart.
 
-    ``side``: 1 or 2 for nodes that are compared across only, 0 for all with all. The registers'
+    ``side``: nodes of side 1 aren't compared with each other, nor are those of side 2; those of
+    side 0 are compared with all. The registers'
     agreement rules pairs out at six standard deviations below the threshold.
     """
     parent = {x: x for x in labels}
@@ -273,27 +274,38 @@ def _rest_links(stars: DataFrame, labels: DataFrame, bags: DataFrame, threshold:
     """a, b: links between nodes of a star that their hub left in different classes.
 
     Nodes that share a band share that bucket's hub, so every candidate pair is in a star. Only
-    stars with several labels are looked at; pairs are compared inside a task and never made rows.
+    stars with several labels are looked at. Most nodes of a star have one label, and needn't be
+    compared with each other: they are dealt into blocks, and the others, the strays, are compared
+    with each block and among themselves. Pairs are compared inside a task and never made rows.
     """
     named = stars.select("hub", "node").join(labels, "node", "left").select("hub", "node", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("hub").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("hub")
-    kept = named.join(mixed, "hub", "left_semi").join(bags, "node")
+    named = materialise(named, "named")
+    each = named.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = each.groupBy("hub").agg(F.max(F.struct("n", "label"))["label"].alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("hub", "most")
+    kept = named.join(most, "hub").join(bags, "node").select("hub", "node", "label", (F.col("label") != F.col("most")).alias("stray"), "bag", "registers")
     kept = materialise(kept, "mixed")
-    bytes_ = kept.groupBy("hub").agg(F.ceil(F.sum(F.octet_length("bag") + 256) / STAR_BYTES).cast("int").alias("c"))
-    dealt = kept.join(bytes_, "hub").withColumn("at", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
-    dealt = dealt.withColumn("o", other).withColumn("i", F.least("at", "o")).withColumn("j", F.greatest("at", "o"))
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+    size = F.octet_length("bag") + 256
+    blocks_of = lambda which: F.greatest(F.lit(1), F.ceil(F.sum(F.when(which, size)) / STAR_BYTES)).cast("int")
+    counts = kept.groupBy("hub").agg(blocks_of(~F.col("stray")).alias("m"), blocks_of(F.col("stray")).alias("s"))
+    dealt = kept.join(counts, "hub").withColumn("at", F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("s")).otherwise(F.col("m"))).cast("int"))
+    # a group is (i, j): block i of the most, block j of the strays; or (-1 - i, j): two of strays
+    number = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    at = F.col("at")
+    with_most = F.transform(number("m"), lambda i: place(i, at, F.when(i == 0, 0).otherwise(2)))
+    with_strays = F.transform(F.filter(number("s"), lambda o: o != at), lambda o: place(-1 - F.least(at, o), F.greatest(at, o), F.when(at < o, 1).otherwise(2)))
+    of_most = F.transform(number("s"), lambda j: place(at, j, F.lit(1)))
+    dealt = dealt.withColumn("p", F.explode(F.when(F.col("stray"), F.concat(with_most, with_strays)).otherwise(of_most))).select("hub", "p.i", "p.j", "p.side", "node", "label", "bag", "registers")
+
+    def run(table: pa.Table) -> pa.Table:
         nodes, labels_ = table.column("node").to_pylist(), table.column("label").to_pylist()
         arrays = [np.frombuffer(b, U64) for b in table.column("bag").to_pylist()]
         registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(len(nodes), -1)
-        i, j = key[1].as_py(), key[2].as_py()
-        side = np.zeros(len(nodes), np.int64) if i == j else np.where(table.column("at").to_numpy() == i, 1, 2)
+        side = table.column("side").to_numpy().astype(np.int64)
         found = link_apart(nodes, labels_, arrays, registers, side, threshold)
         return pa.table([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
-    return materialise(dealt.select("hub", "i", "j", "at", "node", "label", "bag", "registers").groupBy("hub", "i", "j").applyInArrow(run, "a binary, b binary"), "links")
+    return materialise(dealt.groupBy("hub", "i", "j").applyInArrow(run, "a binary, b binary"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -321,7 +333,8 @@ def link(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node, label for the nodes of ``rows`` (node, text) that have a near duplicate."""
     signed = materialise(_signatures(rows), "signatures")
     once = signed.select(F.explode("bands").alias("band"), "node", "n", "bits").groupBy("band", "node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    entries = materialise(once.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("k > 1"), "entries")
+    shared = once.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")  # counted before it is dealt: a band may be that of a third of all rows
+    entries = materialise(once.join(shared, "band"), "entries")
     stars = _stars(entries)
     bags = _bagged(rows, entries.select("node").distinct())
     links = _hub_links(stars, bags, threshold)
