@@ -451,8 +451,11 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders taken in by a stream over their folder, with a step on the way."""
     at = scratch(spark)
     target = create_adapter(ResourceConfig(name="target", adapter="db", params={"engine": "managed", "path": f"{at}/tables"}), spark)
-    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
-    ingest_new_files(spark, sf_dir, schema, target, "orders", f"{at}/state", steps=[_where(o_orderstatus=("==", "O"))], options={"pathGlobFilter": "orders.parquet"})
+    table = f"{sf_dir}/orders.parquet"
+    place = spark._jvm.org.apache.hadoop.fs.Path(table)
+    folder = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+    inbox, only = (table, {}) if folder else (sf_dir, {"pathGlobFilter": "orders.parquet"})
+    ingest_new_files(spark, inbox, spark.read.parquet(table).schema, target, "orders", f"{at}/state", steps=[_where(o_orderstatus=("==", "O"))], options=only)
     return target.read("orders")
 
 
