@@ -6,10 +6,12 @@ numpy, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,28 @@ def in_class(column: str, modulus: int, remainder: int):
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "utf-8")) % modulus == remainder
 
 
+# ---------------------------------------------------------------- workers
+def _trimmer():
+    """The C library's call that gives free memory back, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+def frugal(run):
+    """A function over Arrow batches that leaves a worker small: workers are used again for other
+    stages, and would hold what this one has freed."""
+
+    @wraps(run)
+    def give_back(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        _trimmer()(0)
+
+    return give_back
+
+
 # ---------------------------------------------------------------- text buffers
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the n + 1 offsets of a string column; nulls are empty."""

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, in_class
+from .common import blocks, frugal, in_class
 
 UNKNOWN = "und"
 #: Bytes of text that are encoded at once.
@@ -119,7 +119,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, id_columns: tup
                 cols = [batch.column(k) for k in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(score), pa.array(ok)], names=[*id_columns, "lang_pred", "score", "accepted"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], *, min_margin: float = 0.005) -> DataFrame:
@@ -132,7 +132,7 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], *, min_marg
             for batch in blocks(whole, limit=PART):
                 yield batch.filter(pa.array(model.predict(batch.column(at).to_pylist(), min_margin=min_margin)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

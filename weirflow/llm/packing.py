@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WHITE, blocks, materialise, mix1, text_buffer
+from .common import LOWER, WHITE, blocks, frugal, materialise, mix1, text_buffer
 
 SEQUENCE = 2048
 #: Bytes of text that are encoded at once.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 class TournamentTree:
@@ -223,7 +223,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, length: int = SEQUENCE, end_id: i
                 take = batch.column(0).take(pa.array(source, pa.int64()))
                 yield pa.RecordBatch.from_arrays([take, *(pa.array(x, pa.int64()) for x in (start, size, crc, total, lots))], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def pack(cut: DataFrame, *, length: int = SEQUENCE, group_pieces: int = 8192) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import U64, HashTable, blocks, mix, text_buffer
+from .common import U64, HashTable, blocks, frugal, mix, text_buffer
 
 _WORD = re.compile(r" *[^ ]+| +")
 _MARK = 0x2581
@@ -284,7 +284,7 @@ def encode(docs: DataFrame, model: str, *, seed: int = 0, temper: float = 0.5, k
                 lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.diff(edges)), pa.array(crc, pa.int64()), pa.array(same)], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def decode(rows: DataFrame, model: str, *, ids: str = "ids", into: str = "text") -> DataFrame:
@@ -300,7 +300,7 @@ def decode(rows: DataFrame, model: str, *, ids: str = "ids", into: str = "text")
             texts = [None if v is None else vocabulary.decode(v) for v in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def op5_sampled_pieces(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, HashTable, blocks, in_class, materialise, scan_words, text_buffer
+from .common import LOWER, U64, HashTable, blocks, frugal, in_class, materialise, scan_words, text_buffer
 
 ORDER = 5
 BEFORE, END = 0xFF, 0xFE  # bytes that UTF-8 never has
@@ -250,7 +250,7 @@ def _listed(docs: DataFrame, slices: int) -> DataFrame:
         if size:
             yield from lists()
 
-    return docs.select("doc_id", "held", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "held", "text").mapInArrow(frugal(run), schema)
 
 
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -295,7 +295,7 @@ def _valued(totals: DataFrame, pairs: tuple[np.ndarray, np.ndarray]) -> DataFram
                 values = slice_costs(keys, counts, pairs) if kind == GRAM else counts
                 yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([number], pa.int32()), pa.array([a], pa.binary()), pa.array([pack(keys, values.astype(_VALUES[kind]))[1]], pa.binary())], names=["kind", "slice", "a", "b"])
 
-    return totals.select("kind", "slice", "a", "b").mapInArrow(run, "kind int, slice int, a binary, b binary")
+    return totals.select("kind", "slice", "a", "b").mapInArrow(frugal(run), "kind int, slice int, a binary, b binary")
 
 
 def _answers(key: tuple, asked: pa.Table, model: pa.Table) -> pa.Table:
@@ -332,7 +332,7 @@ def score_corpus(docs: DataFrame, held: str = "held") -> DataFrame:
     lists = lists.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)))
     once = lists.groupBy("kind", "slice", "salt").applyInPandas(_summed, _TOTALS)
     totals = materialise(once.groupBy("kind", "slice").applyInPandas(_summed, _TOTALS), "totals", compression="zstd")
-    found = totals.where(f"kind = {GRAM}").select("a", "b").mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = totals.where(f"kind = {GRAM}").select("a", "b").mapInArrow(frugal(_pairs), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     order = np.argsort(found.column("pair").to_numpy())
     pairs = found.column("pair").to_numpy()[order].astype(U64), found.column("n").to_numpy()[order].astype(np.int64)
     sums = totals.where(f"kind = {WORD}").agg(F.sum("total"), F.sum("seen")).first()

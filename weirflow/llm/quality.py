@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, mix, scan_words, windows
+from .common import U64, blocks, frugal, mix, scan_words, windows
 
 _SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -30,6 +30,8 @@ _CLASSES[5, 0x80:0xC0] = 0  # starts of code points
 _INK = _CLASSES[5].copy()  # of those, the ones that stand in words
 _INK[[32, 9, 10, 11, 12, 13]] = 0
 N_FEATURES = 12
+#: Bytes of text that are worked on at once.
+PART = 2 << 20
 
 
 def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -276,11 +278,11 @@ def assess(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in blocks(whole, limit=4 << 20):
+            for batch in blocks(whole, limit=PART):
                 got = verdicts(batch.column(1), chain)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[c].astype(np.int64)) for c in _COUNTS), pa.array(got["base_failed"]), pa.array(got["kept"]), pa.array(got["content_share"].astype(float))], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def keep_good(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -289,10 +291,10 @@ def keep_good(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in blocks(whole, limit=4 << 20):
+            for batch in blocks(whole, limit=PART):
                 yield batch.filter(pa.array(verdicts(batch.column(at), chain)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

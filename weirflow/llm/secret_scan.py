@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_buffer
+from .common import frugal, text_buffer
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -246,7 +246,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 more.append(len(every) - len(base))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(more, pa.int64())], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
                 columns[size] = pa.array(chars, batch.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
