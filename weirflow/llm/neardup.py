@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, blocks, materialise, mix, scan_words, unused, windows
+from .common import LOWER, U64, blocks, frugal, materialise, mix, scan_words, unused, windows
 
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
+#: Bytes of text that are worked on at once.
+PART = 2 << 20
 REGISTERS = BANDS * ROWS
 _GOLD = U64(0x9E3779B97F4A7C15)
 
@@ -164,7 +166,7 @@ def _signatures(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for whole in batches:
-            for part in blocks(whole, limit=4 << 20):
+            for part in blocks(whole, limit=PART):
                 nodes = part.column(0).to_pylist()
                 fresh = [k for k, x in enumerate(nodes) if x is not None and not (x in seen or seen.add(x))]
                 if not fresh:
@@ -175,7 +177,7 @@ def _signatures(rows: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * BANDS), pa.array(bands[keep].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(count[keep].astype(np.int32)), lists, pa.array(bits[keep].view(np.int64))], names=["node", "n", "bands", "bits"])
 
-    return rows.select("node", "text").mapInArrow(run, "node binary, n int, bands array<long>, bits long")
+    return rows.select("node", "text").mapInArrow(frugal(run), "node binary, n int, bands array<long>, bits long")
 
 
 def _bagged(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -184,7 +186,7 @@ def _bagged(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for whole in batches:
-            for part in blocks(whole, limit=4 << 20):
+            for part in blocks(whole, limit=PART):
                 nodes = part.column(0).to_pylist()
                 fresh = [k for k, x in enumerate(nodes) if not (x in seen or seen.add(x))]
                 if fresh:
@@ -192,7 +194,7 @@ def _bagged(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                     arrays, registers = bag_arrays(batch.column(1))
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arrays, pa.binary()), pa.array(registers, pa.binary())], names=["node", "bag", "registers"])
 
-    found = rows.select("node", "text").join(wanted, "node", "left_semi").mapInArrow(run, "node binary, bag binary, registers binary")
+    found = rows.select("node", "text").join(wanted, "node", "left_semi").mapInArrow(frugal(run), "node binary, bag binary, registers binary")
     return materialise(found.groupBy("node").agg(F.first("bag").alias("bag"), F.first("registers").alias("registers")), "bags")
 
 
@@ -221,7 +223,7 @@ def _hub_links(stars: DataFrame, bags: DataFrame, threshold: float) -> DataFrame
             good = [overlap(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)) >= threshold for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return materialise(joined.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"), "links")
+    return materialise(joined.select("a", "b", "x", "y").mapInArrow(frugal(check), "a binary, b binary"), "links")
 
 
 def link_apart(nodes: list[bytes], labels: list[bytes], bags: list[np.ndarray], registers: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[bytes, bytes]]:
@@ -379,7 +381,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     at = unused(docs, "node")
     full = docs.withColumn(at, key)
     on = (F.col(at) == F.col(by_node)) & F.col("doc_id").eqNullSafe(F.col(by_id))
-    left = full.join(dropped.union(again), on, "left_anti")
+    if not again.limit(1).count():  # no row repeats another: one reading of the texts is enough
+        return full.join(dropped.hint("merge"), on, "left_anti").drop(at)  # the list grows with the data, so it is never sent whole
+    left = full.join(dropped.union(again).hint("merge"), on, "left_anti")
     once = full.join(again, on, "left_semi").dropDuplicates([at, "doc_id"])
     return left.unionByName(once).drop(at)
 
