@@ -83,3 +83,47 @@ def test_long_conversations_stream_through(spark):
     turns = [(role, text) for _, _, role, text in rows]
     learned = "".join(t for role, t in turns if role == "assistant")
     assert (r["n_turns"], r["turns_sha256"], r["loss_sha256"]) == (101, digest(turns), hashlib.sha256(learned.encode()).hexdigest())
+
+
+def joined(out):
+    """Texts, spans, loss spans and rewriting turns of whole conversations."""
+    made: dict = {}
+    for r in sorted(out.collect(), key=lambda r: r["segment"]):
+        text, spans, loss, rewritten = made.setdefault(r["conv_id"], ([], [], [], []))
+        assert r["begin"] == sum(map(len, text)) and r["first_turn"] == len(spans)
+        text.append(r["text"])
+        spans += [tuple(s) for s in r["spans"]]
+        loss += [tuple(s) for s in r["loss"]]
+        rewritten += r["rewritten_by"]
+    return {i: ("".join(m[0]), *m[1:]) for i, m in made.items()}
+
+
+TALK = [(7, k, ("user", "assistant", "assistant", "tool")[k % 4], f"text {k} </s>") for k in range(23)]
+
+
+def test_segments_are_one_conversation(spark):
+    """However many turns a segment has, text, spans and digests are those of the whole."""
+    df = spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string").repartition(3)
+    turns = [(role, text) for _, _, role, text in TALK]
+    want = chat.format_turns(turns)
+    for size in (1, 2, 5, 22, 23, 24):
+        text, spans, loss, rewritten = joined(chat.render_conversations(df, max_turns=size))[7]
+        assert (text, spans, loss, rewritten) == (want.text, want.spans, want.loss, []) and chat.parse_turns(text) == turns
+        r = chat.format_conversations(df, max_turns=size).first()
+        assert (r["n_turns"], r["turns_sha256"], r["formatted_chars"]) == (23, digest(turns), len(chat.render_turns(turns)))
+
+
+def test_foreign_templates_get_the_whole_history(spark):
+    def forgets(turns):  # the first turn goes when the twentieth comes
+        return "".join(f"|{r}|{t}\n" for r, t in (turns[1:] if len(turns) >= 20 else turns))
+
+    def keeps(turns):
+        return "".join(f"|{r}|{t}\n" for r, t in turns)
+
+    df = spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string").repartition(3)
+    turns = [(role, text) for _, _, role, text in TALK]
+    text, _, loss, rewritten = joined(chat.render_conversations(df, forgets, max_turns=5))[7]
+    assert text == forgets(turns) and rewritten == [19] and loss == []
+    text, spans, loss, rewritten = joined(chat.render_conversations(df, keeps, learned=("tool",), max_turns=5))[7]
+    assert text == keeps(turns) and not rewritten and [text[a:b] for a, b in spans] == [keeps([t]) for t in turns]
+    assert [text[a:b] for a, b in loss] == [t for r, t in turns if r == "tool"]
