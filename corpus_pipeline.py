@@ -1,8 +1,8 @@
 """Corpus preparation: language ID, quality rules, near-duplicate removal, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each as Parquet in
-the shared folder and reads it again as the next one's docs. All stages but the last return the
-columns of ``documents``.
+the shared folder and reads it again, as the next one's docs. All stages but the last return the
+columns of ``documents``; the last returns the packed pieces with their token ids.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token sequences of what is left."""
+    """Packs the token sequences of what is left; ``packing.sequences`` joins the pieces."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -48,10 +48,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over all documents."""
+    """The stages over all documents: the places and checksums of the packed pieces that were written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage{k}")
-    return docs
+        docs = materialise(stage(spark, docs, sf_dir), f"stage{k}")
+    return docs.drop("ids")

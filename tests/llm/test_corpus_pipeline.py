@@ -38,3 +38,10 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_the_last_stage_gives_training_tokens(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = corpus_pipeline.packing_stage(spark, docs, SF)
+    ids = [r["ids"] for r in packing.sequences(out).collect()]
+    assert ids and sum(map(len, ids)) == 4 * out.agg({"length": "sum"}).first()[0]

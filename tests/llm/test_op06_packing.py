@@ -82,3 +82,23 @@ def test_edge_rows(docs):
     assert len(out[out.doc_id == 3]) == 2 and len(out[out.doc_id.isna()]) == 1 and out[out.doc_id == 4].length.sum() == 100_001
     assert out[out.doc_id.isin([1, 2])].length.tolist() == [1, 1] and not out.duplicated(["sequence_id", "offset"]).any()
     assert packing.pack_documents(df.limit(0), PATH).count() == 0
+
+
+def test_packed_ids_are_put_out(docs):
+    """Pieces and sequences hold the tokenizer's ids."""
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = [(k, f"Word {k} " * (k * 53 % 1900)) for k in range(40)]
+    want = {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for k, t in texts}
+    packed = packing.pack(packing.pieces(docs(*texts).repartition(3), PATH), group_pieces=16)
+    for r in packed.collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+    seen = 0
+    for r in packing.sequences(packed).collect():
+        ids, at = np.frombuffer(r["ids"], "<u4").tolist(), 0
+        assert len(ids) == r["length"] <= 2048
+        for p in r["pieces"]:
+            assert p["offset"] == at and ids[at : at + p["length"]] == want[p["doc_id"]][p["start"] : p["start"] + p["length"]]
+            at += p["length"]
+        assert at == len(ids)
+        seen += at
+    assert seen == sum(map(len, want.values()))

@@ -80,3 +80,15 @@ def test_repeated_rows(docs):
     for _, g in out.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
     assert [len(g) for _, g in itertools.islice(out.groupby("shard"), 2)] in ([3, 1], [1, 3])
+
+
+def test_rows_and_files_of_shards(spark, docs, tmp_path):
+    """Shards hold the rows themselves, all columns and null texts too, and are written as files."""
+    df = docs((1, None), (2, ""), (3, "é" * 900), (None, "same"), *((k, "same") for k in range(6, 30)), clash=("shard", "key", "size"))
+    sharding.write_shards(sharding.shard_rows(df, shards=3, lanes=2), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {p.name for p in (tmp_path / "out").glob("shard=*")} <= {f"shard={k}" for k in range(3)}
+    whole = back.select("row.*")
+    assert whole.columns == df.columns and sorted(map(repr, whole.collect())) == sorted(map(repr, df.collect()))
+    digests = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard_by_bytes(df, shards=3, lanes=2).collect()}
+    assert digests == {(r["row"]["doc_id"], r["shard"], r["slot"]) for r in back.collect()}

@@ -10,17 +10,15 @@ from __future__ import annotations
 
 import json
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WHITE, blocks, frugal, materialise, mix1, text_buffer
+from .common import LOWER, U64, WHITE, blocks, frugal, materialise, mix, mix1, text_buffer
 
 SEQUENCE = 2048
 #: Bytes of text that are encoded at once.
@@ -188,16 +186,22 @@ def encoder_of(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+#: Pieces that are put out at once.
+PUT = 2048
+
+
 def pieces(docs: DataFrame, tokenizer: str, *, length: int = SEQUENCE, end_id: int = 1) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, lot for each piece of each document.
+    """doc_id, start, length, ids_crc32, doc_tokens, lot, ids for each piece of each document.
 
-    ``lot`` is a random number from the place of the row in its input partition, which is the
-    same if a task runs again; repeated rows so spread over the groups.
+    ``ids`` has the piece's token ids, as unsigned little-endian numbers of four bytes. ``lot`` is
+    a random number from the place of the row in its input partition, which is the same if a task
+    runs again; repeated rows so spread over the groups.
     """
     kept = docs.select("doc_id", "text")
     schema = kept.drop("text").schema
-    for name in ("start", "length", "ids_crc32", "doc_tokens", "lot"):
+    for name in ("start", "length", "doc_tokens", "lot"):
         schema = schema.add(name, "long")
+    schema = schema.add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -208,49 +212,67 @@ def pieces(docs: DataFrame, tokenizer: str, *, length: int = SEQUENCE, end_id: i
         for whole in batches:
             for batch in blocks(whole, limit=BLOCK):
                 ids, offs = encoder.encode(batch.column(1), end_id)
-                source, start, size, crc, total, lots = [], [], [], [], [], []
-                view = memoryview(ids.astype("<u4")).cast("B")
-                for d, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
-                    for c in range(a, b, length):
-                        e = min(b, c + length)
-                        source.append(d)
-                        start.append(c - a)
-                        size.append(e - c)
-                        crc.append(zlib.crc32(view[4 * c : 4 * e]))
-                        total.append(b - a)
-                        lots.append(mix1(lot + row) >> 1)
-                        row += 1
-                take = batch.column(0).take(pa.array(source, pa.int64()))
-                yield pa.RecordBatch.from_arrays([take, *(pa.array(x, pa.int64()) for x in (start, size, crc, total, lots))], names=schema.names)
-
-    return kept.mapInArrow(frugal(run), schema)
+                total = np.diff(offs)
+                cuts = -(-total // length)
+                source = np.repeat(np.arange(len(total)), cuts)
+                start = (np.arange(len(source)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * length
+                size = np.minimum(length, total[source] - start)
+                with np.errstate(over="ignore"):
+                    lots = (mix(np.arange(row, row + len(source), dtype=U64) + U64(lot)) >> U64(1)).astype(np.int64)
+                row += len(source)
+                ids = ids.astype("<u4", copy=False)
+                edges = np.append(0, np.cumsum(size))
+                for a in range(0, len(source), PUT):
+                    b = min(len(source), a + PUT)
+                    own = pa.py_buffer((4 * (edges[a : b + 1] - edges[a])).astype(np.int32)), pa.py_buffer(ids[edges[a] : edges[b]])
+                    numbers = (pa.array(x[a:b].astype(np.int64)) for x in (start, size, total[source], lots))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source[a:b])), *numbers, pa.Array.from_buffers(pa.binary(), b - a, [None, *own])], names=schema.names)
+
+    made = kept.mapInArrow(frugal(run), schema)
+    return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "lot", "ids")
 
 
 def pack(cut: DataFrame, *, length: int = SEQUENCE, group_pieces: int = 8192) -> DataFrame:
-    """``cut`` with sequence_id and offset instead of lot.
+    """``cut`` with sequence_id and offset instead of lot; ids_crc32 is made of the packed ids.
 
     Groups hold about ``group_pieces`` pieces each, at random. Ids of sequences are the group's
     number times 2**32 plus the bin. An empty table gives no row.
     """
-    cut = materialise(cut, "pieces")
+    cut = materialise(cut.drop("ids_crc32"), "pieces")
     groups = max(1, -(-cut.count() // group_pieces))
     schema = cut.drop("lot").schema.add("sequence_id", "long").add("offset", "long")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "lot"], ascending=[False, True], kind="stable")
-        bins, offsets = first_fit_decreasing(pdf["length"].tolist(), length)
-        out = pdf.drop(columns=["lot", "__g"])
-        return out.assign(sequence_id=np.array(bins, np.int64) + (int(key[0]) << 32), offset=np.array(offsets, np.int64))
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        size, lot = (group.column(c).to_numpy() for c in ("length", "lot"))
+        by = np.lexsort((lot, -size))
+        bins, offsets = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64)
+        bins[by], offsets[by] = first_fit_decreasing(size[by].tolist(), length)
+        out = group.drop_columns(["lot", "__g"])
+        return out.append_column("sequence_id", pa.array(bins + (key[0].as_py() << 32))).append_column("offset", pa.array(offsets))
 
-    return cut.withColumn("__g", F.pmod(F.col("lot"), F.lit(groups))).groupBy("__g").applyInPandas(run, schema)
+    made = cut.withColumn("__g", F.pmod(F.col("lot"), F.lit(groups))).groupBy("__g").applyInArrow(run, schema)
+    return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     return pack(pieces(docs, tokenizer))
 
 
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, length, pieces, ids for each packed sequence.
+
+    ``ids`` are those of its pieces in order of offset, in the form of ``pieces``; ``pieces`` says
+    which range of which document stands where.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "start", "length", "ids")))
+    made = packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts.alias("__p"))
+    places = F.transform("__p", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["start"].alias("start"), p["offset"].alias("offset"), p["length"].alias("length")))
+    joined = F.unhex(F.array_join(F.transform("__p", lambda p: F.hex(p["ids"])), ""))
+    return made.select("sequence_id", "length", places.alias("pieces"), joined.alias("ids"))
+
+
 def op6_packing(spark, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequences; null and empty texts are one id each."""
+    """Pieces of all documents with their sequences, and checksums of the packed ids; null and empty texts are one id each."""
     import public_tokenizers
 
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")

@@ -92,23 +92,22 @@ def partition(groups: DataFrame, shards: int, *, key: str = "key", weight: str =
         out = out.join(step, "__c").select(key, F.col("__up").alias("__c"), F.element_at("__to", (F.col("shard") + 1).cast("int")).alias("shard"))
 
 
-def shard_by_bytes(docs: DataFrame, *, shards: int = 24, overhead: int = 8, lanes: int | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot of each row; equal texts share a shard.
+def shard_rows(docs: DataFrame, *, shards: int = 24, overhead: int = 8, lanes: int | None = None) -> DataFrame:
+    """row (all columns of ``docs``), shard, slot of each row; equal texts share a shard.
 
-    ``size`` is the text's UTF-8 bytes plus ``overhead``; null texts have none, and are one group.
-    Slots run from 0 in each shard without a gap: rows are dealt into lanes by a hash of their
-    number, ranked within (lane, shard), and lifted by the counts of the lanes before, so a shard
-    is never sorted as a whole.
+    A row counts for its text's UTF-8 bytes plus ``overhead``; null texts have none, and are one
+    group. Slots run from 0 in each shard without a gap: rows are dealt into lanes by a hash of
+    their number, ranked within (lane, shard), and lifted by the counts of the lanes before, so a
+    shard is never sorted as a whole. Only numbers and keys are dealt until then.
     """
     spark = docs.sparkSession
     lanes = lanes or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    text = F.coalesce("text", F.lit(""))
     rows = materialise(
         docs.select(
-            "doc_id",
-            F.when(F.col("text").isNull(), "null").otherwise(F.md5(raw)).alias("key"),
-            (F.octet_length(F.coalesce("text", F.lit(""))) + overhead).cast("long").alias("size"),
-            F.crc32(raw).alias("text_crc32"),
+            F.struct("*").alias("row"),
+            F.when(F.col("text").isNull(), "null").otherwise(F.md5(F.encode(text, "utf-8"))).alias("key"),
+            (F.octet_length(text) + overhead).cast("long").alias("size"),
             F.monotonically_increasing_id().alias("__row"),
         ),
         "rows",
@@ -116,13 +115,26 @@ def shard_by_bytes(docs: DataFrame, *, shards: int = 24, overhead: int = 8, lane
     groups = rows.groupBy("key").agg(F.sum("size").alias("weight"))
     placed = partition(groups, shards)
     lane = F.pmod(F.xxhash64("__row"), F.lit(lanes))
-    dealt = materialise(rows.join(placed, "key").withColumn("__lane", lane), "dealt")
+    dealt = materialise(rows.select("key", F.col("row.doc_id").alias("doc_id"), "__row").join(placed, "key").withColumn("__lane", lane), "dealt")
     counts = dealt.groupBy("shard", "__lane").agg(F.count(F.lit(1)).alias("n"))
     before = counts.alias("a").selectExpr("shard", "__lane", "coalesce(sum(n) over (partition by shard order by __lane rows between unbounded preceding and 1 preceding), 0) as __base")
     rank = "row_number() over (partition by __lane, shard order by doc_id, __row)"
-    ranked = dealt.selectExpr("doc_id", "size", "text_crc32", "shard", "__lane", f"{rank} - 1 as __at")
-    out = ranked.join(before, ["shard", "__lane"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__base") + F.col("__at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    ranked = dealt.selectExpr("__row", "shard", "__lane", f"{rank} - 1 as __at")
+    out = ranked.join(before, ["shard", "__lane"]).select("__row", "shard", (F.col("__base") + F.col("__at")).cast("long").alias("slot"))
+    return rows.select("row", "__row").join(out, "__row").select("row", "shard", "slot")
+
+
+def write_shards(sharded: DataFrame, path: str) -> None:
+    """Writes what ``shard_rows`` gives as Parquet files in a folder ``shard=N`` for each shard."""
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def shard_by_bytes(docs: DataFrame, *, shards: int = 24, overhead: int = 8, lanes: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of the rows that ``shard_rows`` gives."""
+    text = F.coalesce("row.text", F.lit(""))
+    size, crc = (F.octet_length(text) + overhead).cast("long"), F.crc32(F.encode(text, "utf-8"))
+    out = shard_rows(docs, shards=shards, overhead=overhead, lanes=lanes)
+    return out.select("row.doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
