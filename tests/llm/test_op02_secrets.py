@@ -90,6 +90,49 @@ def test_candidates_that_do_not_parse_are_left_alone():
     assert ss.der_items(b"\x30\x81\x05hello", 0, 8) is None  # lengths have one form
 
 
+PBES2 = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")), der(0x30, der(0x30, der(6, b"\x2a\x03")), der(0x30, der(6, b"\x2a\x04")))), der(4, bytes(range(64))))
+PBES1 = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d010503")), der(0x30, der(4, b"saltsalt"), der(2, b"\x08"))), der(4, bytes(range(64))))
+DSA = der(0x30, *(der(2, x) for x in (b"\0", b"\x41" * 128, b"\x42" * 20, b"\x43" * 128, b"\x44" * 128, b"\x45" * 20)))
+OPENSSH = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(SSH) + field(bytes(range(136)))
+KEYS = [(RSA, "der_key"), (PKCS8, "der_key"), (PBES2, "der_key"), (PBES1, "der_key"), (DSA, "der_key"), (SSH, "ssh_key"), (OPENSSH, "ssh_key")]
+
+
+def test_more_key_shapes():
+    for key in (PBES2, PBES1, DSA):
+        assert kinds(f"is {base64.b64encode(key).decode()} ok") == ["der_key"] and kinds(base64.b64encode(key[:-1]).decode()) == []
+    for other in (der(0x30, der(0x30, der(6, b"\x2a\x03")), der(4, bytes(64))), der(0x30, *[der(2, b"\1")] * 6)):
+        assert kinds(base64.b64encode(other).decode()) == []
+
+
+def test_armour_with_escapes_and_headers():
+    for key, _ in KEYS:
+        armour = "-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(key).decode() + "-----END PRIVATE KEY-----"
+        for mark in ("\r\n", "\\n", "\\r\\n", "\\\\n"):
+            own = armour.replace("\n", mark)
+            assert ss.redact('{"private_key": "' + own + mark + '"}') == '{"private_key": "[SECRET]' + mark + '"}'
+        own = armour.replace("\n", "\\n").replace("/", "\\/")
+        assert ss.confirmed_spans(own) == [("pem_key", 0, len(own))]
+    head = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    sealed = head + base64.encodebytes(bytes(range(160))).decode() + "-----END RSA PRIVATE KEY-----"
+    for own in (sealed, sealed.replace("\n", "\r\n"), sealed.replace("\n", "\\n")):
+        assert ss.confirmed_spans(f"a {own} b") == [("pem_key", 2, 2 + len(own))]
+    assert kinds(head.replace("DEK-Info", "Comment") + base64.encodebytes(bytes(range(160))).decode() + "-----END RSA PRIVATE KEY-----") == []
+
+
+def test_base64_over_lines():
+    for key, kind in KEYS:
+        plain = base64.b64encode(key).decode()
+        for width in (20, 40, 64, 76):
+            lines = [plain[k : k + width] for k in range(0, len(plain), width)]
+            for mark in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n"):
+                own = mark.join(lines)
+                for before, after in (("key: ", " end"), ("a long word aaaaaaaaaaaaaaaaaaaaaaaaa" + mark, mark + "thanks" + mark), ('{"k": "' + mark, mark + '"}')):
+                    assert ss.confirmed_spans(before + own + after) == [(kind, len(before), len(before) + len(own))], (kind, width, mark, before)
+                assert key is OPENSSH or kinds(mark.join([*lines[:-1], lines[-1][:-4]])) == []
+    whole = "\n".join(base64.b64encode(RSA).decode()[k : k + 64] for k in range(0, 4 * len(RSA), 64)).strip()
+    assert ss.redact(f"x {whole}\n\n{whole} y") == "x [SECRET]\n\n[SECRET] y"
+
+
 def test_redaction():
     text = f"a password: hunter22 b {JWT} c"
     assert ss.redact(text) == "a [SECRET] b [SECRET] c"

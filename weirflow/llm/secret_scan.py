@@ -1,9 +1,10 @@
-"""Secret scanning with structural confirmation.
+r"""Secret scanning with structural confirmation.
 
 Three base patterns are searched leftmost and without overlap. Beyond them, candidates in base64
 or hex are decoded, and are reported only if the bytes parse: DER keys with consistent nested
 lengths, OpenSSH key blobs with consistent field lengths, PEM armour around either, and
-signed-token headers (three base64url parts whose first is a JSON object with ``alg``).
+signed-token headers (three base64url parts whose first is a JSON object with ``alg``). Base64 may
+be wrapped over lines of 20 characters or more, whose breaks may be escapes (``\n`` in a string).
 Offsets are code points, ends exclusive.
 """
 
@@ -29,12 +30,23 @@ _RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_BREAK = r"(?:\r\n|\r|\n|\\+r\\+n|\\+[nr])"
+_PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]{{1,40}})-----((?:[ \t]*{_BREAK}[ \t]*[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*)*)((?:[A-Za-z0-9+/=\s]|\\+[nrt/])+)-----END \1-----")
+_ENCRYPTED = re.compile(r"DEK-Info:[ \t]*[A-Z0-9-]+,[0-9A-Fa-f]{16,}")
+_SEPARATOR = re.compile(rf"[ \t]*{_BREAK}[ \t]*")
+_LINES = re.compile(rf"[A-Za-z0-9+/_-]{{20,}}(?:{_SEPARATOR.pattern}[A-Za-z0-9+/_-]+)*={{0,2}}")
+#: What base64 of a DER SEQUENCE, of a public SSH blob and of an OpenSSH private key begins with.
+_BEGINS = re.compile("M[A-P]|AAAA|b3BlbnNzaC1rZXktdj")
 _BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEXBLOB = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 KINDS = ("assign", "access", "hex", "signed_token", "pem_key", "der_key", "ssh_key")
 _RANK = {k: i for i, k in enumerate(KINDS)}
 _KEY_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2b6570", "2b656e", "2b6571", "2a8648ce380401")}
+#: PBES2, PBES1 and the schemes of PKCS #12: what encrypted PKCS #8 keys begin with.
+_PBE_OIDS = {bytes.fromhex(f"2a864886f70d0105{x}") for x in ("01", "03", "04", "06", "0a", "0b", "0d")} | {bytes.fromhex(f"2a864886f70d010c010{x}") for x in range(1, 7)}
+
+
+_SSH_NAME = re.compile(rb"(ssh-|ecdsa-sha2-|sk-)[a-z0-9@.-]+$")
 
 
 # ---------------------------------------------------------------- decoders
@@ -102,6 +114,10 @@ def is_der_key(data: bytes) -> bool:
         return True
     if tags == [2, 2] and len(inner[0][1]) >= 64:  # RSA public key
         return True
+    if tags == [2] * 6 and inner[0][1] == b"\0" and len(inner[1][1]) >= 64 and len(inner[2][1]) >= 20:  # DSA private key
+        return True
+    if tags == [0x30, 4] and len(inner[1][1]) >= 16 and inner[0][2] and inner[0][2][0][0] == 6 and inner[0][2][0][1] in _PBE_OIDS:  # encrypted PKCS #8
+        return True
     return tags[:2] == [2, 4] and inner[0][1] == b"\1" and len(inner[1][1]) >= 16  # EC private key
 
 
@@ -120,7 +136,28 @@ def is_ssh_key(data: bytes) -> bool:
             return False
         fields.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return at == len(data) and len(fields) >= 2 and bool(re.match(rb"(ssh-|ecdsa-sha2-|sk-)[a-z0-9@.-]+$", fields[0]))
+    return at == len(data) and len(fields) >= 2 and bool(_SSH_NAME.match(fields[0]))
+
+
+def key_ends(data: bytes, private: bool = False) -> list[int]:
+    """Where a key that begins ``data`` may end by its own lengths, last first."""
+    if data[:1] == b"\x30":
+        size = data[1] & 0x7F if len(data) > 1 and data[1] > 0x80 else 0
+        return [2 + size + (int.from_bytes(data[2 : 2 + size], "big") if size else data[1])] if len(data) > 1 + size and size <= 4 else []
+    at, fields, wanted, out = 15 if private else 0, 0, 0, []
+    while at + 4 <= len(data):
+        size = int.from_bytes(data[at : at + 4], "big")
+        if private and fields == 3 and not wanted:  # the number of keys; then a public part each, and the private part
+            wanted, at = 4 + size, at + 4
+            continue
+        at, fields = at + 4 + size, fields + 1
+        if at > len(data) or (not private and fields == 1 and not _SSH_NAME.match(data[4:at])):
+            break
+        if private and fields == wanted:
+            return [at]
+        if not private and fields > 1:
+            out.append(at)
+    return out[::-1]
 
 
 def is_token_header(part: str) -> bool:
@@ -168,6 +205,51 @@ def base_spans(text: str, runs: bool = True) -> list[tuple[str, int, int]]:
     return out
 
 
+def _key_kind(data: bytes | None) -> str | None:
+    return None if not data else "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
+
+
+def wrapped_spans(text: str) -> list[tuple[str, int, int]]:
+    """Keys in base64 over one or more successive lines. A key may begin with any line, and ends by
+    its own lengths at the end of one, so whatever lines stand around it don't matter."""
+    out = []
+    for m in _LINES.finditer(text):
+        a = m.start()
+        if text[a] in "nrt" and text[a - 1 : a] == "\\":  # the letter of an escape
+            a += 1
+        edges = [a]
+        for gap in _SEPARATOR.finditer(text, a, m.end()):
+            edges += gap.span()
+        edges.append(m.end())
+        lines = list(zip(edges[::2], edges[1::2], strict=True))
+        if not any(_BEGINS.match(text, b) for b, _ in lines):
+            continue
+        chars = "".join(text[b:e] for b, e in lines).rstrip("=")
+        at, ends = 0, {}
+        for b, e in lines:
+            at = min(at + e - b, len(chars))
+            ends[at] = e
+        at = done = 0
+        for b, e in lines:
+            begins = _BEGINS.match(text, b) if at >= done else None
+            if begins:
+                # a DER header says the size; a blob's name comes before its fields are followed
+                head = decode64(chars[at : at + 64][: (len(chars) - at) // 4 * 4]) or b""
+                private = begins[0][0] == "b"
+                if head[:1] != b"\x30" and (private or _SSH_NAME.match(head[4 : 4 + int.from_bytes(head[:4], "big")])):
+                    rest = chars[at:]
+                    head = decode64(rest[: len(rest) - (len(rest) % 4 == 1)]) or b""
+                for size in key_ends(head, private):
+                    stop = at - (-4 * size // 3)
+                    kind = _key_kind(decode64(chars[at:stop])) if stop in ends else None
+                    if kind:
+                        out.append((kind, b, ends[stop]))
+                        done = stop
+                        break
+            at += e - b
+    return out
+
+
 def confirmed_spans(text: str, runs: bool = True) -> list[tuple[str, int, int]]:
     """The spans that decoding and parsing confirm; ``runs``: the text has a long run."""
     out = []
@@ -176,19 +258,21 @@ def confirmed_spans(text: str, runs: bool = True) -> list[tuple[str, int, int]]:
     armoured: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            data = decode64(m[2])
-            if data and (is_der_key(data) or is_ssh_key(data)):
+            data = decode64(re.sub(r"\\+[nrt]", "", m[3]).replace("\\", ""))
+            sealed = data and _ENCRYPTED.search(m[2]) and m[1].endswith("PRIVATE KEY") and len(data) >= 16 and len(data) % 8 == 0
+            if sealed or _key_kind(data):
                 out.append(("pem_key", *m.span()))
                 armoured.append(m.span())
-    for pattern, decode in ((_BLOB, decode64), (_HEXBLOB, bytes.fromhex)) if runs else ():
+    if not runs:
+        return out
+    wrapped = [f for f in wrapped_spans(text) if not any(a <= f[1] < b for a, b in armoured)]
+    out += wrapped
+    known = armoured + [f[1:] for f in wrapped]
+    for pattern, decode in ((_BLOB, decode64), (_HEXBLOB, bytes.fromhex)):
         for m in pattern.finditer(text):
-            if any(a <= m.start() < b for a, b in armoured):
-                continue
-            data = decode(m[0])
-            if data:
-                kind = "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
-                if kind:
-                    out.append((kind, *m.span()))
+            kind = None if any(a <= m.start() < b for a, b in known) else _key_kind(decode(m[0]))
+            if kind:
+                out.append((kind, *m.span()))
     return out
 
 
