@@ -106,3 +106,39 @@ def test_edge_rows(spark, docs):
     labels = spark.createDataFrame([(3, 1, 0), (2, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert quality.fit(df, labels).emit.shape == (2, quality.N_FEATURES)
     assert quality.fit(df.limit(0), labels) is quality.DEFAULT_CHAIN and quality.assess(df.limit(0), quality.DEFAULT_CHAIN).count() == 0
+
+
+def test_training_covers_all_lines():
+    """Documents that differ after their first 40 lines only are told apart."""
+    head = "\n".join(f"plain words here {k}" for k in range(40))
+    good = [head + "\n" + "\n".join(f"and more {d} them {k}" for k in range(80)) for d in range(5)]
+    bad = [head + "\n" + "\n".join(f"### $$$ {d} *** {k}" for k in range(80)) for d in range(5)]
+    chain = quality.train(good + bad, [1] * 5 + [0] * 5)
+    share = chain.share(quality.lines_of(pa.array([*good, *bad])))
+    assert (share[:5] > 0.9).all() and (share[5:] < 0.5).all()
+
+
+def test_gradient_of_uneven_documents():
+    """One step of Adam goes by the sign of the likelihood's gradient, found by brute force."""
+    texts, good = ["a b\n## 1\nC", "$$ %\nx", "word and word\n!!\n\n&& 12\nend"], [1, 0, 1]
+    lines, weight = quality.lines_of(pa.array(texts)), [0.25, 0.5, 0.25]
+
+    def likelihood(theta):
+        emit, move, start = theta[: 2 * quality.N_FEATURES].reshape(2, -1), theta[2 * quality.N_FEATURES : -2].reshape(2, 2), theta[-2:]
+        s, out = lines.features @ emit.T, 0.0
+        for (a, b), y, w in zip(itertools.pairwise(lines.first), good, weight, strict=True):
+            value = lambda z: start[z[0]] + sum(s[a + k, q] for k, q in enumerate(z)) + sum(move[p, q] for p, q in itertools.pairwise(z))  # noqa: B023, E731
+            out += w * (value((y,) * (b - a)) - np.logaddexp.reduce([value(z) for z in itertools.product((0, 1), repeat=b - a)]))
+        return out
+
+    chain = quality.train(texts, good, rounds=1)
+    theta = np.concatenate([chain.emit.ravel(), chain.move.ravel(), chain.start])
+    unit = np.eye(len(theta)) * 1e-5
+    gradient = np.array([likelihood(u) - likelihood(-u) for u in unit]) / 2e-5
+    assert (np.sign(theta[abs(gradient) > 1e-6]) == np.sign(gradient[abs(gradient) > 1e-6])).all()
+
+
+def test_the_sample_is_of_documents_that_are_there(spark, docs):
+    df = docs((1, "plain words in a row"), (2, "### $$$ ***"), (3, None))
+    labels = spark.createDataFrame([(k, int(k != 2), 0) for k in range(1, 200)], "doc_id long, quality int, toxic int")
+    assert quality.fit(df, labels, sample=2) is not quality.DEFAULT_CHAIN

@@ -196,45 +196,42 @@ def train(texts: list[str], good: list[int], *, rounds: int = 100, rate: float =
         return DEFAULT_CHAIN
     lines = lines_of(pa.array(texts, pa.large_string()))
     y_doc = np.array(good)
-    use = np.diff(lines.first) > 0
-    lengths, starts = np.diff(lines.first)[use], lines.first[:-1][use]
-    y = y_doc[use]
-    longest = int(min(lengths.max(), 32))
+    lengths, starts = np.diff(lines.first), lines.first[:-1]
+    longest_first = np.argsort(-lengths, kind="stable")
+    longest_first = longest_first[lengths[longest_first] > 0]
+    lengths, starts, y = lengths[longest_first], starts[longest_first], y_doc[longest_first]
+    # lines lie by their number, and then by document: the k-th ones stand at edge[k] to edge[k + 1]
+    active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+    edge = np.append(0, np.cumsum(active))
+    x = lines.features[np.concatenate([starts[:m] + k for k, m in enumerate(active.tolist())])]
+    owner = np.concatenate([np.arange(m) for m in active.tolist()])
+    last = edge[lengths - 1] + np.arange(len(lengths))
+    ranges = [slice(i, j) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
     # classes weigh the same
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     theta = np.zeros(2 * N_FEATURES + 6)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    n = len(lengths)
-    step = np.arange(longest)
-    at = np.minimum(starts[:, None] + step, starts[:, None] + lengths[:, None] - 1)
-    mask = step < lengths[:, None]
-    x = lines.features[at] * mask[..., None]
-    steps = np.minimum(lengths, longest)
     one_hot = np.stack([y == 0, y == 1], 1).astype(float)
     for t in range(1, rounds + 1):
         emit, move, start = theta[: 2 * N_FEATURES].reshape(2, -1), theta[2 * N_FEATURES : -2].reshape(2, 2), theta[-2:]
         s = x @ emit.T
-        alpha = np.zeros((longest, n, 2))
-        alpha[0] = start + s[:, 0]
-        for k in range(1, longest):
-            new = np.logaddexp(alpha[k - 1][:, :1] + move[0], alpha[k - 1][:, 1:] + move[1]) + s[:, k]
-            alpha[k] = np.where(mask[:, k : k + 1], new, alpha[k - 1])
-        log_z = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
-        beta = np.zeros((n, 2))
-        g_emit, g_move, g_start = np.zeros_like(emit), np.zeros_like(move), np.zeros(2)
-        for k in range(longest - 1, -1, -1):
-            node = np.exp(alpha[k] + beta - log_z[:, None])
-            diff = (one_hot - node) * mask[:, k : k + 1] * weight[:, None]
-            g_emit += diff.T @ x[:, k]
-            if k == 0:
-                g_start += diff.sum(0)
-                break
-            into = s[:, k] + beta
-            pair = np.exp(alpha[k - 1][:, :, None] + move + into[:, None, :] - log_z[:, None, None])
-            g_move += (((one_hot[:, :, None] * one_hot[:, None, :]) - pair) * (mask[:, k] * weight)[:, None, None]).sum(0)
-            earlier = np.logaddexp(move[:, 0] + into[:, :1], move[:, 1] + into[:, 1:])
-            beta = np.where(mask[:, k : k + 1], earlier, beta)
-        gradient = np.concatenate([g_emit.ravel(), g_move.ravel(), g_start]) / max(1, steps.mean()) - decay * theta
+        alpha = s.copy()
+        alpha[ranges[0]] += start
+        for before, at in zip(ranges, ranges[1:], strict=False):
+            old = alpha[before][: at.stop - at.start]
+            alpha[at] += np.logaddexp(old[:, :1] + move[0], old[:, 1:] + move[1])
+        log_z = np.logaddexp(alpha[last, 0], alpha[last, 1])
+        beta = np.zeros_like(alpha)
+        g_move = np.zeros_like(move)
+        for before, at in zip(ranges[-2::-1], ranges[:0:-1], strict=True):
+            n = at.stop - at.start
+            old, into = alpha[before][:n], s[at] + beta[at]
+            pair = np.exp(old[:, :, None] + move + into[:, None, :] - log_z[:n, None, None])
+            g_move += (((one_hot[:n, :, None] * one_hot[:n, None, :]) - pair) * weight[:n, None, None]).sum(0)
+            beta[before][:n] = np.logaddexp(move[:, 0] + into[:, :1], move[:, 1] + into[:, 1:])
+        diff = (one_hot[owner] - np.exp(alpha + beta - log_z[owner, None])) * weight[owner, None]
+        g_emit, g_start = diff.T @ x, diff[ranges[0]].sum(0)
+        gradient = np.concatenate([g_emit.ravel(), g_move.ravel(), g_start]) / max(1, lengths.mean()) - decay * theta
         m = 0.9 * m + 0.1 * gradient
         v = 0.99 * v + 0.01 * gradient**2
         theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) / (1 + t / 25)
@@ -242,11 +239,13 @@ def train(texts: list[str], good: list[int], *, rounds: int = 100, rate: float =
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 1500, text_chars: int = 20000) -> Chain:
-    """A chain from a bounded sample of labelled documents: the ``sample`` smallest by a hash of
-    the id, at most ``text_chars`` characters of each. The labels are broadcast only if Spark
-    finds them small; the sample is what reaches the driver."""
-    chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").substr(1, text_chars).alias("text")).join(chosen, "doc_id").limit(2 * sample).collect()
+    """A chain from a bounded sample of labelled documents that ``docs`` has with a text: the
+    ``sample`` smallest by a hash of the id, at most ``text_chars`` characters of each (all lines
+    of these). Both bounds are for the driver, which the sample reaches."""
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").substr(1, text_chars).alias("text"))
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").join(texts.select("doc_id"), "doc_id", "left_semi")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    rows = texts.join(chosen, "doc_id").limit(2 * sample).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in rows], [int(r["quality"] != 0) for r in rows])
 
