@@ -46,6 +46,16 @@ def test_ids_are_those_of_the_tokenizer(spark):
         assert ids[offs[k] : offs[k + 1]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
 
 
+def test_capitals_with_marks():
+    """NFC comes before lowering: J and a caron stay two characters, j and a caron become one."""
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = [f"{a}x {c}{chr(m)}{b}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in range(0x300, 0x370) for a, b in (("", ""), ("(", "A-b"))]
+    texts += ["J\u0323\u030c", "AJ\u030cJ", "T\u0344", "H", "\u0331h"]
+    ids, offs = packing.ChunkEncoder(PATH).encode(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert ids[offs[k] : offs[k + 1]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], ascii(text)
+
+
 def check(out, docs):
     """The contract of a packing: every id once, sequences gapless, little padding."""
     tokenizer = Tokenizer.from_file(PATH)

@@ -103,6 +103,8 @@ class ChunkEncoder:
     The tokenizer drops white space, keeps case of no letter, and never merges across white space
     or between an ASCII letter and an ASCII mark (but the apostrophe, which begins contractions).
     So a text's ids are those of its chunks in order, and each distinct chunk is encoded once.
+    ASCII capitals are lowered beforehand, but not where a mark may follow: composition comes
+    before lowering in the tokenizer, and some marks compose with the small letter alone.
     Texts that could hold a control token are encoded whole, and so is every text with a
     tokenizer of another kind.
     """
@@ -126,6 +128,8 @@ class ChunkEncoder:
         odd = np.arange(n) if not self.chunked else np.unique(np.searchsorted(offs, np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)), "right") - 1)
         whole = [self.tokenizer.encode(data[offs[d] : offs[d + 1]].tobytes().decode(), add_special_tokens=False).ids for d in odd.tolist()]
         low = LOWER[data]
+        composes = np.flatnonzero((data[:-1] >= 65) & (data[:-1] <= 90) & (data[1:] >= 128))
+        low[composes] = data[composes]
         for d in odd.tolist():
             low[offs[d] : offs[d + 1]] = 32
         cut = np.zeros(len(low) + 1, bool)
