@@ -2,7 +2,8 @@
 
 Each line of a document gets features; a two-state chain (boilerplate 0, content 1) is decoded by
 Viterbi. A document is kept if the share of characters in content lines reaches a threshold and
-the counting rules don't fail it.
+the counting rules don't fail it. Only documents are labelled, so the states of lines are hidden
+in training: a good document may hold boilerplate and a bad one content.
 """
 
 from __future__ import annotations
@@ -189,65 +190,111 @@ class Chain:
 DEFAULT_CHAIN = Chain(np.stack([np.array([-2.5, 4, 4, 5, 4, 0, 0, 0, 2, 4, 1.5, 4]) / 2, -np.array([-2.5, 4, 4, 5, 4, 0, 0, 0, 2, 4, 1.5, 4]) / 2]), np.array([[0.5, -0.5], [-0.5, 0.5]]), np.zeros(2))
 
 
-def train(texts: list[str], good: list[int], *, rounds: int = 100, rate: float = 0.5, decay: float = 1e-3) -> Chain:
-    """Maximum conditional likelihood of the chain by full-batch Adam; each line of a document
-    takes the document's label. One class alone gives ``DEFAULT_CHAIN``."""
-    if len(set(good)) < 2:
-        return DEFAULT_CHAIN
+@dataclass
+class _Laid:
+    """Lines of several documents, laid by their number and then by document, longest first."""
+
+    x: np.ndarray
+    owner: np.ndarray
+    last: np.ndarray
+    ranges: list[slice]
+    good: np.ndarray  # label of each document
+    weight: np.ndarray
+    scale: float
+
+
+def _laid(texts: list[str], good: list[int]) -> _Laid:
     lines = lines_of(pa.array(texts, pa.large_string()))
     y_doc = np.array(good)
     lengths, starts = np.diff(lines.first), lines.first[:-1]
     longest_first = np.argsort(-lengths, kind="stable")
-    longest_first = longest_first[lengths[longest_first] > 0]
     lengths, starts, y = lengths[longest_first], starts[longest_first], y_doc[longest_first]
-    # lines lie by their number, and then by document: the k-th ones stand at edge[k] to edge[k + 1]
-    active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+    active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # a text has one line at least
     edge = np.append(0, np.cumsum(active))
     x = lines.features[np.concatenate([starts[:m] + k for k, m in enumerate(active.tolist())])]
     owner = np.concatenate([np.arange(m) for m in active.tolist()])
     last = edge[lengths - 1] + np.arange(len(lengths))
     ranges = [slice(i, j) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-    # classes weigh the same
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))  # classes weigh the same
+    return _Laid(x, owner, last, ranges, y, weight, max(1.0, lengths.mean()))
+
+
+def _expected(s: np.ndarray, move: np.ndarray, start: np.ndarray, laid: _Laid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log Z of each document, probabilities of each line's states, and weighted expected moves."""
+    ranges, weight = laid.ranges, laid.weight
+    alpha = s.copy()
+    alpha[ranges[0]] += start
+    for before, at in zip(ranges, ranges[1:], strict=False):
+        old = alpha[before][: at.stop - at.start]
+        alpha[at] += np.logaddexp(old[:, :1] + move[0], old[:, 1:] + move[1])
+    log_z = np.logaddexp(alpha[laid.last, 0], alpha[laid.last, 1])
+    beta, moves = np.zeros_like(alpha), np.zeros_like(move)
+    for before, at in zip(ranges[-2::-1], ranges[:0:-1], strict=True):
+        n = at.stop - at.start
+        old, into = alpha[before][:n], s[at] + beta[at]
+        pair = np.exp(old[:, :, None] + move + into[:, None, :] - log_z[:n, None, None])
+        moves += (pair * weight[:n, None, None]).sum(0)
+        beta[before][:n] = np.logaddexp(move[:, 0] + into[:, :1], move[:, 1] + into[:, 1:])
+    return log_z, np.exp(alpha + beta - log_z[laid.owner, None]), moves
+
+
+def likelihood(theta: np.ndarray, laid: _Laid, noise: tuple[float, float]) -> tuple[float, np.ndarray]:
+    """Weighted log likelihood of the labels and its gradient.
+
+    States of lines are hidden. A document's label is seen at each line through a noisy channel:
+    ``noise`` are the chances that a boilerplate line stands in a good document, and that a content
+    line stands in a bad one. The likelihood is log Z with the channel less log Z without.
+    """
+    emit, move, start = theta[: 2 * N_FEATURES].reshape(2, -1), theta[2 * N_FEATURES : -2].reshape(2, 2), theta[-2:]
+    stray, lost = noise
+    channel = np.log(np.array([[1 - stray, lost], [stray, 1 - lost]]))  # by label, then state
+    s = laid.x @ emit.T
+    free, free_state, free_move = _expected(s, move, start, laid)
+    seen, seen_state, seen_move = _expected(s + channel[laid.good[laid.owner]], move, start, laid)
+    diff = (seen_state - free_state) * laid.weight[laid.owner, None]
+    gradient = np.concatenate([(diff.T @ laid.x).ravel(), (seen_move - free_move).ravel(), diff[laid.ranges[0]].sum(0)])
+    return float(((seen - free) * laid.weight).sum()), gradient
+
+
+#: Chances of a boilerplate line in a good document, and of a content line in a bad one.
+NOISE = (0.1, 0.3)
+
+
+def train(texts: list[str], good: list[int], *, rounds: int = 100, rate: float = 0.5, decay: float = 1e-4, move_decay: float = 0.1, noise: tuple[float, float] = NOISE) -> Chain:
+    """Maximum marginal likelihood of the documents' labels by full-batch Adam over all lines of all
+    texts; states of lines are hidden (``likelihood``). One class alone gives ``DEFAULT_CHAIN``.
+
+    All lines of a document see the same label, which moves alone could explain: their prior
+    (``move_decay``) is the stronger one, so that a line's own features tell it apart.
+    """
+    if len(set(good)) < 2:
+        return DEFAULT_CHAIN
+    laid = _laid(texts, good)
     theta = np.zeros(2 * N_FEATURES + 6)
+    pull = np.append(np.full(2 * N_FEATURES, decay), np.full(6, move_decay))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    one_hot = np.stack([y == 0, y == 1], 1).astype(float)
     for t in range(1, rounds + 1):
-        emit, move, start = theta[: 2 * N_FEATURES].reshape(2, -1), theta[2 * N_FEATURES : -2].reshape(2, 2), theta[-2:]
-        s = x @ emit.T
-        alpha = s.copy()
-        alpha[ranges[0]] += start
-        for before, at in zip(ranges, ranges[1:], strict=False):
-            old = alpha[before][: at.stop - at.start]
-            alpha[at] += np.logaddexp(old[:, :1] + move[0], old[:, 1:] + move[1])
-        log_z = np.logaddexp(alpha[last, 0], alpha[last, 1])
-        beta = np.zeros_like(alpha)
-        g_move = np.zeros_like(move)
-        for before, at in zip(ranges[-2::-1], ranges[:0:-1], strict=True):
-            n = at.stop - at.start
-            old, into = alpha[before][:n], s[at] + beta[at]
-            pair = np.exp(old[:, :, None] + move + into[:, None, :] - log_z[:n, None, None])
-            g_move += (((one_hot[:n, :, None] * one_hot[:n, None, :]) - pair) * weight[:n, None, None]).sum(0)
-            beta[before][:n] = np.logaddexp(move[:, 0] + into[:, :1], move[:, 1] + into[:, 1:])
-        diff = (one_hot[owner] - np.exp(alpha + beta - log_z[owner, None])) * weight[owner, None]
-        g_emit, g_start = diff.T @ x, diff[ranges[0]].sum(0)
-        gradient = np.concatenate([g_emit.ravel(), g_move.ravel(), g_start]) / max(1, lengths.mean()) - decay * theta
+        gradient = likelihood(theta, laid, noise)[1] / laid.scale - pull * theta
         m = 0.9 * m + 0.1 * gradient
         v = 0.99 * v + 0.01 * gradient**2
         theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) / (1 + t / 25)
     return Chain(theta[: 2 * N_FEATURES].reshape(2, -1).copy(), theta[2 * N_FEATURES : -2].reshape(2, 2).copy(), theta[-2:].copy())
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 1500, text_chars: int = 20000) -> Chain:
-    """A chain from a bounded sample of labelled documents that ``docs`` has with a text: the
-    ``sample`` smallest by a hash of the id, at most ``text_chars`` characters of each (all lines
-    of these). Both bounds are for the driver, which the sample reaches."""
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").substr(1, text_chars).alias("text"))
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").join(texts.select("doc_id"), "doc_id", "left_semi")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = texts.join(chosen, "doc_id").limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], [int(r["quality"] != 0) for r in rows])
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 1500, most_chars: int = 20000) -> Chain:
+    """A chain from a bounded sample of labelled documents that ``docs`` has with a text.
+
+    The sample is the ``sample`` smallest by a hash of the id among labelled texts of at most
+    ``most_chars`` characters, whole; longer texts aren't learned from. Both bounds are for the
+    driver, which the sample reaches. Of repeated ids the least text and the least label count;
+    null ids, texts and labels are left out.
+    """
+    texts = docs.where(F.length("text") <= most_chars).select("doc_id", "text")
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min("quality") != 0).cast("int").alias("good"))
+    chosen = known.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("good").alias("good")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    return train([r["text"] for r in rows], [r["good"] for r in rows])
 
 
 #: Documents below this share of content characters are rejected.
