@@ -56,3 +56,31 @@ def test_scores_beyond_exact_floats(spark):
     big = topk._scores(np.array([[2.0**40, 1.0]]), np.array([[2.0**20 + 1, 1.0]]))
     assert big[0, 0] == 2**40 * (2**20 + 1) + 1
     assert sorted(tuple(r) for r in topk.search(df, df.where("vec_id < 2"), k=3).collect()) == brute(rows, {0, 1}, 3)
+
+
+def test_many_cells_and_a_fixed_number_of_jobs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), [float(x) for x in rng.integers(-9, 9, 3) / 4]) for k in range(300)] + [(700 + k, [float(k), 1.0]) for k in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    jobs = []
+    for step, queries in ((100, "few"), (2, "many")):
+        spark.sparkContext.setJobGroup(queries, queries)
+        got = topk.search(df, df.where(F.col("vec_id") % step == 0), block=4, strip=16, cell_bytes=512).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(queries)))
+        assert sorted(tuple(r) for r in got) == brute(rows, {i for i, _ in rows if i % step == 0})
+    spark.sparkContext.setJobGroup("other", "other")
+    assert abs(jobs[1] - jobs[0]) <= 12  # rounds depend on the scores' range; blocks grew from 4 to 42
+
+
+def test_huge_components_take_the_ends_of_the_range(spark):
+    df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [-1e300, 2.0]), (3, [1.0, 1.0]), (4, [1.7e308, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.search(df, df.where("vec_id in (0, 3)")).collect())
+    top, low = 2**63 - 1, -(2**63)
+    assert got == [(0, 1, 1, top), (0, 2, 3, top), (0, 3, 2, low), (3, 1, 0, top), (3, 2, 1, top), (3, 3, 2, low)]
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [0.5])]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as d", "2 as uid", "3 as n", "4 as query_id", "5 as id", "6 as v")
+    got = sorted(tuple(r)[:4] for r in topk.search(df, df.where("vec_id = 2")).collect())
+    assert got == [(2, 1, 1, 65536), (2, 2, 1, 65536), (2, 3, 0, 32768), (2, 4, 0, 32768)]

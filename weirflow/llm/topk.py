@@ -1,9 +1,10 @@
 """Exact top-k inner-product search by distributed histogram selection.
 
-The queries are taken in blocks of bounded size. For a block every candidate is scored, and
-histograms of the scores, refined again and again around the bin that holds the kth value,
-locate each query's kth score exactly. A last pass keeps the scores above it, and of those equal
-to it the smallest ids.
+Rows are packed into strips and queries into blocks. A grid of cells, each of some strips and some
+blocks, scores every query against every row, and histograms of the scores, refined again and again
+around the bin that holds the kth value, locate each query's kth score exactly. A last pass keeps
+the scores above it, and of those equal to it the smallest ids. Intervals and counts stay in
+tables: the number of jobs depends on how far scores can lie apart, not on rows or queries.
 """
 
 from __future__ import annotations
@@ -12,31 +13,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import U64, frugal, materialise
 
 _EXACT = 2**53
+_LOW, _HIGH = -(2**63), 2**63 - 1
+#: Bytes of the float64 components of a cell's rows, and of its queries.
+CELL_BYTES = 16 << 20
 
 
-def _vectors(column: pa.Array) -> tuple[np.ndarray, list[int], np.ndarray]:
-    """Flat float64 components, and length and start of each valid row's vector (-1: invalid)."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat components floor(256 * x), and length (-1: takes no part) and start of each row's vector."""
     n = len(column)
     offs = column.offsets.to_numpy()
     values = column.values
     flat = values.to_numpy(zero_copy_only=False).astype(np.float64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        flat = np.floor(256.0 * flat)
     bad = ~np.isfinite(flat)
     if values.null_count:
         bad |= values.is_null().to_numpy(zero_copy_only=False)
     count = np.concatenate([[0], np.cumsum(bad)])
-    length = np.diff(offs)
     wrong = (count[offs[1:]] - count[offs[:-1]]) > 0
     if column.null_count:
         wrong |= column.is_null().to_numpy(zero_copy_only=False)
-    return flat, np.where(wrong, -1, length).tolist() if n else [], offs
+    return flat, np.where(wrong, -1, np.diff(offs)) if n else np.zeros(0, np.int64), offs
 
 
 def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -44,214 +47,247 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     ids = batch.column(0)
     known = np.ones(len(ids), bool) if not ids.null_count else ~ids.is_null().to_numpy(zero_copy_only=False)
     numbers = ids.fill_null(0).to_numpy(zero_copy_only=False)
-    flat, length, offs = _vectors(batch.column(1))
-    size = np.array(length, np.int64)
+    flat, size, offs = _vectors(batch.column(1))
     for dim in np.unique(size[(size > 0) & known]):
         at = np.flatnonzero((size == dim) & known)
-        yield numbers[at], np.floor(256.0 * flat[offs[at][:, None] + np.arange(dim)])
+        yield numbers[at], flat[offs[at][:, None] + np.arange(dim)]
 
 
 def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Integer inner products as int64. Floats are used only where they are exact."""
+    """Integer inner products: as floats where these are exact, else as int64, where what is beyond
+    its range takes its ends."""
     bound = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(1, rows.shape[1])
     if bound < _EXACT:
-        return (queries @ rows.T).astype(np.int64)
+        return queries @ rows.T
     whole = np.array([[int(v) for v in r] for r in queries], object) @ np.array([[int(v) for v in r] for r in rows], object).T
-    return whole.astype(np.int64)
-
-
-def _blocks(queries: DataFrame, id_column: str, vector: str, size: int) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Blocks of at most ``size`` queries, by vector length; one block is on the driver at a time."""
-    numbered = materialise(queries.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v")).withColumn("n", F.monotonically_increasing_id()), "topk-queries")
-    low = -1
-    while True:
-        rows = numbered.where(F.col("n") > low).orderBy("n").limit(size).toArrow()
-        if not rows.num_rows:
-            return
-        low = rows.column("n")[-1].as_py()
-        out: dict[int, list] = {}
-        for batch in rows.select(["id", "v"]).combine_chunks().to_batches():
-            for ids, matrix in _matrices(batch):
-                out.setdefault(matrix.shape[1], []).append((ids, matrix))
-        block = {d: (np.concatenate([i for i, _ in x]), np.concatenate([m for _, m in x])) for d, x in out.items()}
-        if block:
-            yield block
+    return np.minimum(np.maximum(whole, _LOW), _HIGH).astype(np.int64)
 
 
-def _own(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return ids[:, None] == rows[None, :]
+def _own(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a query and a row of the same id."""
+    some = np.flatnonzero(np.isin(ids, rows))
+    at, col = np.nonzero(ids[some][:, None] == rows[None, :])
+    return some[at], col
 
 
-def search(rows: DataFrame, queries: DataFrame, *, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", block: int = 1024, bins: int = 1024, strip: int = 2048) -> DataFrame:
-    """query_id, rank, id, score: the ``k`` highest scores of each query among all rows but those
-    with its id; ties go to the smaller id.
+# ---------------------------------------------------------------- strips and blocks
+def _narrow(matrix: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest type that holds them."""
+    most = np.abs(matrix).max(initial=0)
+    return matrix.astype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.float64)
+
+
+_PACKED = "uid long, d int, n int, most double, ids binary, kind string, vectors binary"
 
-    Vectors that are null or hold nulls or non-finite values take no part, as do null ids; a row
-    is compared with the queries of its vector's length. Fewer than ``k`` candidates give fewer
-    rows, and none for a query without any. Rows that repeat a (query id, id) each count.
-    A query block (``block`` vectors) is what goes to the executors; it doesn't grow with the data.
-    """
-    spark = rows.sparkSession
-    data = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v"))
-    parts: list[DataFrame] = []
-    for held in _blocks(queries, id_column, vector, block):
-        kept = spark.sparkContext.broadcast(held)
-        parts.append(_block_top(data, kept, held, k, bins, strip))
-    schema = "query_id long, rank int, vec_id long, score long"
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _pass(data: DataFrame, work, schema: str) -> DataFrame:
-    """Runs ``work(dim, ids, matrix)`` over strips of all rows."""
+
+def _packed(frame: DataFrame, size: int) -> DataFrame:
+    """At most ``size`` vectors of one length a row, gathered within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = work()
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        uid = (task.partitionId() if task else 0) << 32
+        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def put(dim: int, least: int) -> Iterator[pa.RecordBatch]:
+            nonlocal uid
+            ids, matrix = (np.concatenate(x) for x in zip(*waiting[dim], strict=True))
+            at = 0
+            while len(ids) - at >= least and at < len(ids):
+                part = _narrow(matrix[at : at + size])
+                row = uid, dim, len(part), float(np.abs(part.astype(np.float64)).max()), ids[at : at + size].astype(np.int64).tobytes(), part.dtype.str, part.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.string(), pa.binary()), strict=True)], names=[c.split(" ")[0] for c in _PACKED.split(", ")])
+                uid, at = uid + 1, at + size
+            waiting[dim] = [(ids[at:], matrix[at:])]
+
         for batch in batches:
             for ids, matrix in _matrices(batch):
-                for out in state.add(ids, matrix):
-                    yield out
-        yield from state.end()
+                lot = waiting.setdefault(matrix.shape[1], [])
+                lot.append((ids, matrix))
+                if sum(len(i) for i, _ in lot) >= size:
+                    yield from put(matrix.shape[1], size)
+        for dim in list(waiting):
+            yield from put(dim, 1)
 
-    return data.mapInArrow(run, schema)
+    return frame.mapInArrow(frugal(run), _PACKED)
 
 
-class _Range:
-    """Count, least and greatest score of each query."""
+def _opened(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors as float64) of the rows of ``_packed``."""
+    for d, ids, kind, vectors in zip(*(table.column(c).to_pylist() for c in ("d", "ids", "kind", "vectors")), strict=True):
+        yield np.frombuffer(ids, np.int64), np.frombuffer(vectors, kind).reshape(-1, d).astype(np.float64)
 
-    def __init__(self, kept, strip):
-        self.held, self.strip = kept.value, strip
-        self.found = {d: [np.zeros(len(i), np.int64), np.full(len(i), np.iinfo(np.int64).max), np.full(len(i), np.iinfo(np.int64).min)] for d, (i, _) in self.held.items()}
 
-    def add(self, ids, matrix):
-        if matrix.shape[1] in self.held:
-            q, m = self.held[matrix.shape[1]]
-            n, low, high = self.found[matrix.shape[1]]
-            for at in range(0, len(ids), self.strip):
-                s, own = _scores(m, matrix[at : at + self.strip]), _own(q, ids[at : at + self.strip])
-                n += (~own).sum(1)
-                np.minimum(low, np.where(own, np.iinfo(np.int64).max, s).min(1), out=low)
-                np.maximum(high, np.where(own, np.iinfo(np.int64).min, s).max(1), out=high)
-        return ()
+_STATE = "block long, d int, low binary, high binary, need binary, live long"
 
-    def end(self):
-        for d, (n, low, high) in self.found.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(low[at]), pa.array(high[at])], names=["d", "q", "n", "low", "high"])
 
+def _state_row(block: int, d: int, low: np.ndarray, high: np.ndarray, need: np.ndarray) -> list:
+    return [[block], [d], [low.tobytes()], [high.tobytes()], [need.tobytes()], [int(((low < high) & (need > 0)).sum())]]
 
-class _Histogram:
-    """Counts of scores by bin in each query's interval, from the top until they reach what is
-    looked for: bins further down can't hold the kth value."""
 
-    def __init__(self, kept, strip, spans, bins):
-        self.held, self.strip, self.spans, self.bins = kept.value, strip, spans.value, bins
-        self.found = {d: np.zeros((len(s[0]), bins), np.int64) for d, s in self.spans.items()}
-
-    def add(self, ids, matrix):
-        d = matrix.shape[1]
-        if d in self.spans:
-            q, m = self.held[d]
-            low, high, width, _, live = self.spans[d]
-            for at in range(0, len(ids), self.strip):
-                s = _scores(m[live], matrix[at : at + self.strip])
-                inside = (s >= low[:, None]) & (s <= high[:, None]) & ~_own(q[live], ids[at : at + self.strip])
-                row, col = np.nonzero(inside)
-                bin_ = (s[row, col] - low[row]) // width[row]
-                np.add.at(self.found[d], (row, bin_), 1)
-        return ()
-
-    def end(self):
-        for d, counts in self.found.items():
-            need = self.spans[d][3]
-            above = np.cumsum(counts[:, ::-1], 1)[:, ::-1] - counts
-            row, col = np.nonzero((counts > 0) & (above < need[:, None]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), d, np.int32)), pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), pa.array(counts[row, col])], names=["d", "q", "bin", "n"])
-
-
-class _Winners:
-    """Scores over the kth value, and of those equal to it the smallest ids, for each query."""
+def _state_schema() -> pa.Schema:
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+    return pa.schema([(c.split(" ")[0], k) for c, k in zip(_STATE.split(", "), kinds, strict=True)])
 
-    def __init__(self, kept, strip, found, k):
-        self.held, self.strip, self.kth, self.k = kept.value, strip, found.value, k
-        self.ties: dict = {}
-
-    def add(self, ids, matrix):
-        d = matrix.shape[1]
-        if d not in self.kth:
-            return
-        q, m = self.held[d]
-        kth, ties, live = self.kth[d]
-        for at in range(0, len(ids), self.strip):
-            own_ids = ids[at : at + self.strip]
-            s, own = _scores(m[live], matrix[at : at + self.strip]), _own(q[live], own_ids)
-            row, col = np.nonzero((s > kth[:, None]) & ~own)
-            if len(row):
-                yield self._rows(q[live][row], own_ids[col], s[row, col])
-            row, col = np.nonzero((s == kth[:, None]) & ~own)
+
+def _first_state(blocks: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """Intervals that hold every score of a query: components are bounded by the rows' greatest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for block, d, most, (_, m) in zip(*(table.column(c).to_pylist() for c in ("uid", "d", "all_most")), _opened(table), strict=True):
+                bound = np.abs(m).sum(1) * most * (1 + 1e-9) + 1
+                high = np.where(bound < 2.0**62, np.minimum(bound, 2.0**62).astype(np.int64), _HIGH)
+                low = np.where(high == _HIGH, _LOW, -high)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(_state_row(block, d, low, high, np.full(len(m), k, np.int64)), _state_schema(), strict=True)], schema=_state_schema())
+
+    return blocks.join(totals, "d").select("uid", "d", "ids", "kind", "vectors", "all_most").mapInArrow(frugal(run), _STATE)
+
+
+def _span(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return high.view(U64) - low.view(U64)
+
+
+def _next_state(key: tuple, counted: pa.Table, before: pa.Table, bins: int) -> pa.Table:
+    """The bins that hold the kth values of a block, as intervals."""
+    d = before.column("d")[0].as_py()
+    low, high, need = (np.frombuffer(before.column(c)[0].as_py(), np.int64).copy() for c in ("low", "high", "need"))
+    q, bin_, n = (counted.column(c).to_numpy() for c in ("q", "bin", "n"))
+    by = np.lexsort((-bin_, q))
+    q, bin_, n = q[by], bin_[by].astype(U64), n[by]
+    total = np.bincount(q, n, len(low)).astype(np.int64)
+    open_ = (low < high) & (need > 0)
+    need = np.where(open_, np.minimum(need, total), need)
+    start = np.concatenate([[0], np.cumsum(n)])
+    first = np.searchsorted(q, q)
+    upto = start[1:] - start[first]
+    hit = np.flatnonzero((upto >= need[q]) & (upto - n < need[q]))
+    q, bin_ = q[hit], bin_[hit]
+    need[q] -= (upto - n)[hit]
+    width = _span(low, high)[q] // U64(bins) + U64(1)
+    rest = np.minimum(width - U64(1), _span(low, high)[q] - bin_ * width)
+    base = low[q].view(U64) + bin_ * width
+    low[q], high[q] = base.view(np.int64), (base + rest).view(np.int64)
+    return pa.table([pa.array(v, f.type) for v, f in zip(_state_row(key[0].as_py(), d, low, high, need), _state_schema(), strict=True)], schema=_state_schema())
+
+
+# ---------------------------------------------------------------- cells
+def _grid(strips: DataFrame, asked: DataFrame, shape: DataFrame, work, schema: str) -> DataFrame:
+    """``work(strips, blocks)`` for each cell of the grid. ``shape``: for each vector length the
+    number of lots of strips (r) and of blocks (c); a strip goes to c cells and a block to r."""
+    several = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lot = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
+    keys = ["d", "__r", "__c"]
+    across = strips.join(shape, "d").withColumn("__r", lot("r")).withColumn("__c", several("c")).select(*keys, "ids", "kind", "vectors")
+    down = asked.join(shape, "d").withColumn("__c", lot("c")).withColumn("__r", several("r")).select(*keys, "uid", "ids", "kind", "vectors", "low", "high", "need")
+    return across.groupBy(*keys).cogroup(down.groupBy(*keys)).applyInArrow(work, schema)
+
+
+def _questions(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    states = (np.frombuffer(x, np.int64) for row in zip(*(table.column(c).to_pylist() for c in ("low", "high", "need")), strict=True) for x in row)
+    for uid, (ids, m) in zip(table.column("uid").to_pylist(), _opened(table), strict=True):
+        yield uid, ids, m, next(states), next(states), next(states)
+
+
+def _comparable(s: np.ndarray, *edges: np.ndarray) -> np.ndarray:
+    """Scores as int64 where a float couldn't be compared with the edges exactly."""
+    if s.dtype != np.int64 and any(len(e) and (e.max() >= _EXACT or e.min() <= -_EXACT) for e in edges):
+        return s.astype(np.int64)
+    return s
+
+
+def _histogram(strips: pa.Table, asked: pa.Table, bins: int) -> pa.Table:
+    """Counts of scores by bin in each query's interval, from the top until they reach what is
+    looked for: bins further down can't hold the kth value."""
+    lots, out = list(_opened(strips)), []
+    for block, q, m, low, high, need in _questions(asked):
+        live = np.flatnonzero((low < high) & (need > 0))
+        if not len(live):
+            continue
+        q, m, low, high, need = q[live], m[live], low[live], high[live], need[live]
+        width = _span(low, high) // U64(bins) + U64(1)
+        counts = np.zeros(len(live) * bins, np.int64)
+        floor = low.copy()
+        for ids, rows in lots:
+            s = _comparable(_scores(m, rows), low, high)
+            inside = (s >= floor[:, None]) & (s <= high[:, None])
+            inside[_own(q, ids)] = False
+            row, col = np.nonzero(inside)
             if len(row):
-                order = np.lexsort((own_ids[col], row))
-                row, near = row[order], own_ids[col][order]
-                first = np.searchsorted(row, row)
-                fit = np.arange(len(row)) - first < ties[row]
-                for r in np.unique(row[fit]):
-                    best = np.concatenate([self.ties.get((d, r), np.zeros(0, np.int64)), near[fit & (row == r)]])
-                    self.ties[d, r] = np.sort(best)[: ties[r]]
-
-    def end(self):
-        for (d, r), best in self.ties.items():
-            q, (kth, _, live) = self.held[d][0], self.kth[d]
-            yield self._rows(np.full(len(best), q[live][r]), best, np.full(len(best), kth[r]))
-
-    @staticmethod
-    def _rows(q, ids, s):
-        return pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(ids.astype(np.int64)), pa.array(s.astype(np.int64))], names=["query_id", "vec_id", "score"])
-
-
-def _block_top(data: DataFrame, kept, held: dict, k: int, bins: int, strip: int) -> DataFrame:
-    context = data.sparkSession.sparkContext
-    found = _pass(data, lambda: _Range(kept, strip), "d int, q int, n long, low long, high long").groupBy("d", "q").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
-    #: by (length, query): interval that holds the kth value, and how many are wanted within it
-    state = {(r["d"], r["q"]): [r["low"], r["high"], min(k, r["n"])] for r in found}
-    while any(low < high for low, high, _ in state.values()):
-        spans = {}
-        index = {}
-        for d in held:
-            live = sorted(q for (e, q), (low, high, _) in state.items() if e == d and low < high)
-            if live:
-                low, high, need = (np.array(x, np.int64) for x in zip(*(state[d, q] for q in live), strict=True))
-                spans[d] = (low, high, np.maximum(1, (high - low) // bins + 1), need, np.array(live))
-                index[d] = live
-        sent = context.broadcast(spans)
-        rows = _pass(data, lambda s=sent: _Histogram(kept, strip, s, bins), "d int, q int, bin int, n long").groupBy("d", "q", "bin").agg(F.sum("n").alias("n")).collect()
-        by: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r in rows:
-            by.setdefault((r["d"], r["q"]), []).append((r["bin"], r["n"]))
-        for (d, row), counts in by.items():
-            q = index[d][row]
-            low, high, need = state[d, q]
-            width = int(spans[d][2][row])
-            for b, n in sorted(counts, reverse=True):
-                if n >= need:
-                    state[d, q] = [low + b * width, min(high, low + (b + 1) * width - 1), need]
-                    break
-                need -= n
-        sent.unpersist()
-    kth = {}
-    for d in held:
-        live = sorted(q for e, q in state if e == d)
-        if live:
-            kth[d] = (np.array([state[d, q][0] for q in live], np.int64), np.array([state[d, q][2] for q in live], np.int64), np.array(live))
-    sent = context.broadcast(kth)
-    top = _pass(data, lambda: _Winners(kept, strip, sent, k), "query_id long, vec_id long, score long")
-    # what is left are k rows of each query, and k ties of each task at most
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("a"), "vec_id")))
-    cut = top.groupBy("query_id").agg(F.slice(ranked, 1, k).alias("best"))
-    return cut.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.a")).alias("score"))
+                at = (s[row, col].astype(np.int64).view(U64) - low[row].view(U64)) // width[row]
+                counts += np.bincount(row * bins + at.astype(np.int64), minlength=len(counts))
+                above = np.cumsum(counts.reshape(-1, bins)[:, ::-1], 1)
+                reached = above[:, -1] >= need
+                last = (bins - 1 - (above >= need[:, None]).argmax(1)).astype(U64)
+                floor = np.where(reached, (low.view(U64) + last * width).view(np.int64), low)
+        table = counts.reshape(-1, bins)
+        above = np.cumsum(table[:, ::-1], 1)[:, ::-1] - table
+        row, col = np.nonzero((table > 0) & (above < need[:, None]))
+        out.append(pa.table([np.full(len(row), block), live[row].astype(np.int32), col.astype(np.int32), table[row, col]], names=["block", "q", "bin", "n"]))
+    return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())], names=["block", "q", "bin", "n"])
+
+
+def _winners(strips: pa.Table, asked: pa.Table) -> pa.Table:
+    """Scores over the kth value, and of those equal to it the smallest ids, for each query."""
+    lots, found = list(_opened(strips)), [(np.zeros(0, np.int64),) * 3]
+    for _, q, m, kth, _, need in _questions(asked):
+        live = np.flatnonzero(need > 0)
+        q, m, kth, need = q[live], m[live], kth[live], need[live]
+        tie_row, tie_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for ids, rows in lots:
+            s = _comparable(_scores(m, rows), kth)
+            inside = s >= kth[:, None]
+            inside[_own(q, ids)] = False
+            row, col = np.nonzero(inside)
+            score = s[row, col].astype(np.int64)
+            over = score > kth[row]
+            found.append((q[row[over]], ids[col[over]], score[over]))
+            tie_row, tie_id = np.concatenate([tie_row, row[~over]]), np.concatenate([tie_id, ids[col[~over]]])
+            by = np.lexsort((tie_id, tie_row))
+            tie_row, tie_id = tie_row[by], tie_id[by]
+            fit = np.arange(len(tie_row)) - np.searchsorted(tie_row, tie_row) < need[tie_row]
+            tie_row, tie_id = tie_row[fit], tie_id[fit]
+        found.append((q[tie_row], tie_id, kth[tie_row]))
+    return pa.table([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+
+
+def search(rows: DataFrame, queries: DataFrame, *, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", block: int = 1024, bins: int = 1024, strip: int = 2048, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` highest scores of each query among all rows but
+    those with its id; ties go to the smaller id.
+
+    Vectors that are null, empty or hold nulls or values that aren't finite (or whose 256-fold
+    isn't) take no part, as do null ids; a row is compared with the queries of its vector's length.
+    Fewer than ``k`` candidates give fewer rows, and none for a query without any; an empty table
+    gives no row. Rows that repeat a (query id, id) each count. Scores beyond the range of a long
+    take its ends. Other columns, whatever their names, aren't read.
+
+    A cell holds ``cell_bytes`` of rows and of queries, in expectation, and its results are at most
+    ``k`` counts or rows a query but for scores above the kth. Nothing is broadcast or collected but
+    the number of queries that are still open.
+    """
+    spark = rows.sparkSession
+    of = lambda f: f.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v"))
+    strips = materialise(_packed(of(rows), strip), "strips")
+    blocks = materialise(_packed(of(queries).hint("rebalance"), block), "blocks")
+    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lots = lambda least: F.greatest(F.ceil(F.sum(F.col("n") * F.lit(8.0) * F.col("d")) / cell_bytes), least).cast("int")
+    totals = strips.groupBy("d").agg(lots(F.least(F.lit(lanes), F.ceil(F.sum("n") / strip))).alias("r"), F.max("most").alias("all_most"))
+    shape = materialise(totals.join(blocks.groupBy("d").agg(lots(F.lit(1)).alias("c")), "d"), "shape")
+    state = materialise(_first_state(blocks, shape, k), "state")
+    packed = blocks.select("uid", "ids", "kind", "vectors")
+    asked = lambda of: packed.join(of.withColumnRenamed("block", "uid"), "uid")
+    sizes = shape.select("d", "r", "c")
+    while state.agg(F.sum("live")).first()[0]:
+        open_ = asked(state.where("live > 0"))
+        part = _grid(strips, open_, sizes, lambda a, b: _histogram(a, b, bins), "block long, q int, bin int, n long")
+        counted = part.groupBy("block", "q", "bin").agg(F.sum("n").alias("n"))
+        found = counted.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(lambda key, a, b: _next_state(key, a, b, bins), _STATE)
+        state = materialise(found, "state")
+    top = _grid(strips, asked(state), sizes, _winners, "query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return top.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_exact_top_k(spark, sf_dir: str) -> DataFrame:
