@@ -142,3 +142,36 @@ def test_edge_rows(docs):
     assert got == [(1, 1, 1), (1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 2), (5, 4, 2), (6, 6, 1), (7, 7, 2), (8, 7, 2)]
     assert neardup.classes(df.limit(0)).count() == 0 and neardup.keep_one(df.limit(0)).count() == 0
     assert neardup.classes(df.where(F.col("doc_id") <= 2)).count() == 3
+
+
+def test_a_large_star_of_strays_is_parted(docs, monkeypatch):
+    """Documents with one passage in common share buckets; few of their pairs are compared."""
+    rng = np.random.default_rng(4)
+    passage = [f"p{k}" for k in range(120)]
+    texts = [" ".join(passage + [f"w{rng.integers(10**6)}" for _ in range(180)]) for _ in range(500)]
+    texts += [_edited(rng, texts[k].split(" "), 0.012) for k in range(0, 500, 10)]
+    rows = list(enumerate(texts))
+    compared, deeper = [], neardup._deeper
+
+    def counted(large):
+        entries = deeper(large)
+        compared.append((large.select("node").distinct().count(), entries.groupBy("band").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]))
+        return entries
+
+    monkeypatch.setattr(neardup, "STAR_BYTES", 100_000)
+    monkeypatch.setattr(neardup, "_deeper", counted)
+    got = sorted((r["doc_id"], r["class_id"]) for r in neardup.classes(docs(*rows).repartition(4)).collect())
+    assert got == sorted(brute_classes(rows))
+    (nodes, pairs), = compared
+    assert nodes > 100 and 0 < (pairs or 0) < nodes * (nodes - 1) / 2 / 5
+
+
+def test_hot_texts_and_repeated_rows(docs, spark):
+    """Copies that are half of all rows, with ids that repeat and are null."""
+    text, near = " ".join(f"w{k}" for k in range(80)), " ".join(f"w{k}" for k in range(79)) + " other"
+    rows = [(k % 90, text) for k in range(300)] + [(None, text)] * 5 + [(500 + k, f"{k} some words of its own {k} and {k}") for k in range(200)] + [(900, near)]
+    df = docs(*rows).repartition(6)
+    got = Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in neardup.classes(df).collect())
+    assert got == Counter([(i, 0, 306) if t in (text, near) else (i, i, 1) for i, t in rows])
+    kept = neardup.keep_one(df)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(500, 700)]

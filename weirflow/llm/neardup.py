@@ -10,7 +10,8 @@ document stops once no further point can be the earliest.
 Signatures are cut into bands; documents that share a band are candidates. Each bucket of a band
 has a hub, the document that meets most others; all are compared with it, so that a large group
 of copies is joined without pairing all with all. What is then still apart within a hub's star is
-compared inside a task, registers first. Links are those whose exact multiset overlap reaches the
+compared inside a task, registers first; a star that is too large for one is banded again by more
+registers, so that documents with one passage in common part. Links are those whose exact multiset overlap reaches the
 threshold, and classes are the connected components.
 """
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, U64, blocks, frugal, materialise, mix, scan_words, unused, windows
@@ -160,28 +161,71 @@ def overlap(x: np.ndarray, y: np.ndarray) -> float:
 
 
 # ---------------------------------------------------------------- stages
+_SIGNED = "node binary, n int, bands array<long>, bits long, copies long, seed long"
+
+
 def _signatures(rows: DataFrame) -> DataFrame:
-    """node, n, bands, bits of the distinct texts of each task."""
+    """node, n, bands, bits of the distinct texts of each task; and without these a row for each text
+    that the task saw several times: how often, and the least ``seed`` of those rows."""
+    names = [c.split(" ")[0] for c in _SIGNED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        first: dict[bytes, int] = {}  # the least seed of each text
+        again: dict[bytes, int] = {}
         for whole in batches:
             for part in blocks(whole, limit=PART):
-                nodes = part.column(0).to_pylist()
-                fresh = [k for k, x in enumerate(nodes) if x is not None and not (x in seen or seen.add(x))]
+                fresh = []
+                for k, (x, seed) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    if x in first:
+                        again[x] = again.get(x, 1) + 1
+                        first[x] = min(first[x], seed)
+                    else:
+                        first[x] = seed
+                        fresh.append(k)
                 if not fresh:
                     continue
                 batch = part.take(pa.array(fresh))
                 count, bands, bits = signature(batch.column(1))
                 keep = np.flatnonzero(count)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * BANDS), pa.array(bands[keep].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(count[keep].astype(np.int32)), lists, pa.array(bits[keep].view(np.int64))], names=["node", "n", "bands", "bits"])
+                ones = pa.array(np.ones(len(keep), np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(count[keep].astype(np.int32)), lists, pa.array(bits[keep].view(np.int64)), ones, pa.nulls(len(keep), pa.int64())], names=names)
+        if again:
+            nothing = (pa.nulls(len(again), t) for t in (pa.int32(), pa.list_(pa.int64()), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(again), pa.binary()), *nothing, pa.array([n - 1 for n in again.values()], pa.int64()), pa.array([first[x] for x in again], pa.int64())], names=names)
+
+    return rows.select("node", "text", "seed").mapInArrow(frugal(run), _SIGNED)
+
+
+def _hot(signed: DataFrame) -> DataFrame:
+    """node, copies, seed of texts that are those of very many rows: over 1 / (4 * partitions) of
+    all rows each, so there are at most 4 * partitions of them."""
+    lanes = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = signed.agg(F.sum("copies")).first()[0] or 0
+    many = signed.where("n is null").groupBy("node").agg((F.sum("copies") + 1).alias("copies"), F.min("seed").alias("seed"))
+    return materialise(many.where(F.col("copies") * 4 * lanes > rows), "hot")
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """A left join with ``right`` (one row a key) for keys that may be those of very many rows.
+
+    ``hot`` has the rows of ``right`` for these, few by its maker's bound: they are broadcast, and
+    rows of ``left`` that they serve are dealt by ``seed`` in the join with the others.
+    """
+    values = [c for c in right.columns if c != key]
+    near = F.broadcast(hot.select(F.col(key).alias("__hk"), *(F.col(c).alias(f"__h_{c}") for c in values)))
+    far = right.select(F.col(key).alias("__k"), *(F.col(c).alias(f"__c_{c}") for c in values))
+    met = left.join(near, F.col(key) == F.col("__hk"), "left")
+    met = met.withColumn("__at", F.when(F.col("__hk").isNull(), F.col(key)).otherwise(F.concat(key, F.encode(F.col("seed").cast("string"), "utf-8"))))
+    met = met.join(far, F.col("__at") == F.col("__k"), "left")
+    return met.select(*left.columns, *(F.coalesce(f"__h_{c}", f"__c_{c}").alias(c) for c in values))
 
-    return rows.select("node", "text").mapInArrow(frugal(run), "node binary, n int, bands array<long>, bits long")
 
+def _bagged(rows: DataFrame, wanted: DataFrame, hot: DataFrame) -> DataFrame:
+    """node, bag, registers of the nodes that are wanted.
 
-def _bagged(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, bag, registers of the nodes that are wanted."""
+    Copies of a text are worth one: of a hot one only the rows of its ``seed`` are dealt.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -194,7 +238,8 @@ def _bagged(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                     arrays, registers = bag_arrays(batch.column(1))
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arrays, pa.binary()), pa.array(registers, pa.binary())], names=["node", "bag", "registers"])
 
-    found = rows.select("node", "text").join(wanted, "node", "left_semi").mapInArrow(frugal(run), "node binary, bag binary, registers binary")
+    few = rows.join(F.broadcast(hot.select(F.col("node").alias("__h"), F.col("seed").alias("__s"))), F.col("node") == F.col("__h"), "left").where("__h is null or seed = __s")
+    found = few.select("node", "text").join(wanted, "node", "left_semi").mapInArrow(frugal(run), "node binary, bag binary, registers binary")
     return materialise(found.groupBy("node").agg(F.first("bag").alias("bag"), F.first("registers").alias("registers")), "bags")
 
 
@@ -213,9 +258,13 @@ def _stars(entries: DataFrame) -> DataFrame:
     return materialise(pairs.groupBy("hub", "node").agg(F.max(near).alias("near")), "stars")
 
 
-def _hub_links(stars: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """a, b: the nodes whose overlap with their hub reaches the threshold."""
+def _hub_links(stars: DataFrame, bags: DataFrame, threshold: float, labels: DataFrame | None = None) -> DataFrame:
+    """a, b: the nodes whose overlap with their hub reaches the threshold. With ``labels``, only
+    nodes that its label doesn't join to the hub yet are compared."""
     pairs = stars.where("near and hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    if labels is not None:
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+        pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
     joined = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,26 +317,35 @@ def link_apart(nodes: list[bytes], labels: list[bytes], bags: list[np.ndarray],
     return out
 
 
-#: A star with more bytes than this is compared in blocks of about this size.
+#: A star with more bytes than this isn't compared by one task.
 STAR_BYTES = 32 << 20
+#: Bands of a star that is too large: at a similarity of 0.8 none agrees with probability 1e-5.
+DEEP_BANDS, DEEP_ROWS = 64, 8
 
 
-def _rest_links(stars: DataFrame, labels: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """a, b: links between nodes of a star that their hub left in different classes.
+def _mixed(stars: DataFrame, labels: DataFrame, bags: DataFrame) -> DataFrame:
+    """hub, node, label, stray, bytes, bag, registers of stars whose nodes have several labels.
 
-    Nodes that share a band share that bucket's hub, so every candidate pair is in a star. Only
-    stars with several labels are looked at. Most nodes of a star have one label, and needn't be
-    compared with each other: they are dealt into blocks, and the others, the strays, are compared
-    with each block and among themselves. Pairs are compared inside a task and never made rows.
+    Nodes that share a band share that bucket's hub, so every candidate pair is in a star. Most
+    nodes of a star have one label, and needn't be compared with each other; the others are
+    strays. ``bytes``: those of the whole star.
     """
     named = stars.select("hub", "node").join(labels, "node", "left").select("hub", "node", F.coalesce("label", "node").alias("label"))
     named = materialise(named, "named")
     each = named.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"))
     most = each.groupBy("hub").agg(F.max(F.struct("n", "label"))["label"].alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("hub", "most")
-    kept = named.join(most, "hub").join(bags, "node").select("hub", "node", "label", (F.col("label") != F.col("most")).alias("stray"), "bag", "registers")
-    kept = materialise(kept, "mixed")
-    size = F.octet_length("bag") + 256
-    blocks_of = lambda which: F.greatest(F.lit(1), F.ceil(F.sum(F.when(which, size)) / STAR_BYTES)).cast("int")
+    kept = named.join(most, "hub").join(bags, "node").select("hub", "node", "label", (F.col("label") != F.col("most")).alias("stray"), (F.octet_length("bag") + 256).alias("size"), "bag", "registers")
+    return materialise(kept, "mixed")
+
+
+def _star_links(kept: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links between nodes of different labels of the stars in ``kept``.
+
+    A star of up to ``STAR_BYTES`` is one task's group. Of a larger one the nodes of most and the
+    strays are dealt into blocks; strays are compared with each block and among themselves. Pairs
+    are compared inside a task and never made rows.
+    """
+    blocks_of = lambda which: F.greatest(F.lit(1), F.ceil(F.sum(F.when(which, F.col("size"))) / STAR_BYTES)).cast("int")
     counts = kept.groupBy("hub").agg(blocks_of(~F.col("stray")).alias("m"), blocks_of(F.col("stray")).alias("s"))
     dealt = kept.join(counts, "hub").withColumn("at", F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("s")).otherwise(F.col("m"))).cast("int"))
     # a group is (i, j): block i of the most, block j of the strays; or (-1 - i, j): two of strays
@@ -310,6 +368,42 @@ def _rest_links(stars: DataFrame, labels: DataFrame, bags: DataFrame, threshold:
     return materialise(dealt.groupBy("hub", "i", "j").applyInArrow(run, "a binary, b binary"), "links")
 
 
+def deep_bands(registers: np.ndarray) -> np.ndarray:
+    """(n, DEEP_BANDS) keys, each of DEEP_ROWS registers that a fixed shuffle chooses."""
+    n, width = registers.shape
+    dealt = np.random.default_rng(7)
+    out = np.zeros((n, DEEP_BANDS), U64)
+    for j in range(DEEP_BANDS):
+        for k in dealt.choice(width, DEEP_ROWS, replace=False):
+            out[:, j] = mix(out[:, j] * U64(0xD6E8FEB86659FD93) + registers[:, k].astype(U64) + U64(j + 1))
+    return out
+
+
+def _deeper(large: DataFrame) -> DataFrame:
+    """band, node, n, bits, k: entries of finer buckets for the nodes of stars that are too large.
+
+    Nodes with little in common but a passage meet in few of them; buckets whose nodes all have one
+    label are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                registers = np.frombuffer(b"".join(part.column(3).to_pylist()), "<u2").reshape(part.num_rows, -1)
+                bits = np.bitwise_or.reduce((registers[:, :64].astype(U64) & U64(1)) << np.arange(64, dtype=U64), axis=1)
+                hubs = np.array([int.from_bytes(h[:8], "little") for h in part.column(0).to_pylist()], U64)
+                bands = mix(deep_bands(registers) + hubs[:, None])
+                who = pa.array(np.repeat(np.arange(part.num_rows), DEEP_BANDS))
+                of = part.select(["node", "label", "n"]).take(who)
+                yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), of.column(0), of.column(1), of.column(2), pa.array(bits.view(np.int64)).take(who)], names=["band", "node", "label", "n", "bits"])
+
+    found = large.select("hub", "node", "label", "registers", (F.octet_length("bag") / 8).cast("int").alias("n")).select("hub", "node", "label", "registers", "n")
+    dealt = materialise(found.mapInArrow(frugal(run), "band long, node binary, label binary, n int, bits long"), "deep")
+    several = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band", "k")
+    return materialise(dealt.join(several, "band").select("band", "node", "n", "bits", "k"), "entries")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the component's least node) by alternating large and small stars.
 
@@ -331,18 +425,47 @@ def components(edges: DataFrame) -> DataFrame:
         now = small
 
 
-def link(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """node, label for the nodes of ``rows`` (node, text) that have a near duplicate."""
+def _linked(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, label of the nodes that have a near duplicate; the hot nodes) of (node, text, seed)."""
     signed = materialise(_signatures(rows), "signatures")
-    once = signed.select(F.explode("bands").alias("band"), "node", "n", "bits").groupBy("band", "node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    hot = _hot(signed)
+    once = signed.where("n is not null").select(F.explode("bands").alias("band"), "node", "n", "bits").groupBy("band", "node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     shared = once.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")  # counted before it is dealt: a band may be that of a third of all rows
     entries = materialise(once.join(shared, "band"), "entries")
-    stars = _stars(entries)
-    bags = _bagged(rows, entries.select("node").distinct())
-    links = _hub_links(stars, bags, threshold)
-    labels = components(links)
-    rest = _rest_links(stars, labels, bags, threshold)
-    return components(links.union(rest)) if rest.limit(1).count() else labels
+    bags = _bagged(rows, entries.select("node").distinct(), hot)
+    links, labels = None, None
+    for last in (False, True):
+        stars = _stars(entries)
+        found = _hub_links(stars, bags, threshold, labels)
+        links = found if links is None else links.union(found)
+        labels = components(links)
+        kept = _mixed(stars, labels, bags)
+        large = kept.groupBy("hub").agg(F.sum("size").alias("b")).where(F.col("b") > STAR_BYTES).select("hub")
+        # stars that are too large for a task are banded again once; what still is gets blocks
+        rest = _star_links(kept if last else kept.join(large, "hub", "left_anti"), threshold)
+        again = not last and large.limit(1).count() > 0
+        if rest.limit(1).count():
+            links = links.union(rest)
+            labels = components(links)
+        if not again:
+            return labels, hot
+        entries = _deeper(kept.join(large, "hub", "left_semi"))
+
+
+def link(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """node, label for the nodes of ``rows`` (node, text) that have a near duplicate."""
+    return _linked(rows.select("node", "text", F.xxhash64("node").alias("seed")), threshold)[0]
+
+
+#: Of a text with a word, what tells it from others; null for texts without.
+def _node() -> Column:
+    return F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(F.encode("text", "utf-8"))))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with the label of their nodes, which is the node itself where it has no link."""
+    known = hot.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return join_hot(rows, labels, "node", known).withColumn("label", F.coalesce("label", "node"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -350,13 +473,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Equal texts are in a class, whatever they hold; null texts and texts without words are each
     on their own (class_id is their doc_id). Null ids are never a class_id if another id is there.
+    Repeated rows are counted and put out each. An empty table gives no row. Of the columns only
+    doc_id and text are read, so others may have any name.
     """
-    rows = docs.select("doc_id", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(F.encode("text", "utf-8")))).alias("node"), "text")
-    labels = link(rows.where("node is not null").select("node", "text"), threshold)
-    tagged = rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    tagged = materialise(tagged, "tagged")
-    least = tagged.where("label is not null").groupBy(F.col("label").alias("__l")).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    out = tagged.join(least, F.col("label") == F.col("__l"), "left")
+    rows = docs.select("doc_id", _node().alias("node"), "text", F.xxhash64("doc_id").alias("seed"))
+    labels, hot = _linked(rows.where("node is not null").select("node", "text", "seed"), threshold)
+    tagged = materialise(_labelled(rows.select("doc_id", "node", "seed"), labels, hot), "tagged")
+    least = materialise(tagged.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "least")
+    lanes = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = least.agg(F.sum("class_size")).first()[0] or 0
+    out = join_hot(tagged, least, "label", least.where(F.col("class_size") * 4 * lanes > total))  # at most 4 * partitions classes
     return out.select("doc_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
@@ -366,11 +492,11 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Rows that repeat an id belong to one class or are told apart by their texts; the row of the
     least id with the smallest hash of the text stays. Null ids come last.
     """
-    key = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(F.encode("text", "utf-8"))))
-    rows = docs.select(F.col("doc_id").alias("__d"), key.alias("node"), "text")
-    labels = link(rows.where("node is not null").select("node", "text"), threshold)
-    tagged = rows.where("node is not null").select("__d", "node").join(labels, "node", "left").select("__d", "node", F.coalesce("label", "node").alias("label"))
-    counted = materialise(tagged.groupBy("label", "__d", "node").agg(F.count(F.lit(1)).alias("k")), "tagged")
+    key = _node()
+    rows = docs.select(F.col("doc_id").alias("__d"), key.alias("node"), "text", F.xxhash64("doc_id").alias("seed")).where("node is not null")
+    labels, hot = _linked(rows.select("node", "text", "seed"), threshold)
+    each = rows.groupBy("__d", "node", "seed").agg(F.count(F.lit(1)).alias("k"))
+    counted = materialise(_labelled(each, labels, hot).select("label", "__d", "node", "k"), "tagged")
     order = F.struct(F.col("__d").isNull().alias("x"), F.coalesce("__d", F.lit(0)).alias("d"), "node")
     first = counted.groupBy("label").agg(F.min_by(F.struct("__d", "node"), order).alias("w")).select(F.col("w.node").alias("__wn"), F.col("w.__d").alias("__wd"))
     match = (F.col("node") == F.col("__wn")) & F.col("__d").eqNullSafe(F.col("__wd"))
@@ -389,5 +515,5 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    """The class of each document."""
+    """doc_id, class_id, class_size of each document (``classes`` says what edge cases give)."""
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
