@@ -27,7 +27,7 @@ def test_interpolation_keeps_types(monkeypatch):
     monkeypatch.setenv("WF_HOST", "db1")
     config = load_config(plan(vars={"n": 5, "deep": {"x": [1, 2]}, "again": "${var:n}", "text": "n=${var:n}"}, metadata={"a": "${var:n}", "b": "${var:deep.x}", "c": "${env:WF_HOST}/${var:n}", "d": "${param:p}", "e": "${env:WF_NONE:-other}", "f": "${var:again}", "g": "${secret:k}", "h": "${pipe:v|max}"}), params={"p": 1.5}, secret_provider=MappingSecretProvider({"k": "s3cret"}))
     assert config.metadata == {"a": 5, "b": [1, 2], "c": "db1/5", "d": 1.5, "e": "other", "f": 5, "g": "s3cret", "h": "${pipe:v|max}"}
-    assert config.vars["text"] == "n=5" and config.secret_values == {"s3cret"} and config.runtime_params == {"p": 1.5}
+    assert config.vars["text"] == "n=5" and config.secrets == {"s3cret"} and config.params == {"p": 1.5}
 
 
 def test_missing_references():
@@ -42,7 +42,7 @@ def test_missing_references():
 def test_parameters():
     spec = {"n": {"type": "integer", "default": 3}, "env": {"allowed": ["dev", "prod"], "default": "dev"}, "flag": {"type": "boolean", "default": "yes"}, "day": {"type": "date"}}
     config = load_config(plan(parameters=spec), params={"n": "7", "other": [1]})
-    assert config.runtime_params == {"n": 7, "env": "dev", "flag": True, "other": [1]}
+    assert config.params == {"n": 7, "env": "dev", "flag": True, "other": [1]}
     for params in ({"env": "test"}, {"n": "x"}):
         with pytest.raises(ConfigError):
             load_config(plan(parameters=spec), params=params)
@@ -56,7 +56,7 @@ def test_imports_merge(tmp_path):
     (tmp_path / "sub" / "more.json").write_text(json.dumps({"metadata": {"tags": ["a"]}}))
     (tmp_path / "main.yaml").write_text(yaml.safe_dump({"imports": ["sub/base.yaml"], "metadata": {"id": "main", "tags": ["b"]}, "tasks": plan()["tasks"]}))
     config = load_config(tmp_path / "main.yaml")
-    assert config.metadata == {"id": "main", "owner": "x", "tags": ["a", "b"]} and config.pipeline_id == "main"
+    assert config.metadata == {"id": "main", "owner": "x", "tags": ["a", "b"]}
     (tmp_path / "sub" / "more.json").write_text(json.dumps({"imports": ["base.yaml"]}))
     with pytest.raises(ConfigError, match="circle"):
         load_config(tmp_path / "main.yaml")
@@ -67,7 +67,7 @@ def test_templates_and_defaults():
     doc = plan(templates={"t": {"retry": {"attempts": 3}, "stage": "extract", "resource": "src"}, "u": {"extends": "t", "on_failure": "skip"}}, defaults={"retry": {"attempts": 2}, "validate": "warn"})
     doc["tasks"]["ext"] = {"extends": "u", "steps": [{"output": "raw"}]}
     config = load_config(doc)
-    assert config.tasks["ext"].retry.attempts == 3 and config.tasks["ext"].on_failure == "skip" and config.tasks["ext"].validation == "warn"
+    assert config.tasks["ext"].retry.attempts == 3 and config.tasks["ext"].on_failure == "skip" and config.tasks["ext"].validate_ == "warn"
     assert config.tasks["keep"].retry.attempts == 2
     doc["tasks"]["ext"]["extends"] = "zzz"
     with pytest.raises(ConfigError, match="zzz"):

@@ -244,11 +244,11 @@ def test_demo_scenario(spark, tmp_path):
 
 
 def test_streamed_files_are_loaded_once(spark, tmp_path):
-    from weirflow.config.models import ResourceConfig
+    from weirflow.config.format import Resource
     from weirflow.streaming import ingest_new_files
 
     inbox = tmp_path / "inbox"
-    target = create_adapter(ResourceConfig(name="t", adapter="db", params={"engine": "managed", "path": str(tmp_path / "m")}), spark)
+    target = create_adapter(Resource(name="t", adapter="db", params={"engine": "managed", "path": str(tmp_path / "m")}), spark)
     total = lambda: sorted(r["id"] for r in target.read("t").collect())
     for low in (0, 5):
         spark.range(low, low + 5).write.mode("append").parquet(str(inbox))

@@ -3,19 +3,19 @@ from datetime import date, datetime
 
 import pytest
 
-from weirflow.config.models import ResourceConfig, ScdSpec
+from weirflow.config.format import Resource, Scd
 from weirflow.errors import AdapterError, PermissionDeniedError
 from weirflow.quality import DataframeContract
 from weirflow.sources import WriteRequest, create_adapter
 from weirflow.sources.base import newer_than
 
-SPEC = ScdSpec(track=["name"], effective_from="vf", effective_to="vt", current_flag="cur")
+SPEC = Scd(track=["name"], effective_from="vf", effective_to="vt", current_flag="cur")
 
 
 @pytest.fixture
 def adapter(spark, tmp_path):
     def make(kind="file", allow=("read", "write"), **params):
-        return create_adapter(ResourceConfig(name="r", adapter=kind, params=params, allow=list(allow)), spark)
+        return create_adapter(Resource(name="r", adapter=kind, params=params, allow=list(allow)), spark)
 
     return make
 

@@ -16,7 +16,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from .config import load_config
-from .config.models import ResourceConfig
+from .config.format import Resource
+from .errors import AdapterError
 from .functions.frames import hide
 from .plans import Orchestrator
 from .quality.contracts import DataframeContract, Expectation, check_expectations, contract_problems
@@ -375,8 +376,11 @@ CASES |= {
 
 # ---------------------------------------------------------------- loads
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weirflow-")
+    """A new folder that all executors see; a local session without one gets a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise AdapterError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
+    shared = shared or tempfile.mkdtemp(prefix="weirflow-")
     return f"{shared.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
 
 
@@ -391,7 +395,7 @@ def _loaded(spark: SparkSession, sf_dir: str, tables: list[str], tasks: dict, lo
         plan["tasks"][f"load{k}"] = {"stage": "load", "resource": "target", "steps": [step], "depends_on": before}
         before = [f"load{k}"]
     Orchestrator(load_config(plan), spark).run()
-    return create_adapter(ResourceConfig(name="target", **target), spark).read(read)
+    return create_adapter(Resource(name="target", **target), spark).read(read)
 
 
 _KEPT = ("select", ["o_orderkey", "o_orderstatus", "o_totalprice"])
@@ -450,7 +454,7 @@ def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders taken in by a stream over their folder, with a step on the way."""
     at = scratch(spark)
-    target = create_adapter(ResourceConfig(name="target", adapter="db", params={"engine": "managed", "path": f"{at}/tables"}), spark)
+    target = create_adapter(Resource(name="target", adapter="db", params={"engine": "managed", "path": f"{at}/tables"}), spark)
     table = f"{sf_dir}/orders.parquet"
     place = spark._jvm.org.apache.hadoop.fs.Path(table)
     folder = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
@@ -485,7 +489,7 @@ def sqlite_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers in a database file, some of them updated, and read from a balance on."""
     at = scratch(spark).removeprefix("file:")
     os.makedirs(at, exist_ok=True)
-    base = create_adapter(ResourceConfig(name="base", adapter="db", params={"engine": "sqlite", "path": f"{at}/t.db"}), spark)
+    base = create_adapter(Resource(name="base", adapter="db", params={"engine": "sqlite", "path": f"{at}/t.db"}), spark)
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     base.write(rows.where("s_nationkey < 20"), "suppliers")
     base.write(rows.where("s_nationkey >= 15").selectExpr("s_suppkey", "s_acctbal + 1 as s_acctbal"), "suppliers", mode="upsert", key="s_suppkey")
@@ -498,7 +502,7 @@ def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def excel_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations in one sheet of a workbook, beside another."""
-    book = create_adapter(ResourceConfig(name="out", adapter="file", params={"format": "excel", "path": f"{scratch(spark)}/b.xlsx"}), spark)
+    book = create_adapter(Resource(name="out", adapter="file", params={"format": "excel", "path": f"{scratch(spark)}/b.xlsx"}), spark)
     book.write(spark.read.parquet(f"{sf_dir}/region.parquet"), "regions")
     book.write(spark.read.parquet(f"{sf_dir}/nation.parquet"), "nations")
     return book.read("nations")
@@ -515,7 +519,7 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    out = create_adapter(ResourceConfig(name="out", adapter="file", params={"format": kind, "path": f"{scratch(spark)}/rows"}), spark)
+    out = create_adapter(Resource(name="out", adapter="file", params={"format": kind, "path": f"{scratch(spark)}/rows"}), spark)
     out.write(rows)
     out.write(rows.where("c_nationkey = 3"), mode="append")
     return out.read()

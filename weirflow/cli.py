@@ -10,7 +10,7 @@ import sys
 import yaml
 
 from .config import load_config
-from .config.models import PipelineConfig
+from .config.format import Document
 from .errors import WeirflowError
 
 
@@ -27,7 +27,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     logging.basicConfig(level=[logging.WARNING, logging.INFO, logging.DEBUG][min(args.verbose, 2)], format="%(asctime)s %(levelname)s %(message)s")
     if args.command == "schema":
-        print(json.dumps(PipelineConfig.model_json_schema(), indent=2))
+        print(json.dumps(Document.model_json_schema(), indent=2))
         return 0
     try:
         params = dict(p.split("=", 1) for p in args.param)

@@ -1,6 +1,5 @@
-"""Blueprints: loading, interpolation and models."""
+"""Blueprints: loading, interpolation and their format."""
 
-from .loader import load_config
-from .models import PipelineConfig
+from .loader import PipelineConfig, load_config
 
 __all__ = ["PipelineConfig", "load_config"]

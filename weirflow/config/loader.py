@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import copy
 import json
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
@@ -13,7 +15,25 @@ from pydantic import ValidationError
 from ..errors import ConfigError
 from ..secret_providers import EnvSecretProvider, SecretProvider
 from .interpolation import Interpolator
-from .models import PipelineConfig
+from .format import Document
+
+
+@dataclass(frozen=True)
+class PipelineConfig:
+    """A validated blueprint, the parameters it was given, and the secrets that it holds.
+
+    The document's sections are attributes: ``config.tasks``, ``config.resources`` and so on.
+    """
+
+    document: Document
+    params: Mapping[str, Any] = field(default_factory=dict)
+    secrets: frozenset[str] = frozenset()
+
+    def __getattr__(self, section: str) -> Any:
+        if section.startswith("_") or section == "document":
+            raise AttributeError(section)
+        return getattr(self.document, section)
+
 
 _FOLDED = ("retry", "on_failure", "checkpoint", "validate")
 
@@ -134,8 +154,12 @@ def load_config(source: str | Path | dict, *, params: dict[str, Any] | None = No
     resolved = Interpolator(variables, given, secret, strict).resolve({k: v for k, v in document.items() if k not in ("vars", "parameters")})
     resolved |= {"vars": variables, "parameters": document.get("parameters") or {}}
     try:
-        config = PipelineConfig.model_validate(resolved)
+        made = Document.model_validate(resolved)
     except ValidationError as e:
         raise ConfigError("; ".join(f"{'.'.join(map(str, x['loc']))}: {x['msg']}" for x in e.errors())) from e
-    config._runtime_params, config._secret_values = given, secrets
-    return config
+    from ..plans.dag import problems  # plans need blueprints, which need them only here
+
+    wrong = problems(made)
+    if wrong:
+        raise ConfigError("; ".join(wrong))
+    return PipelineConfig(made, given, frozenset(secrets))

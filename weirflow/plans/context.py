@@ -1,51 +1,40 @@
-"""Frames by name, and what a run carries along."""
+"""What a run knows and carries along."""
 
 from __future__ import annotations
 
-import threading
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..config.models import PipelineConfig
 from ..errors import StateError
 from ..notify import Notifier
 
 
-class StateManager:
-    """Named frames. Plans can't change, so none is copied."""
+class Frames(dict):
+    """Frames by name. A task puts its own when it is done; that is one store into a dictionary,
+    and plans can't change, so tasks on other threads need neither locks nor copies."""
 
-    def __init__(self) -> None:
-        self._frames: dict[str, DataFrame] = {}
-        self._lock = threading.RLock()
+    def __missing__(self, name: str) -> DataFrame:
+        raise StateError(f"there is no frame {name!r}; there are {', '.join(sorted(self)) or 'none'}")
 
-    def set(self, name: str, frame: DataFrame) -> None:
-        with self._lock:
-            self._frames[name] = frame
-
-    def get(self, name: str) -> DataFrame:
-        with self._lock:
-            if name not in self._frames:
-                raise StateError(f"there is no frame {name!r}; there are {', '.join(sorted(self._frames)) or 'none'}")
-            return self._frames[name]
+    def get(self, name: str, *otherwise: Any) -> Any:
+        """The frame; without one ``otherwise`` if it is given, else an error."""
+        return super().get(name, *otherwise) if otherwise else self[name]
 
-    def find(self, name: str) -> DataFrame | None:
-        with self._lock:
-            return self._frames.get(name)
-
-    def names(self) -> list[str]:
-        with self._lock:
-            return sorted(self._frames)
+    def set(self, name: str, frame: DataFrame) -> None:
+        self[name] = frame
 
 
 @dataclass
 class ExecutionContext:
-    """State, adapters, parameters and stores of a run."""
+    """Frames, adapters, parameters and stores of a run."""
 
-    config: PipelineConfig | None = None
-    state: StateManager = field(default_factory=StateManager)
+    config: Any = None
+    state: Frames = field(default_factory=Frames)
     spark: SparkSession | None = None
+    #: the blueprint's id, under which watermarks are kept
+    pipeline: str = "pipeline"
     adapters: dict[str, Any] = field(default_factory=dict)
     params: dict[str, Any] = field(default_factory=dict)
     partition_value: Any = None
@@ -69,7 +58,7 @@ class ExecutionContext:
 
     def flush_watermarks(self) -> None:
         """Stores the marks; called only when all tasks have succeeded."""
-        if self.watermark_store is not None and self.config is not None:
+        if self.watermark_store is not None:
             for (task, cursor), value in self.pending_watermarks.items():
-                self.watermark_store.set(self.config.pipeline_id, task, cursor, value)
+                self.watermark_store.set(self.pipeline, task, cursor, value)
         self.pending_watermarks.clear()

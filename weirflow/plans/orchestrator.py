@@ -7,11 +7,10 @@ import time
 import uuid
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from datetime import datetime
-from typing import Any
 
 from pyspark.sql import SparkSession
 
-from ..config.models import ExtractTask, LoadTask, OnFailure, PipelineConfig
+from ..config import PipelineConfig
 from ..durations import parse_duration
 from ..errors import TransformError, WeirflowError
 from ..notify import Notifier
@@ -31,6 +30,7 @@ class Orchestrator:
 
     def __init__(self, config: PipelineConfig, spark: SparkSession | None = None):
         self.config, self.spark = config, spark
+        self.pipeline = str(config.metadata.get("id", "pipeline"))
         self.readers = dag.consumers(config)
 
     def order(self) -> list[str]:
@@ -39,9 +39,9 @@ class Orchestrator:
     def _context(self) -> ExecutionContext:
         config, spark = self.config, self.spark or SparkSession.builder.getOrCreate()
         o = config.orchestration
-        ctx = ExecutionContext(config=config, spark=spark, params=dict(config.runtime_params), secret_values=set(config.secret_values), run_id=uuid.uuid4().hex[:12])
+        ctx = ExecutionContext(config=config, spark=spark, pipeline=self.pipeline, params=dict(config.params), secret_values=set(config.secrets), run_id=uuid.uuid4().hex[:12])
         used = {t.resource for t in config.tasks.values() if hasattr(t, "resource")} | ({o.watermark_store.resource} if o.watermark_store else set())
-        ctx.adapters = {name: create_adapter(config.resources[name], spark) for name in sorted(used)}
+        ctx.adapters = {name: create_adapter(config.resources[name], spark, name) for name in sorted(used)}
         if o.watermark_store:
             ctx.watermark_store = WatermarkStore(ctx.adapters[o.watermark_store.resource], o.watermark_store.table)
         if o.checkpoint.enabled and o.checkpoint.store:
@@ -73,7 +73,7 @@ class Orchestrator:
             for adapter in ctx.adapters.values():
                 adapter.dispose()
         if error is not None:
-            ctx.notifier.send("failure", f"pipeline {self.config.pipeline_id}: {error}")
+            ctx.notifier.send("failure", f"pipeline {self.pipeline}: {error}")
             self.release(ctx)
             raise error
         return ctx
@@ -101,7 +101,7 @@ class Orchestrator:
                         future.result()
                     except Exception as e:
                         task = self.config.tasks[name]
-                        if task.on_failure is not OnFailure.FAIL:
+                        if task.on_failure != "fail":
                             log.warning("task %s failed and is passed over (%s): %s", name, task.on_failure, e)
                         else:
                             first = first or (e if isinstance(e, WeirflowError) else TransformError(f"task {name}: {e}"))
@@ -115,15 +115,18 @@ class Orchestrator:
 
     def _task(self, name: str, ctx: ExecutionContext) -> None:
         task, began = self.config.tasks[name], datetime.now()
-        run: Any = {ExtractTask: run_extract, LoadTask: run_load}.get(type(task))
-        work = (lambda: run(task, ctx)) if run else (lambda: run_transform(task, ctx, self.readers))
-        with_retry(task.retry, f"task {name}", work)
+        work = {
+            "extract": lambda: run_extract(name, task, ctx),
+            "transform": lambda: run_transform(name, task, ctx, self.readers),
+            "load": lambda: run_load(name, task, ctx),
+        }
+        with_retry(task.retry, f"task {name}", work[task.stage])
         log.info("task %s done in %.3g s", name, (datetime.now() - began).total_seconds())
 
     def _time_limits(self, seconds: float) -> None:
         sla = self.config.orchestration.sla
         if sla.max_runtime and seconds > parse_duration(sla.max_runtime).total_seconds():
-            Notifier(self.config.orchestration.notifications.on_sla).send("sla", f"pipeline {self.config.pipeline_id} took {seconds:.0f} s; its limit is {sla.max_runtime}")
+            Notifier(self.config.orchestration.notifications.on_sla).send("sla", f"pipeline {self.pipeline} took {seconds:.0f} s; its limit is {sla.max_runtime}")
         elif sla.warn_after and seconds > parse_duration(sla.warn_after).total_seconds():
             log.warning("pipeline %s took %.0f s, over %s", self.config.pipeline_id, seconds, sla.warn_after)
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import logging
+import re
 import time
 from functools import reduce
+from typing import Any
+from urllib.parse import unquote
 
 from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config.models import ExtractTask, LoadTask, RetryPolicy, TransformTask, ValidationMode
+from ..config.format import Retry
 from ..durations import parse_duration
 from ..errors import TransformError, WeirflowError
 from ..functions.frames import col, hide
@@ -21,6 +24,7 @@ from ..quality.contracts import check_contract, check_expectations
 from ..sources.base import WriteRequest
 from .checkpoint import digest
 from .context import ExecutionContext
+from .dag import made_by, makers, read_by
 from .watermark import resolve_since
 
 log = logging.getLogger("weirflow")
@@ -30,9 +34,9 @@ def _message(e: Exception) -> str:
     return str(e).splitlines()[0] if str(e) else type(e).__name__
 
 
-def with_retry(policy: RetryPolicy | None, what: str, run):
+def with_retry(policy: Any, what: str, run):
     """Tries again after errors of the package and of Spark; the last one is raised."""
-    policy = policy or RetryPolicy()
+    policy = policy or Retry()
     delay = parse_duration(policy.delay).total_seconds()
     limit = parse_duration(policy.timeout).total_seconds() if policy.timeout is not None else None
     began = time.monotonic()
@@ -50,9 +54,9 @@ def with_retry(policy: RetryPolicy | None, what: str, run):
             delay *= policy.backoff
 
 
-def _validate(frame: DataFrame, name: str | None, mode: ValidationMode, ctx: ExecutionContext) -> None:
+def _validate(frame: DataFrame, name: str | None, mode: str, ctx: ExecutionContext) -> None:
     if name is not None and ctx.config is not None:
-        check_contract(hide(frame), ctx.config.schemas[name], mode.value, ctx.state.find)
+        check_contract(hide(frame), ctx.config.schemas[name], mode, lambda other: ctx.state.get(other, None), name)
 
 
 def _keep(frame: DataFrame, ctx: ExecutionContext) -> DataFrame:
@@ -63,45 +67,47 @@ def _keep(frame: DataFrame, ctx: ExecutionContext) -> DataFrame:
 
 
 # ---------------------------------------------------------------- extract
-def run_extract(task: ExtractTask, ctx: ExecutionContext) -> None:
-    adapter, pipeline = ctx.adapters[task.resource], ctx.config.pipeline_id
-    since = resolve_since(ctx.watermark_store, pipeline, task.name, task.incremental)
+def run_extract(name: str, task: Any, ctx: ExecutionContext) -> None:
+    adapter = ctx.adapters[task.resource]
+    since = resolve_since(ctx.watermark_store, ctx.pipeline, name, task.incremental)
     for step in task.steps:
         frame = adapter.read(step.collection, since, numbered=step.output in ctx.ordered)
-        _validate(frame, step.contract, task.validation, ctx)
+        _validate(frame, step.contract, task.validate_, ctx)
         cursor = task.incremental.cursor if task.incremental and task.incremental.strategy == "watermark" else None
         if cursor and cursor in frame.columns:
-            # what is marked must be what is loaded, so the frame is read once
+            # what is marked must be what is loaded
             frame = _keep(frame, ctx)
             mark = frame.agg(F.max(col(cursor)).alias("m")).first()["m"]
-            ctx.stage_watermark(task.name, cursor, mark)
+            ctx.stage_watermark(name, cursor, mark)
+            # what a lost executor held is read again, and may then hold newer rows: they are the next run's
+            frame = frame.where(col(cursor).isNull() if mark is None else col(cursor).isNull() | (col(cursor) <= F.lit(mark)))
         ctx.state.set(step.output, frame)
         ctx.origins[step.output] = digest("extract", adapter.resource.model_dump(), step.model_dump(), str(since), _fingerprint(frame))
 
 
-def _fingerprint(frame: DataFrame) -> list[str]:
-    """Names and times of a frame's files; frames without files have none."""
-    try:
-        files = sorted(frame.inputFiles())[:100_000]
-        session = frame.sparkSession
-        out = []
-        for f in files:
-            at = session._jvm.org.apache.hadoop.fs.Path(f)
-            status = at.getFileSystem(session._jsc.hadoopConfiguration()).getFileStatus(at)
-            out.append(f"{f}:{status.getLen()}:{status.getModificationTime()}")
-        return out or [f"unknown-{time.time()}"]
-    except Exception:
-        return [f"unknown-{time.time()}"]
+def _fingerprint(frame: DataFrame) -> str:
+    """What names, sizes and times of all files of a frame come to; frames without files are new each time.
+
+    The files are listed and hashed by a Spark job, and one row comes back.
+    """
+    files = frame.inputFiles()
+    if not files:
+        return f"unknown-{time.time()}"
+    plain = [re.sub(r"([\\\\{}\[\]*?])", r"\\\1", unquote(f)) for f in files]
+    listed = frame.sparkSession.read.format("binaryFile").load(plain).select("path", "length", "modificationTime")
+    one = F.xxhash64("path", "length", "modificationTime")
+    row = listed.agg(F.count(F.lit(1)), F.bit_xor(one), F.sum(one.cast("decimal(20,0)"))).first()
+    return f"{row[0]}-{row[1]}-{row[2]}"
 
 
 # ---------------------------------------------------------------- transform
-def _steps(task: TransformTask, ctx: ExecutionContext, rejects_read: bool) -> tuple[DataFrame, DataFrame | None]:
+def _steps(name: str, task: Any, ctx: ExecutionContext, rejects_read: bool) -> tuple[DataFrame, DataFrame | None]:
     flowing = ctx.state.get(task.input) if task.input else None
     rejected: list[DataFrame] = []
     if flowing is not None:
-        _validate(flowing, task.input_contract, task.validation, ctx)
+        _validate(flowing, task.input_contract, task.validate_, ctx)
     for k, step in enumerate(task.steps):
-        where = f"task {task.name}, step {step.id or k + 1} ({step.action})"
+        where = f"task {name}, step {step.id or k + 1} ({step.action})"
         try:
             action = build_transform(step.action, step.with_)
             if flowing is None and action.tier != "collection":
@@ -134,50 +140,51 @@ def _steps(task: TransformTask, ctx: ExecutionContext, rejects_read: bool) -> tu
 _WIDE = frozenset({"join", "merge", "fuzzy_join", "group", "window", "sort", "dedupe", "compare_diff"})
 
 
-def run_transform(task: TransformTask, ctx: ExecutionContext, readers: dict[str, int]) -> None:
-    names = task.produces()
+def run_transform(name: str, task: Any, ctx: ExecutionContext, readers: dict[str, int]) -> None:
+    names = made_by(task)
     store = ctx.checkpoint_store if task.checkpoint else None
-    key = digest("transform", [s.model_dump() for s in task.steps], task.input, [ctx.origins.get(n, f"?{time.time()}") for n in task.consumes()])
-    found = store.load(task.name, key, names) if store else None
+    key = digest("transform", [s.model_dump() for s in task.steps], task.input, [ctx.origins.get(n, f"?{time.time()}") for n in read_by(task)])
+    found = store.load(name, key, names) if store else None
     if found is None:
-        frame, bad = _steps(task, ctx, bool(readers.get(names[-1])) and len(names) > 1)
+        frame, bad = _steps(name, task, ctx, bool(readers.get(names[-1])) and len(names) > 1)
         found = {task.output: frame}
         if len(names) > 1:
             found[names[1]] = bad
         if store:
             try:
-                found = store.save(task.name, key, found)
+                found = store.save(name, key, found)
             except PySparkException as e:
-                raise TransformError(f"task {task.name}: {_message(e)}") from e
+                raise TransformError(f"task {name}: {_message(e)}") from e
         elif any(s.action in _WIDE for s in task.steps):
-            checks = bool(task.output_contract and task.validation is not ValidationMode.OFF) + bool(task.expectations)
+            checks = bool(task.output_contract and task.validate_ != "off") + bool(task.expectations)
             if readers.get(task.output, 0) + checks > 1:
                 found[task.output] = _keep(found[task.output], ctx)
     try:
-        _validate(found[task.output], task.output_contract, task.validation, ctx)
+        _validate(found[task.output], task.output_contract, task.validate_, ctx)
         check_expectations(hide(found[task.output]), task.expectations)
     except PySparkException as e:  # a value that a step refuses, seen when rows are read
-        raise TransformError(f"task {task.name}: {_message(e)}") from e
-    for name, frame in found.items():
-        ctx.state.set(name, frame)
-        ctx.origins[name] = key
+        raise TransformError(f"task {name}: {_message(e)}") from e
+    for output, frame in found.items():
+        ctx.state.set(output, frame)
+        ctx.origins[output] = key
 
 
 # ---------------------------------------------------------------- load
-def run_load(task: LoadTask, ctx: ExecutionContext) -> None:
+def run_load(name: str, task: Any, ctx: ExecutionContext) -> None:
     adapter, requests = ctx.adapters[task.resource], []
     for step in task.steps:
         frame = ctx.state.get(step.input)
-        _validate(frame, step.input_contract, task.validation, ctx)
+        _validate(frame, step.input_contract, task.validate_, ctx)
         contract = ctx.config.schemas.get(step.input_contract) if step.input_contract else None
         requests.append(WriteRequest(hide(frame), step.collection, step.mode, step.key or [], step.write.partition_by, step.scd, ctx.partition_value, step.write.chunksize, contract))
     try:
         results = adapter.write_batch(requests)
     except PySparkException as e:
-        inputs = ", ".join(f"{s.input} (of task {ctx.config.producers().get(s.input)})" for s in task.steps)
-        raise TransformError(f"task {task.name}, reading {inputs}: {_message(e)}") from e
+        made = makers(ctx.config)
+        inputs = ", ".join(f"{s.input} (of task {made.get(s.input)})" for s in task.steps)
+        raise TransformError(f"task {name}, reading {inputs}: {_message(e)}") from e
     for r in results:
-        log.info("%s: %s", task.name, r)
+        log.info("%s: %s", name, r)
     ctx.load_results += results
 
 

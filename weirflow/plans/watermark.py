@@ -8,9 +8,8 @@ from typing import Any
 
 from pyspark.sql import functions as F
 
-from ..config.models import LoadMode
 from ..durations import parse_duration
-from ..sources.base import Adapter, WriteRequest
+from ..sources.base import Adapter, LoadMode, WriteRequest
 
 log = logging.getLogger("weirflow")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from functools import reduce
 from typing import Any, Literal
 
 from pydantic import BaseModel, ConfigDict, Field
@@ -100,8 +101,6 @@ def _measures(df: DataFrame, contract: DataframeContract) -> dict[str, tuple[Col
         c, kind = col(name), df.schema[name].dataType
         if not rule.nullable:
             out[f"n{len(out)}"] = F.count_if(c.isNull()), f"{name}: {{}} nulls"
-        if rule.unique:
-            out[f"n{len(out)}"] = F.count(c) - F.count_distinct(c), f"{name}: {{}} repeated values"
         if rule.allowed is not None:
             good = c.isin(*(_literal(coerce(v, kind), kind) for v in rule.allowed)) if rule.allowed else F.lit(False)
             out[f"n{len(out)}"] = F.count_if(c.isNotNull() & ~F.coalesce(good, F.lit(False))), f"{name}: {{}} values that aren't allowed"
@@ -116,10 +115,23 @@ def _measures(df: DataFrame, contract: DataframeContract) -> dict[str, tuple[Col
         for k in keys:
             some = some | col(k).isNull()
         out[f"n{len(out)}"] = F.count_if(some), f"primary key {', '.join(keys)}: {{}} rows with nulls"
-        out[f"n{len(out)}"] = F.count(F.lit(1)) - F.count_distinct(F.struct(*map(col, keys))), f"primary key {', '.join(keys)}: {{}} repeated rows"
     return out
 
 
+def _repeats(df: DataFrame, contract: DataframeContract) -> list[tuple[DataFrame, str]]:
+    """Frames of one row, the number of repeated keys, with what it means. Each rule counts its own
+    keys, map-side first; distinct counts in one aggregate would multiply the rows by the rules."""
+    names, found = visible(df), []
+    for name, rule in contract.columns.items():
+        if rule.unique and name in names:
+            found.append(([name], df.where(col(name).isNotNull()), f"{name}: {{}} repeated values"))
+    keys = contract.primary_key
+    if keys and all(k in names for k in keys):
+        found.append((keys, df, f"primary key {', '.join(keys)}: {{}} repeated rows"))
+    counted = lambda keys, frame: frame.groupBy(*(col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg((F.count(F.lit(1)) - 1).alias("n"))
+    return [(counted(keys, frame).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), text) for keys, frame, text in found]
+
+
 def contract_problems(df: DataFrame, contract: DataframeContract, lookup: Callable[[str], DataFrame | None] | None = None) -> list[str]:
     """All that is wrong with a frame. ``lookup`` gives the frames that foreign keys name."""
     out = _schema_problems(df, contract)
@@ -128,6 +140,11 @@ def contract_problems(df: DataFrame, contract: DataframeContract, lookup: Callab
     if measures:
         row = df.agg(*(m.alias(k) for k, (m, _) in measures.items())).first()
         out += [text.format(row[k]) for k, (_, text) in measures.items() if row[k]]
+    repeats = _repeats(df, contract)
+    if repeats:
+        found = reduce(lambda a, b: a.unionByName(b), (frame.withColumn("rule", F.lit(k)) for k, (frame, _) in enumerate(repeats)))
+        times = {r["rule"]: r["n"] for r in found.collect()}  # a row for each rule
+        out += [text.format(times[k]) for k, (_, text) in enumerate(repeats) if times[k]]
     for name, reference in contract.foreign_keys.items():
         frame_name, _, other = reference.rpartition(".")
         frame = lookup(frame_name) if lookup else None
@@ -143,13 +160,13 @@ def contract_problems(df: DataFrame, contract: DataframeContract, lookup: Callab
     return out
 
 
-def check_contract(df: DataFrame, contract: DataframeContract, mode: str = "strict", lookup: Callable | None = None) -> None:
+def check_contract(df: DataFrame, contract: DataframeContract, mode: str = "strict", lookup: Callable | None = None, name: str | None = None) -> None:
     """Raises (strict), logs (warn) or skips (off) a broken contract."""
     if mode == "off":
         return
     problems = contract_problems(df, contract, lookup)
     if problems:
-        message = f"contract {contract.name or ''}: " + "; ".join(problems)
+        message = f"contract {name or contract.name or ''}: " + "; ".join(problems)
         if mode == "strict":
             raise ContractError(message)
         log.warning(message)

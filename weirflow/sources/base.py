@@ -5,19 +5,29 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime
+from enum import StrEnum
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config.models import LoadMode, ResourceConfig, ScdSpec
 from ..errors import AdapterError, PermissionDeniedError, RegistryError
 from ..functions.frames import col, hide, is_number, is_time, ordered
 from ..quality.contracts import DataframeContract
 from ..registry import ADAPTERS
 
 
+class LoadMode(StrEnum):
+    """How a frame goes into a collection."""
+
+    REPLACE = "replace"
+    APPEND = "append"
+    UPSERT = "upsert"
+    SCD2 = "scd2"
+    DELETE = "delete"
+
+
 @dataclass
 class LoadResult:
     """What a write did."""
@@ -40,7 +50,7 @@ class WriteRequest:
     mode: LoadMode = LoadMode.REPLACE
     key: list[str] = field(default_factory=list)
     partition_by: list[str] = field(default_factory=list)
-    scd: ScdSpec | None = None
+    scd: Any = None  # the blueprint's scd section
     as_of: Any = None
     chunksize: int | None = 10_000
     contract: DataframeContract | None = None
@@ -88,15 +98,16 @@ def newer_than(df: DataFrame, since: tuple[str, Any] | None) -> DataFrame:
 
 
 class Adapter:
-    """A provisioned resource."""
+    """A provisioned resource: the blueprint's section of it."""
 
-    def __init__(self, resource: ResourceConfig, spark: SparkSession | None = None):
+    def __init__(self, resource: Any, spark: SparkSession | None = None):
         self.resource, self.params = resource, resource.params
+        self.name = resource.name
         self.spark = spark or SparkSession.builder.getOrCreate()
 
     def _permit(self, what: str) -> None:
         if what not in self.resource.allow:
-            raise PermissionDeniedError(f"resource {self.resource.name!r} doesn't allow to {what}")
+            raise PermissionDeniedError(f"resource {self.name!r} doesn't allow to {what}")
 
     def read(self, collection: str | None = None, since: tuple[str, Any] | None = None, numbered: bool = False) -> DataFrame:
         """``numbered``: with the hidden ordinal of each row."""
@@ -115,6 +126,11 @@ class Adapter:
         self._permit("write")
         return self._write_batch(requests)
 
+    def write_once(self, requests: Sequence[WriteRequest], stream: str, batch: int) -> list[LoadResult]:
+        """Writes a batch of a stream. Here a batch that is tried again is written again; keyed modes
+        then change nothing."""
+        return self.write_batch(requests)
+
     def has_table(self, collection: str) -> bool:
         raise NotImplementedError
 
@@ -128,7 +144,10 @@ class Adapter:
         pass
 
 
-def create_adapter(resource: ResourceConfig, spark: SparkSession | None = None) -> Adapter:
+def create_adapter(resource: Any, spark: SparkSession | None = None, name: str | None = None) -> Adapter:
+    """The adapter of a resource; ``name`` is that of its section."""
+    if name is not None:
+        resource = resource.model_copy(update={"name": name})
     try:
         kind = ADAPTERS.get(resource.adapter)
     except RegistryError as e:

@@ -19,12 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..config.models import LoadMode
 from ..errors import AdapterError
 from ..functions.frames import is_number, is_time, nan_to_null
 from ..quality.contracts import DataframeContract
 from ..registry import register_adapter
-from .base import Adapter, LoadResult, WriteRequest, declared_types, newer_than
+from .base import Adapter, LoadMode, LoadResult, WriteRequest, declared_types, newer_than
 from .managed import ManagedAdapter
 
 

@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config.models import LoadMode
 from ..errors import AdapterError
 from ..functions.frames import ORDER, col, nan_to_null, ordered
 from ..registry import register_adapter
 from . import excel
-from .base import Adapter, LoadResult, WriteRequest, newer_than
+from .base import Adapter, LoadMode, LoadResult, WriteRequest, newer_than
 
 _FORMATS = {"csv": "csv", "tsv": "tsv", "json": "json", "jsonl": "json", "parquet": "parquet", "orc": "orc", "excel": "excel", "xlsx": "excel", "xls": "excel"}
 #: Names of options of data-frame readers, in Spark's terms.

@@ -15,17 +15,17 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config.models import LoadMode
 from ..errors import AdapterError
 from ..functions.frames import col
 from ..registry import LOAD_STRATEGIES, register_load_strategy
-from .base import Adapter, LoadResult, WriteRequest, declared_types, newer_than
+from .base import Adapter, LoadMode, LoadResult, WriteRequest, declared_types, newer_than
 
 FLAG = "__how"
 
@@ -136,6 +136,10 @@ def _matches(r: WriteRequest, target: DataFrame) -> tuple[list[str], Callable[[C
     return (r.key, lambda a, b: a == b) if set(r.key) <= set(target.columns) else None
 
 
+#: The manifest's entry of streams: the last batch of each.
+_STREAMS = "_streams"
+
+
 class ManagedAdapter(Adapter):
     """``params``: path (the root of the tables)."""
 
@@ -150,34 +154,48 @@ class ManagedAdapter(Adapter):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def _manifest(self) -> tuple[int, dict[str, Any]]:
+    def _manifest(self, writes: bool = False) -> tuple[int, dict[str, Any]]:
+        """The last manifest that is whole. A writer doesn't go on from one that isn't the last."""
         fs, folder = self._fs(f"{self.root}/_manifests")
         if not fs.exists(folder):
             return 0, {}
-        numbers = [int(s.getPath().getName()[:-5]) for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json") and not s.getPath().getName().startswith(".")]
-        if not numbers:
-            return 0, {}
-        last = max(numbers)
-        stream = fs.open(self._fs(f"{self.root}/_manifests/{last:012d}.json")[1])
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return last, json.loads(text)
+        names = (s.getPath().getName() for s in fs.listStatus(folder))
+        for number in sorted((int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith(".")), reverse=True):
+            path = f"{self.root}/_manifests/{number:012d}.json"
+            stream = fs.open(self._fs(path)[1])
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            try:
+                return number, json.loads(text)
+            except ValueError:
+                if writes:
+                    raise AdapterError(f"{path} isn't whole: a writer is publishing it, or has failed in doing so and it is to be deleted") from None
+        return 0, {}
 
     def _commit(self, number: int, tables: dict[str, Any]) -> None:
+        """Publishes a manifest: its file is made only if it isn't there, which one writer achieves.
+
+        An object store has to make files so (conditional writes) for writers to exclude each other.
+        """
         fs, target = self._fs(f"{self.root}/_manifests/{number:012d}.json")
-        stage = self._fs(f"{self.root}/_manifests/.{uuid.uuid4().hex}")[1]
-        stream = fs.create(stage, False)
-        stream.write(bytearray(json.dumps(tables).encode()))
-        stream.close()
-        # a rename onto a file that is there fails; local file systems would overwrite
-        if fs.exists(target) or not fs.rename(stage, target):
-            fs.delete(stage, False)
-            raise AdapterError(f"{self.root}: another writer published first")
+        data = json.dumps(tables).encode()
+        try:
+            if fs.getUri().getScheme() == "file":  # the file system of this machine, whose Hadoop client only looks first
+                folder = target.getParent()
+                fs.mkdirs(folder)
+                with open(target.toUri().getPath(), "xb") as out:
+                    out.write(data)
+            else:
+                stream = fs.create(target, False)
+                stream.write(bytearray(data))
+                stream.close()
+        except (FileExistsError, Py4JJavaError) as e:
+            raise AdapterError(f"{self.root}: another writer published first") from e
 
     def has_table(self, collection: str) -> bool:
-        return collection in self._manifest()[1]
+        return collection in self._manifest()[1] and collection != _STREAMS
 
     def _table(self, entry: dict[str, Any]) -> DataFrame:
         schema = T.StructType.fromJson(entry["schema"])
@@ -218,16 +236,27 @@ class ManagedAdapter(Adapter):
         if not collection:
             raise AdapterError("a collection (the table) is needed")
         tables = self._manifest()[1]
-        if collection not in tables:
+        if collection not in tables or collection == _STREAMS:
             raise AdapterError(f"there is no table {collection!r}")
         return newer_than(self._table(tables[collection]), since)
 
-    def _write_batch(self, requests: Sequence[WriteRequest]) -> list[LoadResult]:
-        number, tables = self._manifest()
+    def write_once(self, requests: Sequence[WriteRequest], stream: str, batch: int) -> list[LoadResult]:
+        """The manifest says which batch of a stream came last, so a batch that is tried again
+        after it was published does nothing."""
+        self._permit("write")
+        return self._write_batch(requests, (stream, batch))
+
+    def _write_batch(self, requests: Sequence[WriteRequest], once: tuple[str, int] | None = None) -> list[LoadResult]:
+        number, tables = self._manifest(writes=True)
         tables, results, made = dict(tables), [], []
+        if once:
+            seen = tables.get(_STREAMS, {}).get(once[0])
+            if seen is not None and once[1] <= seen:
+                return []
+            tables[_STREAMS] = {**tables.get(_STREAMS, {}), once[0]: once[1]}
         try:
             for r in requests:
-                if not r.collection:
+                if not r.collection or r.collection == _STREAMS:
                     raise AdapterError("a collection (the table) is needed")
                 results.append(self._staged(r, tables, made))
             self._commit(number + 1, tables)
@@ -281,7 +310,7 @@ class ManagedAdapter(Adapter):
         """Deletes folders that the last manifest doesn't name, and in those of which it names some
         files the others; only when nobody reads older versions. Gives the number of folders."""
         _, tables = self._manifest()
-        named = {p for t in tables.values() for p in t["parts"]}
+        named = {p for name, t in tables.items() if name != _STREAMS for p in t["parts"]}
         partly = {p.rsplit("/", 1)[0] for p in named if p.count("/") > 1}
         fs, root = self._fs(self.root)
         dropped = 0
