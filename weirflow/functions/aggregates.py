@@ -43,7 +43,7 @@ AGGREGATES = {
     "any": lambda c, k: F.coalesce(F.bool_or(c.cast("boolean")), F.lit(False)),
     "all": lambda c, k: F.coalesce(F.bool_and(c.cast("boolean")), F.lit(True)),
 }
-ALIASES = {"avg": "mean", "average": "mean", "stddev": "std", "variance": "var", "count_distinct": "nunique"}
+ALIASES = {"avg": "mean", "average": "mean", "stddev": "std", "variance": "var", "count_distinct": "nunique", "quantile": "median"}
 ORDERED = frozenset({"first", "last"})
 _NUMERIC = frozenset({"prod", "mean", "median", "std", "var", "sem", "skew"})
 

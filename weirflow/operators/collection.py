@@ -126,6 +126,16 @@ class Join(Transform):
         return joined(left, right, self.how, left_on, right_on, self.suffixes, shared)
 
 
+_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+
+
+def _common_decimal(kinds: list[T.DataType]) -> T.DecimalType | None:
+    """The decimal that holds all values of integers and decimals, if there is one."""
+    scale = max(getattr(k, "scale", 0) for k in kinds)
+    whole = max(k.precision - k.scale if isinstance(k, T.DecimalType) else _DIGITS[type(k)] for k in kinds)
+    return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else None
+
+
 def aligned(frames: list[DataFrame], names: list[str]) -> list[DataFrame]:
     """The frames with columns of common types: numbers widen, other mixtures become text."""
     kinds: dict[str, T.DataType | None] = {}
@@ -136,6 +146,8 @@ def aligned(frames: list[DataFrame], names: list[str]) -> list[DataFrame]:
             kinds[name] = found[0]
         elif all(isinstance(k, T.IntegralType) for k in found):
             kinds[name] = T.LongType()
+        elif all(isinstance(k, T.IntegralType | T.DecimalType) for k in found) and (exact := _common_decimal(found)):
+            kinds[name] = exact
         elif all(is_number(k) for k in found):
             kinds[name] = T.DoubleType()
         elif all(is_time(k) for k in found):

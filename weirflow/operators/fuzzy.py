@@ -43,19 +43,26 @@ def _score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.fromiter((similarity(x, y) for x, y in zip(a, b, strict=True)), float, len(a)))
 
 
+def _numbered(parts) -> list[str]:
+    """The k-th occurrence of a part is a name of its own."""
+    seen: dict[str, int] = {}
+    out = []
+    for x in parts:
+        seen[x] = seen.get(x, 0) + 1
+        out.append(f"{x}{seen[x]}")
+    return out
+
+
 @pandas_udf(ArrayType(StringType()))
 def _pairs(s: pd.Series) -> pd.Series:
-    """Pairs of neighbouring characters; the k-th occurrence of a pair is a name of its own."""
+    """Pairs of neighbouring characters, numbered."""
+    return s.map(lambda text: _numbered(map(str.__add__, text, text[1:])))
 
-    def named(text: str) -> list[str]:
-        seen: dict[str, int] = {}
-        out = []
-        for x in map(str.__add__, text, text[1:]):
-            seen[x] = seen.get(x, 0) + 1
-            out.append(f"{x}{seen[x]}")
-        return out
 
-    return s.map(named)
+@pandas_udf(ArrayType(StringType()))
+def _single(s: pd.Series) -> pd.Series:
+    """Characters, numbered."""
+    return s.map(_numbered)
 
 
 def _characters(c: Column) -> Column:
@@ -80,7 +87,8 @@ class FuzzyJoin(Transform):
 
     Distinct keys are matched, not rows; of equal scores the first right key wins. Unmatched left
     rows match nothing. Texts that are alike share character pairs, so keys meet by their rarest
-    ones; where a text is too short (or the threshold too low) for that, by bands of lengths.
+    ones; where a text is too short (or the threshold too low) for that, by their rarest characters
+    within bands of lengths.
     Bounds on lengths and common characters then prune before any text is scored.
     """
 
@@ -110,7 +118,7 @@ class FuzzyJoin(Transform):
         la, lb = F.length("a"), F.length("b")
         alike = 2 * F.least(la, lb) >= t * (la + lb) - 1e-9
         long_a, long_b = least_shared(F.col("a"), t) >= 1, least_shared(F.col("b"), t) >= 1
-        near = self._by_length(a.where(~long_a), b).unionByName(self._by_length(a.where(long_a), b.where(~long_b))).where(alike)
+        near = self._by_characters(a.where(~long_a), b).unionByName(self._by_characters(a.where(long_a), b.where(~long_b))).where(alike).distinct()
         if t > 2 / 3:
             near = near.unionByName(self._by_pairs(a.where(long_a), b.where(long_b)).where(alike).distinct())
         # common characters, counted once each, plus what can repeat, bound the subsequence
@@ -121,24 +129,42 @@ class FuzzyJoin(Transform):
         best = Window.partitionBy("a").orderBy(F.desc("score"), "o")
         return scored.withColumn("n", F.row_number().over(best)).where("n = 1").select("a", "b", "score")
 
-    def _by_length(self, a: DataFrame, b: DataFrame) -> DataFrame:
-        """All pairs of keys whose lengths are in the same or in neighbouring bands; the bands grow
-        so that keys that are alike are one apart at most."""
-        width = float(np.log(max((2 - self.threshold) / self.threshold, 1.0001)))
-        band = lambda c: F.floor(F.log(F.length(c) + F.lit(1.0)) / width)
-        probes = b.withColumn("band", F.explode(F.array(band("b") - 1, band("b"), band("b") + 1)))
-        return a.withColumn("band", band("a")).join(probes, "band").select("a", "b", "o")
+    def _by_characters(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Pairs of keys that share one of their rarest characters, and whose lengths are in the same
+        or in neighbouring bands (these grow so that keys that are alike are one apart at most).
 
-    def _by_pairs(self, a: DataFrame, b: DataFrame) -> DataFrame:
-        """Pairs of keys that share one of their rarest character pairs. A key that must share n of
-        its p pairs shares one of the first p - n + 1 in any order; the rarest come first."""
+        A common subsequence of s of a and b characters has s >= t * (a + b) / 2, and b is no shorter
+        than t / (2 - t) of a: so a shares t / (2 - t) of its characters at least.
+        """
+        t = self.threshold
+        width = float(np.log(max((2 - t) / t, 1.0001)))
+        band = F.floor(F.log(F.length("key") + F.lit(1.0)) / width)
+        need = F.greatest(F.ceil(F.length("key") * (t / (2 - t)) - 1e-9), F.lit(1))
+        first = self._rarest(a, b, _single, F.length("key") - need + 1)
+        bands = F.when(F.col("left"), F.array(band)).otherwise(F.array(band - 1, band, band + 1))
+        near = self._met(first.withColumn("band", F.explode(bands)), "pair", "band")
+        empty = a.where("a = ''").join(b.where("b = ''"), F.col("a") == F.col("b")).select("a", "b", "o")
+        return near.unionByName(empty)
+
+    @staticmethod
+    def _met(first: DataFrame, *keys: str) -> DataFrame:
+        left = first.where("left").select(F.col("key").alias("a"), *keys)
+        return left.join(first.where("not left").select(F.col("key").alias("b"), "o", *keys), list(keys)).select("a", "b", "o")
+
+    @staticmethod
+    def _rarest(a: DataFrame, b: DataFrame, parts, how_many: Column) -> DataFrame:
+        """(left, key, o, pair): of each key's parts the ``how_many`` rarest."""
         each = a.select(F.lit(True).alias("left"), F.col("a").alias("key"), F.lit(None).cast("bigint").alias("o")).unionByName(b.select(F.lit(False).alias("left"), F.col("b").alias("key"), "o"))
-        named = each.withColumn("pair", F.explode(_pairs("key")))
+        named = each.withColumn("pair", F.explode(parts("key")))
         often = named.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
         sorted_ = F.sort_array(F.collect_list(F.struct("n", "pair")))["pair"]
         first = named.join(often, "pair").groupBy("left", "key", "o").agg(sorted_.alias("pairs"))
-        first = first.withColumn("pair", F.explode(F.slice("pairs", F.lit(1), (F.length("key") - least_shared(F.col("key"), self.threshold)).cast("int"))))
-        return first.where("left").select(F.col("key").alias("a"), "pair").join(first.where("not left").select(F.col("key").alias("b"), "o", "pair"), "pair").select("a", "b", "o")
+        return first.withColumn("pair", F.explode(F.slice("pairs", F.lit(1), how_many.cast("int")))).drop("pairs")
+
+    def _by_pairs(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Pairs of keys that share one of their rarest character pairs. A key that must share n of
+        its p pairs shares one of the first p - n + 1 in any order; the rarest come first."""
+        return self._met(self._rarest(a, b, _pairs, F.length("key") - least_shared(F.col("key"), self.threshold)), "pair")
 
     def apply(self, df: DataFrame | None, ctx: Any = None) -> DataFrame:
         left, right = frame_of(self.left, df, ctx), frame_of(self.right, df, ctx)

@@ -128,9 +128,10 @@ class Dedupe(Transform):
     def apply(self, df: DataFrame, ctx: Any = None) -> DataFrame:
         require(df, [*(self.on or []), *(self.order_by or {})], "dedupe", TransformError)
         names = self.on or visible(df)
-        if self.keep is False:
-            w = Window.partitionBy(*map(col, names))
-            return df.withColumn("__n", F.count(F.lit(1)).over(w)).where("__n = 1").drop("__n")
+        if self.keep is False:  # counted before rows are dealt, so a frequent key isn't gathered
+            whole = F.struct(*map(col, df.columns))
+            single = df.groupBy(*(col(c).alias(f"__k{k}") for k, c in enumerate(names))).agg(F.count(F.lit(1)).alias("__n"), F.first(whole).alias("__row"))
+            return single.where("__n = 1").select("__row.*")
         if self.on is None:
             return df.dropDuplicates(names)
         had = ORDER in df.columns
