@@ -112,3 +112,23 @@ def test_packed_ids_are_put_out(docs):
         assert at == len(ids)
         seen += at
     assert seen == sum(map(len, want.values()))
+
+
+def test_ids_of_many_odd_texts():
+    """Capitals before marks, case pairs, Unicode spaces and control tokens: the tokenizer's own ids."""
+    rng = np.random.default_rng(6)
+    encoder = packing.encoder_of(PATH)
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    odd = ["İ", "ß", "ẞ", "Σ", "ς", "Å", "Å", "Ǆ", " ", " ", "　", "\x85", "​", "'", "’s", "'S", "'re", "é", "é", "가", "가", "٣", "½", "_", "ª"]
+    added = [t.content for t in encoder.tokenizer.get_added_tokens_decoder().values()]
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") + list(" \n\t0.,-#")
+    texts = []
+    for _ in range(10_000):
+        parts = []
+        for _ in range(rng.integers(1, 9)):
+            kind = rng.integers(20)
+            parts.append(str(rng.choice(letters)) + (str(rng.choice(marks)) if kind < 7 else "") if kind < 15 else str(rng.choice(odd)) if kind < 19 else str(rng.choice(added or ["<|x|>"])))
+        texts.append("".join(parts))
+    ids, offs = encoder.encode(pa.array(texts, pa.large_string()))
+    for k, t in enumerate(texts):
+        assert ids[offs[k] : offs[k + 1] - 1].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)

@@ -132,16 +132,16 @@ class ChunkEncoder:
         low[composes] = data[composes]
         for d in odd.tolist():
             low[offs[d] : offs[d + 1]] = 32
-        cut = np.zeros(len(low) + 1, bool)
-        cut[1:-1] = (_SMALL[low[:-1]] & _MARKS[low[1:]]) | (_MARKS[low[:-1]] & _SMALL[low[1:]])
-        cut[offs] = True
-        at = np.flatnonzero(cut)
-        spaced = np.insert(low, at, 32)
-        inside = ~WHITE[spaced]
-        inside[1:] &= WHITE[spaced[:-1]]  # starts of chunks
-        edges = offs + np.searchsorted(at, offs)
-        counts = np.diff(np.concatenate([[0], np.cumsum(inside)])[edges])
-        words = self._numbers(spaced.tobytes().split())
+        inside = ~WHITE[low]
+        begins = inside.copy()  # starts of chunks: after white space, at cuts, and where a row begins
+        begins[1:] &= WHITE[low[:-1]] | (_SMALL[low[:-1]] & _MARKS[low[1:]]) | (_MARKS[low[:-1]] & _SMALL[low[1:]])
+        edge = offs[:-1][offs[:-1] < len(low)]
+        begins[edge] = inside[edge]
+        place = np.cumsum(inside) - 1
+        bounds = np.append(place[begins], len(place) and place[-1] + 1).astype(np.int32)
+        chunks = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(low[inside])])
+        counts = np.diff(np.concatenate([[0], np.cumsum(begins)])[offs])
+        words = self._numbers(chunks)
         size = np.diff(self.first)[words]
         per_doc = np.zeros(n, np.int64)
         full = np.flatnonzero(counts)
@@ -161,12 +161,15 @@ class ChunkEncoder:
         out[keep] = ids
         return out, offsets
 
-    def _numbers(self, words: list[bytes]) -> np.ndarray:
-        """Places of chunks in the table, which gets those that it lacks."""
+    def _numbers(self, chunks: pa.Array) -> np.ndarray:
+        """Places of chunks in the table, which gets those that it lacks; each distinct one is looked up once."""
         if len(self.table) > KEPT_WORDS:
             self._reset()
-        table = self.table
-        fresh = [w for w in dict.fromkeys(words) if w not in table]
+        table, coded = self.table, chunks.dictionary_encode()
+        _, ends, raw = coded.dictionary.buffers()
+        ends, raw = np.frombuffer(ends, np.int32, len(coded.dictionary) + 1).tolist(), raw.to_pybytes() if raw else b""
+        words = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        fresh = [w for w in words if w not in table]
         if fresh:
             texts = [w.decode() for w in fresh]
             plain = self.tokenizer.model.tokenize
@@ -181,7 +184,8 @@ class ChunkEncoder:
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
             self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
-        return np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+        places = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+        return places[coded.indices.to_numpy()] if words else places
 
 
 @lru_cache(maxsize=2)
