@@ -96,11 +96,11 @@ def test_query_against_one_process(spark):
     assert -out[out.held_out].score.sum() / size < math.log10(2**4)  # under 4 bits a byte on unseen texts
 
 
-def test_small_blocks_slices_and_salts(spark, docs, monkeypatch):
-    """Many blocks and salts give what one gives."""
+def test_small_blocks_and_many_rounds(spark, docs, monkeypatch):
+    """Many blocks, whose lists meet two at a time, give what one gives."""
     df = docs(*((k, t * (1 + k % 3)) for k, t in enumerate(TEXTS * 6))).withColumn("held", F.col("doc_id") % 5 == 1)
     plain = {(r["doc_id"], r["n_known"]): (r["score"], r["base_score"]) for r in ppm.score_corpus(df).collect()}
-    for name, value in (("PART", 30), ("BLOCK", 60), ("GATHER", 200)):
+    for name, value in (("PART", 30), ("BLOCK", 120), ("FAN", 2), ("BITS", 1), ("FINER", 1)):
         monkeypatch.setattr(ppm, name, value)
     again = {(r["doc_id"], r["n_known"]): (r["score"], r["base_score"]) for r in ppm.score_corpus(df.repartition(3)).collect()}
     assert set(plain) == set(again) and len(plain) == 36
@@ -108,6 +108,25 @@ def test_small_blocks_slices_and_salts(spark, docs, monkeypatch):
         assert again[k] == pytest.approx(v, rel=1e-6)
 
 
+def test_texts_are_not_shuffled_again(spark, docs):
+    """Answers go to where texts were written: only they are exchanged."""
+    df = docs(*enumerate(TEXTS)).withColumn("held", F.lit(False))
+    plan = ppm.score_corpus(df)._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.split("\n") if "FileScan" in x and "text#" in x)
+    assert "Bucketed: true" in scan
+    assert not any("hashpartitioning(block" in x and "text" in x for x in plan.split("\n"))
+
+
+def test_slices_hold_whole_contexts():
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 2**48, 5000, dtype=np.uint64))
+    for bits in (1, 6, 9):
+        lot = ppm.slice_of(ppm.GRAM, keys, bits)
+        context = (keys >> np.uint64(8)) & np.uint64(0xFFFFFF)
+        assert lot.max() < 2**bits and all(len(set(lot[context == c])) == 1 for c in context[:50])
+        assert (lot == ppm.slice_of(ppm.GRAM, keys, bits + 3) >> 3).all()
+
+
 def test_edge_rows(docs):
     df = docs((1, None), (2, ""), (None, "abc"), (3, "abc"), (3, "abc"), (4, "ab " * 100_000), clash=("score", "block", "kind")).withColumn("held", F.col("doc_id") == 3)
     out = ppm.score_corpus(df).collect()

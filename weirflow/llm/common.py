@@ -27,24 +27,51 @@ BLOCK_BYTES = 16 << 20
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (a local session, as in tests) a temporary folder is used.
+    Only a local session (as in tests) may leave it unset, and gets a temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext.getCheckpointDir()
         if kept:
             return kept.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         found = tempfile.mkdtemp(prefix="weirflow-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def kept_at(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which goes when the session's process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, at = _place(spark, path)
+    fs.mkdirs(at.getParent())
+    fs.deleteOnExit(at)
+    return path
+
+
 def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again (cuts the lineage)."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = kept_at(spark, name)
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``materialise`` wrote for frames that no later plan reads."""
+    for frame in frames:
+        path = getattr(frame, "_kept_at", None)
+        if path:
+            fs, at = _place(frame.sparkSession, path)
+            fs.delete(at, True)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -9,31 +9,34 @@ preceded by marks and ends in one, so its probability is that of the whole text.
 The trie is whole: no context is dropped, and none of its tables is sent to all executors but that
 of single-byte contexts, which has 65,792 entries at most. What a byte costs depends only on it and
 the ``ORDER`` bytes before it, a gram. Documents are dealt into blocks; a block lists its distinct
-grams with their training counts, and grams meet in slices by the two bytes before the last, where
-all longer contexts are complete. Slices send the costs back to the blocks that listed them. The
-words of the unigram score take the same way: they meet by their hashes and counts come back.
+grams with their training counts, by slices of a hash of the three bytes before the last. Lists of a
+slice meet ``FAN`` at a time, in as many rounds as there are blocks for, and after each round slices
+are finer, so no list grows with the data. In the last ones contexts of three bytes or more are
+whole; those of two come by a join. Costs go back the way that lists came, and meet the texts where
+these were written, in a table that is bucketed by block: texts are never shuffled. The words of the
+unigram score take the same way: they meet by their hashes and counts come back.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, HashTable, blocks, frugal, in_class, materialise, scan_words, text_buffer
+from .common import LOWER, U64, HashTable, blocks, frugal, in_class, kept_at, materialise, scan_words, text_buffer
 
 ORDER = 5
 BEFORE, END = 0xFF, 0xFE  # bytes that UTF-8 never has
 #: Bytes of text that are worked on at once, and those of a block.
 PART, BLOCK = 2 << 20, 64 << 20
-#: Packed bytes of the lists that a task gathers from one slice.
-GATHER = 4 << 20
+#: Lists that meet in one; bits of a key's hash that name its slice, at first and more after a round.
+FAN, BITS, FINER = 64, 6, 3
 
 
 def _mask(bytes_: int) -> np.uint64:
@@ -180,27 +183,39 @@ class _Listed:
         if self.waiting > len(self.whole[0]):
             self.sum()
 
+    def put(self, counted: tuple[np.ndarray, np.ndarray]) -> None:
+        self.parts.append(counted)
+        self.waiting += len(counted[0])
+        if self.waiting > len(self.whole[0]) + (1 << 20):
+            self.sum()
+
     def sum(self) -> tuple[np.ndarray, np.ndarray]:
         self.whole = add_lists([self.whole, *self.parts])
         self.parts, self.waiting = [], 0
         return self.whole
 
 
-def gram_slice(codes: np.ndarray, slices: int) -> np.ndarray:
-    """By the two bytes before the last: all contexts of two bytes or more are whole in a slice."""
-    pair = (codes >> U64(8)) & U64(0xFFFF)
-    return (((pair + U64(1)) * U64(0x9E3779B97F4A7C15) >> U64(32)) % U64(slices)).astype(np.int64)
+def slice_of(kind: int, keys: np.ndarray, bits: int) -> np.ndarray:
+    """By a hash of 32 bits: of the three bytes before a gram's last one, or of a word."""
+    hashed = (((keys >> U64(8)) & U64(0xFFFFFF)) + U64(1)) * U64(0x9E3779B97F4A7C15) >> U64(32) if kind == GRAM else keys >> U64(20)
+    return ((hashed & U64(0xFFFFFFFF)) >> U64(32 - bits)).astype(np.int64)
 
 
-def word_slice(hashes: np.ndarray, slices: int) -> np.ndarray:
-    return ((hashes >> U64(20)) % U64(slices)).astype(np.int64)
+def _sliced(kind: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    if not len(keys):
+        return
+    lot = slice_of(kind, keys, bits)
+    where = np.argsort(lot, kind="stable")
+    names, first = np.unique(lot[where], return_index=True)
+    for number, at in zip(names.tolist(), np.split(where, first[1:]), strict=True):
+        yield number, keys[at], counts[at]
 
 
 GRAM, WORD, TEXT = 0, 1, 2
 _VALUES = {GRAM: "<f4", WORD: "<f8"}
 
 
-def _listed(docs: DataFrame, slices: int) -> DataFrame:
+def _listed(docs: DataFrame) -> DataFrame:
     """The documents of each block, and its grams and words by slice with their training counts."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"kind int, block long, slice int, a binary, b binary, doc_id {id_type}, held boolean, text string"
@@ -215,12 +230,8 @@ def _listed(docs: DataFrame, slices: int) -> DataFrame:
         kind_of_id = None
 
         def lists() -> Iterator[pa.RecordBatch]:
-            for kind, listed, by in ((GRAM, grams, gram_slice), (WORD, words, word_slice)):
-                keys, counts = listed.sum()
-                lot = by(keys, slices)
-                where = np.argsort(lot, kind="stable")
-                edges = np.searchsorted(lot[where], np.arange(slices + 1)).tolist()
-                found = [(s, *pack(keys[at], counts[at])) for s, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x for at in (where[x:y],)]
+            for kind, listed in ((GRAM, grams), (WORD, words)):
+                found = [(number, *pack(keys, counts)) for number, keys, counts in _sliced(kind, *listed.sum(), BITS)]
                 if found:
                     n = len(found)
                     number, a, b = zip(*found, strict=True)
@@ -253,60 +264,84 @@ def _listed(docs: DataFrame, slices: int) -> DataFrame:
     return docs.select("doc_id", "held", "text").mapInArrow(frugal(run), schema)
 
 
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys, counts = add_lists([unpack(a, b) for a, b in zip(pdf["a"], pdf["b"], strict=True)])
-    a, b = pack(keys, counts)
-    return pd.DataFrame({"kind": pdf["kind"][:1].tolist(), "slice": pdf["slice"][:1].tolist(), "a": [a], "b": [b], "total": [int(counts.sum())], "seen": [int((counts > 0).sum())]})
+_LISTS = "kind int, slice int, node long, a binary, b binary, total long, seen long"
+
+
+def _rows(kind: int, node: int, found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
+    n = len(found)
+    a, b = zip(*(pack(keys, counts) for _, keys, counts in found), strict=True) if n else ((), ())
+    totals = [int(counts.sum()) for _, _, counts in found], [int((counts > 0).sum()) for _, _, counts in found]
+    numbers = [pa.array([kind] * n, pa.int32()), pa.array([number for number, _, _ in found], pa.int32()), pa.array([node] * n, pa.int64())]
+    return pa.table([*numbers, pa.array(a, pa.binary()), pa.array(b, pa.binary()), *(pa.array(t, pa.int64()) for t in totals)], names=[c.split(" ")[0] for c in _LISTS.split(", ")])
 
 
-_TOTALS = "kind int, slice int, a binary, b binary, total long, seen long"
+def _meet(lists: DataFrame, bits: int) -> DataFrame:
+    """One list of each (kind, slice, parent), by finer slices of ``bits``."""
 
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        kind, _, node = (x.as_py() for x in key)
+        gathered = _Listed()
+        for a, b in zip(table.column("a"), table.column("b"), strict=True):
+            gathered.put(unpack(a.as_py(), b.as_py()))
+        return _rows(kind, node, list(_sliced(kind, *gathered.sum(), bits)))
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the last two bytes of grams."""
+    return lists.groupBy("kind", "slice", "parent").applyInArrow(run, _LISTS)
+
+
+def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the last three bytes of a slice's grams; 0 for those that are only looked up."""
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for number, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             keys, counts = unpack(a, b)
-            n = np.bincount((keys & U64(0xFFFF)).astype(np.int64), counts, 1 << 16)
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at].astype(np.int64))], names=["pair", "n"])
+            tails, n = add_lists([(keys & _mask(3), counts)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tails), number, np.int32)), pa.array(tails.astype(np.int64)), pa.array(n)], names=["slice", "tail", "n"])
 
 
-def slice_costs(keys: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """log2 of the probabilities of a slice's grams; ``pairs`` is the corpus' table of order 1."""
+def slice_costs(keys: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log2 of the probabilities of a slice's grams; ``pairs`` is the corpus' table of order 1, and
+    ``triples`` has that of order 2 for the slice's contexts of two bytes."""
     ones = np.bincount((pairs[0] & U64(0xFF)).astype(np.int64), pairs[1], 256)
-    tables = [(np.flatnonzero(ones).astype(U64), ones[ones > 0].astype(np.int64)), pairs]
+    tables = [(np.flatnonzero(ones).astype(U64), ones[ones > 0].astype(np.int64)), pairs, triples]
     seen = counts > 0
     level = (keys[seen], counts[seen])
     longer = [level]
-    for k in range(ORDER - 1, 1, -1):
+    for k in range(ORDER - 1, 2, -1):
         level = add_lists([(level[0] & _mask(k + 1), level[1])]) if len(level[0]) else level
         longer.append(level)
     return Trie([*tables, *longer[::-1]]).costs(keys)
 
 
-def _valued(totals: DataFrame, pairs: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+_VALUED = "kind int, slice int, node long, a binary, b binary"
+
+
+def _valued(root: DataFrame, triples: DataFrame, pairs: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Grams with their costs and words with their counts, slice by slice."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for kind, number, a, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                keys, counts = unpack(a, b)
-                values = slice_costs(keys, counts, pairs) if kind == GRAM else counts
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([number], pa.int32()), pa.array([a], pa.binary()), pa.array([pack(keys, values.astype(_VALUES[kind]))[1]], pa.binary())], names=["kind", "slice", "a", "b"])
+    def run(lists: pa.Table, wanted: pa.Table) -> pa.Table:
+        tails, n = wanted.column("tail").to_numpy(), wanted.column("n").to_numpy()
+        by = np.argsort(tails)
+        out = []
+        for kind, a, b in zip(*(lists.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True):
+            keys, counts = unpack(a, b)
+            values = slice_costs(keys, counts, pairs, (tails[by].astype(U64), n[by])) if kind == GRAM else counts
+            out.append(pack(keys, values.astype(_VALUES[kind]))[1])
+        return pa.table([lists.column("kind"), lists.column("slice"), lists.column("node"), lists.column("a"), pa.array(out, pa.binary())], names=["kind", "slice", "node", "a", "b"])
 
-    return totals.select("kind", "slice", "a", "b").mapInArrow(frugal(run), "kind int, slice int, a binary, b binary")
+    lists = root.select("kind", "slice", "node", "a", "b")
+    return lists.groupBy("kind", "slice").cogroup(triples.withColumn("kind", F.lit(GRAM)).groupBy("kind", "slice")).applyInArrow(run, _VALUED)
 
 
-def _answers(key: tuple, asked: pa.Table, model: pa.Table) -> pa.Table:
-    """What each block's list of a slice is worth."""
+def _answers(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
+    """What the lists that met are worth, from the finer slices of what they came to."""
     kind = _VALUES[key[0].as_py()]
-    keys, values = unpack(model.column("a")[0].as_py(), model.column("b")[0].as_py(), kind)
+    keys, values = (np.concatenate(x) for x in zip(*(unpack(a, b, kind) for a, b in zip(known.column("a").to_pylist(), known.column("b").to_pylist(), strict=True)), strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
     out = []
     for a in asked.column("a").to_pylist():
         listed = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(a), U64), dtype=U64)
         out.append(zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values[np.searchsorted(keys, listed)]).tobytes()))
-    return pa.table([asked.column("block"), asked.column("kind"), asked.column("a"), pa.array(out, pa.binary())], names=["block", "kind", "a", "b"])
+    return pa.table([asked.column("kind"), asked.column("slice"), asked.column("node"), asked.column("a"), pa.array(out, pa.binary())], names=["kind", "slice", "node", "a", "b"])
 
 
 def _table(answers: pa.Table, kind: int) -> HashTable | None:
@@ -314,34 +349,65 @@ def _table(answers: pa.Table, kind: int) -> HashTable | None:
     return HashTable(*(np.concatenate(x) for x in zip(*own, strict=True)), dtype=np.dtype(_VALUES[kind])) if own else None
 
 
+#: Bytes of the input, as its source says, for each bucket of blocks.
+BUCKET = 32 << 20
+
+
+def _bucketed(parts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``parts`` as written into a table in the shared folder that is bucketed by block: what reads it
+    by block needs no shuffle. The number of buckets grows with the input."""
+    spark = parts.sparkSession
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    size = sum(n for n in sizes if n < 2**60)  # sources that don't know say more
+    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(max(lanes, -(-size // BUCKET)), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    name = f"weirflow_ppm_{uuid.uuid4().hex}"
+    parts.write.format("parquet").option("path", kept_at(spark, "ppm")).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files are outside the warehouse
+    return found
+
+
 def score_corpus(docs: DataFrame, held: str = "held") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
     ``docs`` has doc_id, text and the boolean ``held``; rows that aren't held train. Null texts
     are empty, and score by their end alone. Without training rows all symbols are as likely.
-    Repeated rows repeat. An empty table gives no row.
+    Repeated rows and null ids are scored each. An empty table gives no row. Of the columns only
+    doc_id, text and ``held`` are read, so others may have any name.
     """
-    spark = docs.sparkSession
-    slices = min(1024, max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.select("doc_id", F.coalesce(F.col(held), F.lit(False)).alias("held"), "text")
-    parts = materialise(_listed(rows, slices), "ppm", compression="zstd")
+    parts = _bucketed(_listed(rows), rows)
     texts = parts.where(f"kind = {TEXT}").select("block", "doc_id", "held", "text")
-    lists = parts.where(f"kind <> {TEXT}").select("kind", "slice", "block", "a", "b")
-    known = lists.agg(F.sum(F.octet_length("a") + F.octet_length("b"))).first()[0] or 0
-    salts = max(1, -(-known // (slices * GATHER)))
-    lists = lists.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)))
-    once = lists.groupBy("kind", "slice", "salt").applyInPandas(_summed, _TOTALS)
-    totals = materialise(once.groupBy("kind", "slice").applyInPandas(_summed, _TOTALS), "totals", compression="zstd")
-    found = totals.where(f"kind = {GRAM}").select("a", "b").mapInArrow(frugal(_pairs), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    order = np.argsort(found.column("pair").to_numpy())
-    pairs = found.column("pair").to_numpy()[order].astype(U64), found.column("n").to_numpy()[order].astype(np.int64)
-    sums = totals.where(f"kind = {WORD}").agg(F.sum("total"), F.sum("seen")).first()
+    lists = parts.where(f"kind <> {TEXT}").select("kind", "slice", F.col("block").alias("node"), "a", "b")
+    parents = lambda frame, n: frame.withColumn("parent", F.pmod(F.xxhash64("node"), F.lit(n)) if n > 1 else F.lit(0).cast("long"))
+    nodes, bits, rounds = lists.agg(F.count_distinct("node")).first()[0], BITS, []
+    while not rounds or nodes > 1:
+        nodes = max(1, -(-nodes // FAN))
+        met = parents(lists, nodes)
+        rounds.append((met, bits))
+        bits += FINER * (nodes > 1)
+        lists = materialise(_meet(met, bits), "lists", compression="zstd")
+    root = lists
+    tails = root.where(f"kind = {GRAM}").select("slice", "a", "b").mapInArrow(frugal(_tails), "slice int, tail long, n long")
+    tails = materialise(tails.withColumn("pair", F.shiftright("tail", 8)), "tails")
+    whole = tails.groupBy("pair", "tail").agg(F.sum("n").alias("n")).where("n > 0")
+    triples = tails.select("slice", "pair").distinct().join(whole, "pair").select("slice", "tail", "n")
+    found = whole.groupBy(F.col("tail").bitwiseAND(0xFFFF).alias("tail")).agg(F.sum("n").alias("n")).toArrow()
+    order = np.argsort(found.column("tail").to_numpy())
+    pairs = found.column("tail").to_numpy()[order].astype(U64), found.column("n").to_numpy()[order].astype(np.int64)
+    sums = root.where(f"kind = {WORD}").agg(F.sum("total"), F.sum("seen")).first()
     train_docs = texts.where("not held").count()
     n_train = (sums[0] or 0) + train_docs
     vocabulary = (sums[1] or 0) + (train_docs > 0)
-    model = _valued(totals, pairs).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    keys = ("kind", "slice", "salt")
-    answers = lists.select(*keys, "block", "a").groupBy(*keys).cogroup(model.select(*keys, "a", "b").groupBy(*keys)).applyInArrow(_answers, "block long, kind int, a binary, b binary")
+    answers = _valued(root, triples, pairs)
+    keys = ("kind", "slice", "parent")
+    for asked, coarse in rounds[::-1]:
+        known = answers.select("kind", F.shiftright("slice", bits - coarse).alias("slice"), F.col("node").alias("parent"), "a", "b")
+        answers = asked.select(*keys, "node", "a").groupBy(*keys).cogroup(known.groupBy(*keys)).applyInArrow(_answers, _VALUED)
+        bits = coarse
+    answers = answers.withColumnRenamed("node", "block")
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
