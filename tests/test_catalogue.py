@@ -5,7 +5,8 @@ import math
 import duckdb
 import pytest
 
-from weirflow import catalogue
+import __spark_entry__ as entry
+from weirflow import behaviours, catalogue
 
 DATA = "/root/testdata"
 SF = f"{DATA}/sf0.001"
@@ -25,11 +26,11 @@ def _rows(found):
     return sorted(plain, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+@pytest.mark.parametrize("name", sorted({*catalogue.oracle_sql(), *behaviours.BEHAVIOURS}))
 def test_query(spark, duck, name):
-    out = catalogue.queries()[name](spark, SF)
+    out = entry.queries()[name](spark, SF)
     columns = sorted(out.columns)
-    found = duck.execute(catalogue.oracle_sql()[name])
+    found = duck.execute(entry.oracle_sql()[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     want = [tuple(r[names.index(c)] for c in columns) for r in found.fetchall()]
@@ -50,6 +51,4 @@ def test_flagship_plan(spark):
 
 
 def test_entry_module():
-    import __spark_entry__ as entry
-
     assert set(entry.oracle_sql()) <= set(entry.queries()) and "blueprint_e2e" in entry.queries()

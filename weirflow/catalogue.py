@@ -127,6 +127,17 @@ _STATS = ["mean", "std", "var", "median", "min", "max", "sem"]
 _NAMES = ("select", ["p_partkey", "p_name"])
 
 CASES: dict[str, Case] = {
+    "cast_float_text": _single(
+        "orders",
+        [("derive", {"target": "t", "expr": {"concat": [_col("o_orderkey"), _lit(".25")]}}), ("cast", {"t": "float"}), ("select", ["o_orderkey", "t"])],
+        "SELECT o_orderkey, o_orderkey + CAST(0.25 AS DOUBLE) AS t FROM orders",
+    ),
+    "group_product": _single("nation", [("group", {"by": "n_regionkey", "agg": {"n_nationkey": "prod"}})], "SELECT n_regionkey, product(n_nationkey) AS n_nationkey FROM nation GROUP BY 1"),
+    "group_skew": _single(
+        "customer",
+        [("group", {"by": "c_mktsegment", "agg": {"c_acctbal": "skew"}}), ("derive", {"target": "c_acctbal", "expr": {"round": [_col("c_acctbal"), 6]}})],
+        "SELECT c_mktsegment, round_even(skewness(c_acctbal), 6) AS c_acctbal FROM customer GROUP BY 1",
+    ),
     "blueprint_e2e": FLAGSHIP,
     # ------------------------------------------------------------ projections and elements
     "label_select": _single("customer", [("label", {"c_custkey": "id", "c_name": "name", "absent": "x"}), ("select", ["id", "name", "c_mktsegment"])], "SELECT c_custkey AS id, c_name AS name, c_mktsegment FROM customer"),
