@@ -221,6 +221,22 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> Dat
     return met.select(*left.columns, *(F.coalesce(f"__h_{c}", f"__c_{c}").alias(c) for c in values))
 
 
+def join_spread(left: DataFrame, right: DataFrame, key: str, counted: DataFrame, seed: Column) -> DataFrame:
+    """An inner join with ``right`` where a key may be that of very many rows of ``left``.
+
+    ``counted`` has how often each key is there (key, k). Rows of a key with over
+    1 / (4 * partitions) of them are dealt by ``seed``, and its rows of ``right`` go to each of these
+    parts; at most 4 * partitions such keys are broadcast, with a number each.
+    """
+    lanes = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counted.agg(F.sum("k")).first()[0] or 0
+    hot = counted.where(F.col("k") * 4 * lanes > total).select(F.col(key).alias("__h"), F.ceil(F.col("k") * 4 * lanes / max(total, 1)).cast("int").alias("__ways"))
+    of = lambda frame: frame.join(F.broadcast(hot), F.col(key) == F.col("__h"), "left")
+    dealt = of(left).withColumn("__part", F.coalesce(F.pmod(seed, F.col("__ways")), F.lit(0)).cast("int")).drop("__h", "__ways")
+    copied = of(right).withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__ways", F.lit(1)) - 1))).drop("__h", "__ways")
+    return dealt.join(copied, [key, "__part"]).drop("__part")
+
+
 def _bagged(rows: DataFrame, wanted: DataFrame, hot: DataFrame) -> DataFrame:
     """node, bag, registers of the nodes that are wanted.
 
@@ -251,8 +267,8 @@ def _stars(entries: DataFrame) -> DataFrame:
     """
     degree = entries.groupBy("node").agg(F.sum("k").alias("degree"))
     ranked = entries.join(degree, "node")
-    hub = ranked.groupBy("band").agg(F.max(F.struct("degree", "node", "n", "bits")).alias("h"))
-    pairs = entries.join(hub, "band").select(F.col("h.node").alias("hub"), "node", "n", "bits", F.col("h.n").alias("m"), F.col("h.bits").alias("bits2"))
+    hub = materialise(ranked.groupBy("band").agg(F.max(F.struct("degree", "node", "n", "bits")).alias("h"), F.count(F.lit(1)).alias("k")), "hubs")
+    pairs = join_spread(entries.drop("k"), hub.drop("k"), "band", hub, F.xxhash64("node")).select(F.col("h.node").alias("hub"), "node", "n", "bits", F.col("h.n").alias("m"), F.col("h.bits").alias("bits2"))
     near = 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")
     near &= 64 - F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) >= LEAST_BITS
     return materialise(pairs.groupBy("hub", "node").agg(F.max(near).alias("near")), "stars")
@@ -265,7 +281,8 @@ def _hub_links(stars: DataFrame, bags: DataFrame, threshold: float, labels: Data
     if labels is not None:
         of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
         pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
-    joined = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
+    counted = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
+    joined = join_spread(pairs, bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a", counted, F.xxhash64("b")).join(bags.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,18 +341,24 @@ DEEP_BANDS, DEEP_ROWS = 64, 8
 
 
 def _mixed(stars: DataFrame, labels: DataFrame, bags: DataFrame) -> DataFrame:
-    """hub, node, label, stray, bytes, bag, registers of stars whose nodes have several labels.
+    """hub, node, label, stray, bag, registers of stars whose nodes have several labels.
 
     Nodes that share a band share that bucket's hub, so every candidate pair is in a star. Most
     nodes of a star have one label, and needn't be compared with each other; the others are
-    strays. ``bytes``: those of the whole star.
+    strays. ``bytes`` are those of the whole star, ``m`` and ``s`` the blocks of most and of strays.
     """
     named = stars.select("hub", "node").join(labels, "node", "left").select("hub", "node", F.coalesce("label", "node").alias("label"))
     named = materialise(named, "named")
     each = named.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"))
-    most = each.groupBy("hub").agg(F.max(F.struct("n", "label"))["label"].alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("hub", "most")
-    kept = named.join(most, "hub").join(bags, "node").select("hub", "node", "label", (F.col("label") != F.col("most")).alias("stray"), (F.octet_length("bag") + 256).alias("size"), "bag", "registers")
-    return materialise(kept, "mixed")
+    most = each.groupBy("hub").agg(F.max(F.struct("n", "label"))["label"].alias("most"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("k"))
+    most = materialise(most.where("labels > 1").select("hub", "most", "k"), "most")
+    found = join_spread(named, most.drop("k"), "hub", most, F.xxhash64("node"))
+    kept = found.join(bags, "node").select("hub", "node", "label", (F.col("label") != F.col("most")).alias("stray"), (F.octet_length("bag") + 256).alias("size"), "bag", "registers")
+    kept = materialise(kept, "mixed")
+    blocks_of = lambda which: F.greatest(F.lit(1), F.ceil(F.sum(F.when(which, F.col("size"))) / STAR_BYTES)).cast("int")
+    shape = kept.groupBy("hub").agg(F.sum("size").alias("bytes"), blocks_of(~F.col("stray")).alias("m"), blocks_of(F.col("stray")).alias("s"), F.count(F.lit(1)).alias("k"))
+    shape = materialise(shape, "shape")
+    return join_spread(kept, shape.drop("k"), "hub", shape, F.xxhash64("node"))
 
 
 def _star_links(kept: DataFrame, threshold: float) -> DataFrame:
@@ -345,9 +368,7 @@ def _star_links(kept: DataFrame, threshold: float) -> DataFrame:
     strays are dealt into blocks; strays are compared with each block and among themselves. Pairs
     are compared inside a task and never made rows.
     """
-    blocks_of = lambda which: F.greatest(F.lit(1), F.ceil(F.sum(F.when(which, F.col("size"))) / STAR_BYTES)).cast("int")
-    counts = kept.groupBy("hub").agg(blocks_of(~F.col("stray")).alias("m"), blocks_of(F.col("stray")).alias("s"))
-    dealt = kept.join(counts, "hub").withColumn("at", F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("s")).otherwise(F.col("m"))).cast("int"))
+    dealt = kept.withColumn("at", F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("s")).otherwise(F.col("m"))).cast("int"))
     # a group is (i, j): block i of the most, block j of the strays; or (-1 - i, j): two of strays
     number = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
@@ -430,8 +451,8 @@ def _linked(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     signed = materialise(_signatures(rows), "signatures")
     hot = _hot(signed)
     once = signed.where("n is not null").select(F.explode("bands").alias("band"), "node", "n", "bits").groupBy("band", "node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    shared = once.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")  # counted before it is dealt: a band may be that of a third of all rows
-    entries = materialise(once.join(shared, "band"), "entries")
+    shared = materialise(once.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "shared")  # counted before it is dealt: a band may be that of a third of all rows
+    entries = materialise(join_spread(once, shared, "band", shared, F.xxhash64("node")), "entries")
     bags = _bagged(rows, entries.select("node").distinct(), hot)
     links, labels = None, None
     for last in (False, True):
@@ -440,16 +461,16 @@ def _linked(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         links = found if links is None else links.union(found)
         labels = components(links)
         kept = _mixed(stars, labels, bags)
-        large = kept.groupBy("hub").agg(F.sum("size").alias("b")).where(F.col("b") > STAR_BYTES).select("hub")
         # stars that are too large for a task are banded again once; what still is gets blocks
-        rest = _star_links(kept if last else kept.join(large, "hub", "left_anti"), threshold)
+        large = kept.where(F.col("bytes") > STAR_BYTES)
+        rest = _star_links(kept if last else kept.where(F.col("bytes") <= STAR_BYTES), threshold)
         again = not last and large.limit(1).count() > 0
         if rest.limit(1).count():
             links = links.union(rest)
             labels = components(links)
         if not again:
             return labels, hot
-        entries = _deeper(kept.join(large, "hub", "left_semi"))
+        entries = _deeper(large)
 
 
 def link(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
