@@ -24,12 +24,13 @@ PART = 2 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def fit(labelled: DataFrame, *, dict_bytes: int = 64 << 10, snippets: int = 64, snippet_chars: int = 2048, max_languages: int = 512) -> dict[str, bytes]:
+def fit(labelled: DataFrame, *, dict_bytes: int = 96 << 10, snippets: int = 64, snippet_chars: int = 1024, max_languages: int = 512) -> dict[str, bytes]:
     """Dictionaries by language from ``labelled`` (text, lang).
 
     The sample is bounded: ``snippets`` rows of each language, the smallest by a hash of id and
-    text, ``snippet_chars`` characters from a place that the same hash chooses. Map-side limits
-    keep that many rows of a language in each task, so a frequent language isn't gathered.
+    text, ``snippet_chars`` characters from a place that the same hash chooses; a dictionary has
+    those of them, whole and in that order, that fit into ``dict_bytes``. Map-side limits keep that
+    many rows of a language in each task, so a frequent language isn't gathered.
     Rows with a null language or text are left out; more than ``max_languages`` is an error.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -45,8 +46,11 @@ def fit(labelled: DataFrame, *, dict_bytes: int = 64 << 10, snippets: int = 64,
         raise ValueError(f"more than {max_languages} languages")
     out = {}
     for lang, parts in sorted(taken.items()):
-        unique = dict.fromkeys(text.lower() for _, text in sorted(parts))
-        out[lang] = "\n".join(unique).encode()[-dict_bytes:]
+        held = b""
+        for text in dict.fromkeys(text.lower() for _, text in sorted(parts)):
+            more = text.encode() + b"\n"
+            held += more if len(held) + len(more) <= dict_bytes else b""
+        out[lang] = held
     return out
 
 
