@@ -295,7 +295,11 @@ def format_conversations(rows: DataFrame, *, max_turns: int = MAX_TURNS) -> Data
 
 
 def op9_chat_format(spark, sf_dir: str) -> DataFrame:
-    """All conversations, and conversation -1, whose texts hold control strings."""
+    """All conversations, and conversation -1, whose texts hold control strings.
+
+    Null roles and texts are empty; repeated turns go by role and text; of an empty table
+    conversation -1 is left; other columns, whatever their names, aren't read.
+    """
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")

@@ -280,7 +280,11 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequences, and checksums of the packed ids; null and empty texts are one id each."""
+    """Pieces of all documents with their sequences, and checksums of the packed ids.
+
+    Null and empty texts are one id each; repeated rows are packed each; pieces of equal length go by
+    their random number; an empty table gives no row; only doc_id and text are read.
+    """
     import public_tokenizers
 
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import frugal, text_buffer
+from .common import blocks, frugal, text_buffer
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -310,15 +310,23 @@ def redact(text: str | None, mark: str = "[SECRET]", runs: bool = True) -> str |
     return "".join(out) + text[at:]
 
 
+#: Bytes of text that are worked on at once.
+PART = 2 << 20
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, base_sha256, spans for each row; null and empty texts have no spans."""
+    """doc_id, counts, base_sha256, spans for each row; null and empty texts have no spans.
+
+    Repeated rows repeat, null ids stay, and an empty table gives no row. Of the columns only doc_id
+    and text are read, so others may have any name; texts are worked on a few megabytes at a time.
+    """
     kept = docs.select("doc_id", "text")
     schema = kept.drop("text").schema
     for name, kind in (("n_assign", "long"), ("n_access", "long"), ("n_hex", "long"), ("base_sha256", "string"), ("spans", "string"), ("n_confirmed", "long")):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole, limit=PART)):
             counts: list[list[int]] = [[], [], []]
             digests, spans, more = [], [], []
             for value, runs in zip(batch.column(1), long_runs(batch.column(1)).tolist(), strict=True):
@@ -339,7 +347,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole, limit=PART)):
             old = batch.column(at).to_pylist()
             new = [redact(t, runs=r) for t, r in zip(old, long_runs(batch.column(at)).tolist(), strict=True)]
             columns = list(batch.columns)

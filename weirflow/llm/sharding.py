@@ -138,5 +138,9 @@ def shard_by_bytes(docs: DataFrame, *, shards: int = 24, overhead: int = 8, lane
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
-    """All documents in shards 0 to 23 with near-equal bytes."""
+    """All documents in shards 0 to 23 with near-equal bytes.
+
+    Null texts count 8 bytes and are one group; repeated rows and ids are dealt each; equal spreads
+    go by key, equal ids by their place; an empty table gives no row; columns may have any name.
+    """
     return shard_by_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
