@@ -164,3 +164,10 @@ def test_fuzzy_join_keeps_row_counts(frame, run):
     assert sorted(run("fuzzy_join", {"right": "r", "left_on": "a", "right_on": "b"}, left, r=right), key=str) == [("xx", "xx")] * 4 + [("yy", None)]
     with pytest.raises(TransformError):
         run("fuzzy_join", {"right": "r", "left_on": "z", "right_on": "b"}, left, r=right)
+
+
+def test_decimals_and_integers_keep_their_digits(run, frame):
+    from decimal import Decimal
+
+    a, b = frame("x decimal(20,3)", (Decimal("12345678901234567.125"),)), frame("x long", (9007199254740993,))
+    assert sorted(run("union", {"frames": ["a", "b"]}, a=a, b=b)) == [(Decimal("9007199254740993.000"),), (Decimal("12345678901234567.125"),)]

@@ -259,6 +259,75 @@ def test_streamed_files_are_loaded_once(spark, tmp_path):
         ingest_new_files(spark, str(inbox), "id long", target, "t", str(tmp_path / "s2"), steps=[("dedupe", {"on": "id"})])
 
 
+def test_a_batch_is_published_once(spark, tmp_path, monkeypatch):
+    """A stream that fails after the manifest and before its own commit tries the batch again."""
+    from weirflow.config.format import Resource
+    from weirflow.streaming import ingest_new_files
+
+    target = create_adapter(Resource(name="t", adapter="db", params={"engine": "managed", "path": str(tmp_path / "m")}), spark)
+    spark.range(5).write.parquet(str(tmp_path / "inbox"))
+    load = lambda: ingest_new_files(spark, str(tmp_path / "inbox"), "id long", target, "t", str(tmp_path / "state"))
+    real = target.write_once
+
+    def crash(*args):
+        real(*args)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(target, "write_once", crash)
+    with pytest.raises(Exception, match="lost"):
+        load()
+    monkeypatch.setattr(target, "write_once", real)
+    assert load() == 0 and target.read("t").count() == 5
+    spark.range(5, 7).write.mode("append").parquet(str(tmp_path / "inbox"))
+    assert load() == 2 and target.read("t").count() == 7
+
+
+def test_rows_above_the_mark_are_the_next_runs(spark, plan, tmp_path, monkeypatch):
+    """Rows that come between marking and loading, as when a lost executor's part is read again."""
+    from weirflow.plans import runner
+
+    monkeypatch.setattr(runner, "_keep", lambda frame, ctx: frame)
+    marks = {"watermark_store": {"resource": "dst", "table": "marks"}}
+    doc = plan(orchestration=marks, ext={"incremental": {"strategy": "watermark", "cursor": "k", "initial": 0}})
+    del doc["tasks"]["put"]
+    _, ctx = go(spark, doc)
+    spark.catalog.refreshByPath(str(tmp_path / "in.csv"))
+    (tmp_path / "in.csv").write_text("k,v\n1,10\n2,20\n3,30\n9,90\n")
+    spark.catalog.refreshByPath(str(tmp_path / "in.csv"))
+    assert sorted(r["k"] for r in ctx.state.get("raw").collect()) == [1, 2, 3]
+
+
+def test_fingerprints_follow_every_file(spark, tmp_path):
+    import os
+
+    from weirflow.plans.runner import _fingerprint
+
+    spark.range(60).repartition(40).write.parquet(str(tmp_path / "a b{1}"))
+    read = lambda: _fingerprint(spark.read.parquet(str(tmp_path / "a b\\{1\\}")))
+    first = read()
+    files = sorted((tmp_path / "a b{1}").glob("part-*.parquet"))
+    assert read() == first and first.startswith(f"{len(files)}-")
+    os.utime(files[-1], (1, 1))
+    assert read() != first
+    assert _fingerprint(spark.range(3)).startswith("unknown")
+
+
+def test_one_writer_publishes_a_manifest(spark, tmp_path):
+    from weirflow.config.format import Resource
+    from weirflow.errors import AdapterError
+
+    table = create_adapter(Resource(name="t", adapter="db", params={"engine": "managed", "path": str(tmp_path / "m")}), spark)
+    table.write(spark.range(3).toDF("id"), "t")
+    number, tables = table._manifest()
+    table._commit(number + 1, tables)
+    with pytest.raises(AdapterError, match="published first"):
+        table._commit(number + 1, tables)
+    (tmp_path / "m" / "_manifests" / f"{number + 2:012d}.json").write_text('{"t": ')
+    assert table.read("t").count() == 3  # a manifest that isn't whole isn't published
+    with pytest.raises(AdapterError, match="isn't whole"):
+        table.write(spark.range(3).toDF("id"), "t")
+
+
 def test_command_line_runs_a_file(spark, plan, keys, tmp_path, capsys):
     import yaml
 

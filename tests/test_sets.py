@@ -94,3 +94,13 @@ def test_filter_action(frame, run):
 def test_later_steps_see_a_sorted_order(frame, run):
     df = run("sort", {"v": "desc"}, frame("k string, v long", ("a", 1), ("a", 3), ("a", 2)), rows=False)
     assert run("dedupe", {"on": "k"}, df) == [("a", 3)]
+
+
+def test_single_keys_of_hot_and_null_keys(spark, run, frame):
+    """Keys that are single stay with their rows; one key holds most rows and is counted before it is dealt."""
+    rows = [(1, "a")] * 500 + [(None, "n"), (2, "b"), (3, "c"), (3, "c")]
+    df = spark.createDataFrame(rows, "k long, v string").repartition(6)
+    assert sorted(run("dedupe", {"on": "k", "keep": False}, df), key=str) == [(2, "b"), (None, "n")]
+    assert sorted(run("dedupe", {"keep": False}, df), key=str) == [(2, "b"), (None, "n")]
+    plan = run("dedupe", {"on": "k", "keep": False}, df, rows=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
