@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weirflow.llm import langid, neardup, packing, quality, secret_scan
-from weirflow.llm.common import in_class, materialise
+from weirflow.llm.common import discard, in_class, materialise
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over all documents: the places and checksums of the packed pieces that were written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialise(stage(spark, docs, sf_dir), f"stage{k}")
+        made = materialise(stage(spark, docs, sf_dir), f"stage{k}")
+        discard(docs)  # what a stage wrote goes when the next one has
+        docs = made
     return docs.drop("ids")
