@@ -37,6 +37,18 @@ def test_query(spark, duck, name):
     assert _rows(out.select(*columns).collect()) == _rows(want)
 
 
+def test_division_of_odd_values(spark, tmp_path):
+    """Missing, negative and non-finite numbers give what the SQL gives."""
+    odd = [None, 0.0, -0.0, 0.05, -0.05, math.inf, -math.inf, math.nan, 1e-308, 1e308, -1e308]
+    rows = [(k, n, x, y) for k, x in enumerate(odd) for n, y in enumerate(odd)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_tax double, l_discount double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = connection.execute(entry.oracle_sql()["derive_division"]).fetchall()
+    key = lambda found: sorted((k, n, str(ratio)) for k, n, ratio in found)  # noqa: E731  a NaN is itself
+    assert len(want) == 121 and key(map(tuple, entry.queries()["derive_division"](spark, str(tmp_path)).collect())) == key(want)
+
+
 def test_similar_names(spark):
     out = catalogue.queries()["fuzzy_parts"](spark, SF)
     parts = spark.read.parquet(f"{SF}/part.parquet")

@@ -113,6 +113,12 @@ def test_functions(frame):
     assert value(df, {"length": {"col": "s"}}) == [2, None, 1]
 
 
+def test_nullif(frame):
+    df = frame("x double, s string", (0.0, "a"), (-0.0, None), (2.0, "b"), (None, "a"))
+    assert value(df, {"nullif": [{"col": "x"}, {"lit": 0}]}) == [None, None, 2.0, None]
+    assert value(df, {"nullif": [{"col": "s"}, {"lit": "a"}]}) == [None, None, "b", None]
+
+
 @pytest.mark.parametrize("tree", [{"col": "zzz"}, {"+": [{"col": "n"}]}, {"nope": [1]}, {"+": [{"col": "n"}, {"col": "s"}]}, {"*": [{"col": "s"}, {"lit": 2}]}, {"a": 1, "b": 2}, {"pipe": "n|unique"}, {"coalesce": []}, {"round": [{"col": "n"}, {"lit": "x"}]}])
 def test_bad_expressions(frame, tree):
     with pytest.raises(ExpressionError):

@@ -6,6 +6,7 @@ load and ingestion queries below them write managed tables and read them again.
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -190,7 +191,11 @@ CASES: dict[str, Case] = {
     ),
     "derive_division": _single(
         "lineitem",
-        [("derive", {"target": "ratio", "expr": {"/": [_col("l_tax"), _col("l_discount")]}}), ("select", ["l_orderkey", "l_partkey", "ratio"])],
+        # as in the SQL, a missing divisor counts as zero, and only a positive number by zero is infinite
+        [
+            ("derive", {"target": "ratio", "expr": {"coalesce": [{"/": [_col("l_tax"), {"nullif": [_col("l_discount"), _lit(0)]}]}, {"nullif": [{"/": [_col("l_tax"), _lit(0)]}, _lit(-math.inf)]}]}}),
+            ("select", ["l_orderkey", "l_partkey", "ratio"]),
+        ],
         "SELECT l_orderkey, l_partkey, CASE WHEN l_discount <> 0 THEN l_tax / l_discount WHEN l_tax > 0 THEN CAST('inf' AS DOUBLE) END AS ratio FROM lineitem",
     ),
     "derive_functions": _single(

@@ -128,6 +128,12 @@ def _coalesce(*xs: Column) -> Column:
     return F.coalesce(*xs)
 
 
+@register_expression("nullif")
+def _nullif(x: Column, y: Column) -> Column:
+    """The first, or missing where both are equal."""
+    return F.nullif(x, y)
+
+
 @register_expression("concat")
 def _concat(*xs: Column) -> Column:
     return F.concat(*(x.cast("string") for x in xs))
