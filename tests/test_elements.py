@@ -1,9 +1,14 @@
+import tracemalloc
+import unicodedata
 from datetime import datetime
+from functools import partial
 
+import pyarrow as pa
 import pytest
 
 from weirflow import build_transform
 from weirflow.errors import ExpressionError, TransformError
+from weirflow.operators import element
 
 
 def test_label_replace_map_cast(frame, run):
@@ -116,6 +121,40 @@ def test_normalize(frame, run):
         run("normalize", {"s": ["reverse"]}, df)
 
 
+def test_normalize_in_pieces():
+    """Of a batch of 16 MB only a piece is held as Python objects and as the result."""
+    text = "e\u0301" + "xyz " * 1000
+    batch = pa.array([text, None] * 4000)
+    normalised = element._in_python([["nfc"]]).func
+    tracemalloc.start()
+    rows = most = 0
+    for piece in normalised(iter([batch])):
+        rows, most = rows + len(piece), max(most, piece.nbytes)
+        assert piece.field("c0").null_count in (len(piece) // 2, (len(piece) + 1) // 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(batch) and most < 2 << 20 and peak < 16 << 20
+
+
+def test_normalize_sends_what_may_change(run, frame):
+    df = frame("s string, t string", ("caf\u00e9", "a b"), ("cafe\u0301", "c\u00df"), ("\ufb01", None), (None, ""))
+    out = run("normalize", {"s": ["nfc", "upper", "nfkd"], "t": ["title", "casefold"]}, df, rows=False)
+    assert [tuple(r) for r in out.collect()] == [("CAFE\u0301", "a b"), ("CAFE\u0301", "css"), ("FI", None), (None, "")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 2 and r"[^\x00-\x{2FF}]" in plan and r"[^\x00-\x{9F}]" in plan
+    out = run("normalize", {"s": ["nfc"], "t": ["nfd", "casefold"]}, df, rows=False)  # a chain with more than forms takes all texts
+    assert [tuple(r) for r in out.collect()] == [("caf\u00e9", "a b"), ("caf\u00e9", "css"), ("\ufb01", None), (None, "")]
+
+
+@pytest.mark.parametrize("ops", ["nfc", "nfd", "nfkc", "nfkd", "title", "casefold"])
+def test_normalize_all_characters(run, spark, ops):
+    """Each character, alone and before an accent, as Python has it."""
+    texts = [chr(k) + end for k in (*range(0x3100), *range(0xF900, 0x11000), *range(0x1D100, 0x1D200)) for end in ("", "\u0301")]
+    change = {"title": str.title, "casefold": str.casefold}.get(ops, partial(unicodedata.normalize, ops.upper()))
+    out = run("normalize", {"s": [ops]}, spark.createDataFrame(list(enumerate(texts)), "k long, s string"))
+    assert [t for _, t in sorted(out)] == [change(t) for t in texts]
+
+
 def test_fillna(frame, run):
     df = frame("a double", (1.0,), (None,))
     assert run("fillna", {"a": 0, "b": 9}, df) == [(1.0, 9), (0.0, 9)]

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 from typing import Any, ClassVar
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from ..errors import ExpressionError, TransformError
 from ..functions import pipe
@@ -239,50 +240,72 @@ class Affix(ColumnMap):
         return df.withColumns(found)
 
 
-@pandas_udf(T.StringType())
-def _title(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x.title(), na_action="ignore")
+_PLAIN = {
+    "strip": lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""),
+    "lstrip": lambda c: F.regexp_replace(c, r"(?U)^\s+", ""),
+    "rstrip": lambda c: F.regexp_replace(c, r"(?U)\s+$", ""),
+    "upper": F.upper,
+    "lower": F.lower,
+}
+#: What only Python has.
+_PYTHON = {"title": str.title, "casefold": str.casefold, **{n.lower(): partial(unicodedata.normalize, n) for n in ("NFC", "NFKC", "NFD", "NFKD")}}
+#: The first code point that a form may change or join with what is before it: texts of lower ones have that form already.
+_FIRST = {"nfc": 0x300, "nfd": 0xC0, "nfkc": 0xA0, "nfkd": 0xA0}
+#: Bytes of an Arrow batch, at an even length of its texts, that are Python objects at once.
+_PIECE_BYTES = 1 << 20
 
 
-@pandas_udf(T.StringType())
-def _casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x.casefold(), na_action="ignore")
+def _in_python(chains: list[list[str]]):
+    """An Arrow UDF that takes a column for each chain of operations and gives a struct of them all.
 
+    It holds a batch, but only a piece of it as Python objects and of its result.
+    """
+    changes = [[_PYTHON[op] for op in ops] for ops in chains]
 
-def _form(name: str):
-    @pandas_udf(T.StringType())
-    def normal(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize(name, x), na_action="ignore")
+    def changed(texts: pa.Array, ops: list[Callable[[str], str]]) -> pa.Array:
+        return pa.array([None if x is None else reduce(lambda y, op: op(y), ops, x) for x in texts.to_pylist()], texts.type)
 
-    return normal
+    @arrow_udf(T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(chains))]))
+    def normalised(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            columns = batch if isinstance(batch, tuple) else (batch,)
+            n = len(columns[0])
+            step = max(1, n * _PIECE_BYTES // max(sum(c.nbytes for c in columns), 1))
+            for at in range(0, n, step):
+                yield pa.StructArray.from_arrays([changed(c.slice(at, step), ops) for c, ops in zip(columns, changes, strict=True)], [f"c{k}" for k in range(len(columns))])
 
+    return normalised
 
-_NORMAL = {
-    "strip": lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""),
-    "lstrip": lambda c: F.regexp_replace(c, r"(?U)^\s+", ""),
-    "rstrip": lambda c: F.regexp_replace(c, r"(?U)\s+$", ""),
-    "upper": F.upper,
-    "lower": F.lower,
-    "title": _title,
-    "casefold": _casefold,
-    **{n.lower(): _form(n) for n in ("NFC", "NFKC", "NFD", "NFKD")},
-}
+
+def _open_to(c: Column, ops: list[str]) -> Column:
+    """The text if the operations may change it, else null: it needn't go to Python."""
+    if not _FIRST.keys() >= set(ops):
+        return c
+    return F.when(c.rlike(rf"[^\x00-\x{{{min(map(_FIRST.get, ops)) - 1:X}}}]"), c)
 
 
 @register_transform("normalize")
 class Normalize(ColumnMap):
-    """Text operations in order."""
+    """Text operations in order. What needs Python is done for all columns by one UDF, as far as their orders allow."""
 
     def apply(self, df: DataFrame, ctx: Any = None) -> DataFrame:
         require(df, list(self.columns), "normalize", TransformError)
-        found = {}
+        found, left = {}, {}
         for name, ops in self.columns.items():
-            c = col(name).cast("string")
-            for op in ops if isinstance(ops, list) else [ops]:
-                if op not in _NORMAL:
-                    raise TransformError(f"normalize: unknown operation {op!r}; known: {', '.join(sorted(_NORMAL))}")
-                c = _NORMAL[op](c)
-            found[name] = c
+            found[name], left[name] = col(name).cast("string"), list(ops) if isinstance(ops, list) else [ops]
+            for op in left[name]:
+                if op not in _PLAIN and op not in _PYTHON:
+                    raise TransformError(f"normalize: unknown operation {op!r}; known: {', '.join(sorted({*_PLAIN, *_PYTHON}))}")
+        while any(left.values()):
+            chains: dict[str, list[str]] = {}
+            for name, ops in left.items():
+                while ops and ops[0] in _PLAIN:
+                    found[name] = _PLAIN[ops.pop(0)](found[name])
+                while ops and ops[0] in _PYTHON:
+                    chains.setdefault(name, []).append(ops.pop(0))
+            if chains:
+                out = _in_python(list(chains.values()))(*(_open_to(found[name], ops) for name, ops in chains.items()))
+                found |= {name: F.coalesce(out[f"c{k}"], found[name]) for k, name in enumerate(chains)}
         return df.withColumns(found)
 
 
